@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 
 def zeros(n: Column | int) -> Column:
-    return F.array_repeat(F.lit(0.0), n if isinstance(n, Column) else F.lit(int(n)))
+    return F.array_repeat(F.lit(0.0), n.cast("int") if isinstance(n, Column) else F.lit(int(n)))
 
 
 def padded(values: Column, width: int) -> Column:

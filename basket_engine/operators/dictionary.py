@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrays import multi_hot
 from .indexing import global_index
@@ -47,13 +47,15 @@ def running_label_indices(
 ) -> DataFrame:
     """Sparse label of all items a user has seen up to and including each month.
 
-    Rows are reduced to one per (user, month) and then to what the dictionary
-    allows before the window, so a busy user stays small.
+    Rows are reduced to the first month per user and item, which is at most one
+    dictionary per user, and each month of the user keeps those that came in time.
     """
-    monthly = label_indices(tx, [user, month], index, "_seen")
-    upto = Window.partitionBy(user).orderBy(month).rowsBetween(Window.unboundedPreceding, 0)
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_seen").over(upto))))
-    return monthly.withColumn(name, merged).drop("_seen")
+    known = tx.where(F.col(index) >= 0)
+    months = known.select(user, month).distinct()
+    firsts = known.groupBy(user, index).agg(F.min(month).alias("since"))
+    nested = firsts.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(index, "since"))).alias("_firsts"))
+    in_time = F.filter("_firsts", lambda f: f["since"] <= F.col(month))
+    return months.join(nested, user).select(user, month, in_time[index].alias(name))
 
 
 def dense_label(df: DataFrame, n_items: int, sparse: str = "label_idx", name: str = "label") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import imputed, log_odds as log_odds_expr, ratio
+from ..session import stored
 from ..settings import IMPUTED_VALUE, SHARE_SMOOTHING
 from .skew import attach_totals, join_skewed, key_counts
 
@@ -30,7 +31,7 @@ def membership(
     """Rows whose value of every key column occurs in the training pairs."""
     kept = tx
     for key in keys:
-        allowed = pairs.select(key).where(F.col(key).isNotNull()).distinct()
+        allowed = stored(pairs.select(key).where(F.col(key).isNotNull()).distinct(), "allowed")
         # Counted on the input: one narrow scan per key, whatever the chain length.
         kept = join_skewed(kept, allowed, [key], "left_semi", counts=key_counts(tx, [key]), row_id=row_id)
     return kept
@@ -54,7 +55,7 @@ def frequency_encode(
     if counted is None:
         out = attach_totals(tx, [col], [F.count(F.lit(1)).alias("_freq")], row_id=row_id)
     else:
-        out = join_skewed(tx, value_frequency(counted, col, "_freq"), [col], "left", row_id=row_id)
+        out = join_skewed(tx, stored(value_frequency(counted, col, "_freq"), "counted"), [col], "left", row_id=row_id)
     freq = F.coalesce(F.col("_freq"), F.lit(0)).cast("double")
     return out.withColumn(name or col, freq).drop("_freq")
 
@@ -121,7 +122,7 @@ def group_softmax(
         F.count(F.lit(1)).alias("_rows"),
     )
     top = F.max("_step").over(Window.partitionBy(key))
-    grouped = (
+    grouped = stored(
         per_step.withColumn("_top", top)
         .groupBy(key)
         .agg(
@@ -129,7 +130,8 @@ def group_softmax(
             F.sum(F.col("_part") * F.exp((F.col("_step") - F.col("_top")) * SOFTMAX_STEP)).alias("_mass"),
             F.sum("_rows").alias("_n"),
         )
-        .select(key, (F.col("_top") * SOFTMAX_STEP + F.log("_mass")).alias("_lse"), "_n")
+        .select(key, (F.col("_top") * SOFTMAX_STEP + F.log("_mass")).alias("_lse"), "_n"),
+        "softmax",
     )
     out = join_skewed(df, grouped.drop("_n"), [key], "left", counts=grouped.select(key, "_n"), row_id=row_id)
     return out.withColumn(name, F.exp(F.col(col) - F.col("_lse"))).drop("_lse")

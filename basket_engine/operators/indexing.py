@@ -4,28 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut
+from ..session import stored
 from .skew import attach_totals
 
 
 def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
     """0-based position of each row in the total order given by ``order``.
 
-    Rows are range-sorted across tasks and numbered inside each partition; the
-    partition offsets come from one count per partition, which is why only that
-    small table is ordered in one place. ``order`` should tell rows apart, or
-    equal rows end up in one range. The placed rows are checkpointed: both the
-    counts and the join must see the same placement.
+    Rows are range-sorted across tasks and numbered inside each partition; then
+    every partition is shifted by the sizes of those before it. Only these sizes,
+    one per partition of the sort, pass through the driver. ``order`` should tell
+    rows apart, or equal rows end up in one range. The placed rows are stored: the
+    sizes and the final numbers must see the same placement.
     """
-    placed = cut(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
-    part = F.shiftrightunsigned("_place", 33)
+    placed = stored(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), "placed")
+    part = F.shiftrightunsigned("_place", 33).cast("int")
     within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    # One row per partition of the sort, so the broadcast is bounded by the task count.
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("size")).collect()
+    shifts, before = [], 0
+    for row in sorted(sizes):
+        shifts.append((row["_part"], before))
+        before += row["size"]
+    offsets = df.sparkSession.createDataFrame(shifts, "_part int, _offset long")
     return (
         placed.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")

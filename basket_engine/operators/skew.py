@@ -1,8 +1,9 @@
 """Equi-joins and group totals that stay balanced when one key is hot.
 
-A key that holds more than ``1 / slices`` of all rows is called hot. There can be
-at most ``slices`` such keys, so the list of hot keys has a proven size and may be
-broadcast. What happens to the rows of a hot key depends on what tells them apart:
+Rows are counted per key first. A key that holds more than ``1 / slices`` of all
+rows is called hot. There can be at most ``slices`` such keys, so the list of hot
+keys has a proven size: it is fetched, and where it is empty the plain join is used.
+What happens to the rows of a hot key depends on what tells them apart:
 
 * With ``row_id`` (columns identifying a row) they are spread over several slices
   by a hash of it, and the other side is repeated once per slice of that key.
@@ -12,7 +13,7 @@ broadcast. What happens to the rows of a hot key depends on what tells them apar
 
 Every other key joins as usual and nothing is dropped. If the planner's size
 estimate of the right side is below its own broadcast threshold there is no shuffle
-of the left side to balance, and the join is left to the planner.
+of the left side to balance: nothing is counted and the join is left to the planner.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stored
 from ..settings import skew_min_rows, skew_slices
 
 JOIN_KINDS = ("inner", "left", "left_semi", "left_anti")
@@ -33,14 +35,20 @@ def fits_broadcast(df: DataFrame) -> bool:
     return 0 <= int(str(size)) <= int(limit)
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], n_col: str = "_n") -> DataFrame:
-    """Keys too big for one task, with the number of slices each is cut into."""
+def hot_keys(counts: DataFrame, keys: Sequence[str], n_col: str = "_n") -> DataFrame | None:
+    """Keys too big for one task, with the number of slices each is cut into.
+
+    None if there are none. At most ``slices`` rows come back, since each of them
+    holds more than that part of the total.
+    """
     spark = counts.sparkSession
     total = counts.agg(F.sum(n_col).alias("total")).scalar()
     limit = F.greatest(total / F.lit(float(skew_slices(spark))), F.lit(float(skew_min_rows(spark))))
-    return counts.where(F.col(n_col) > limit).select(
+    found = counts.where(F.col(n_col) > limit).select(
         *keys, F.ceil(F.col(n_col) / limit).cast("int").alias("_slices")
     )
+    rows = found.collect()
+    return spark.createDataFrame(rows, found.schema) if rows else None
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -73,6 +81,8 @@ def join_skewed(
     if fits_broadcast(right):
         return left.join(right, keys, how)
     hot = hot_keys(counts if counts is not None else key_counts(left, keys), keys)
+    if hot is None:
+        return left.join(right, keys, how)
     if row_id is None:
         return _join_hot_apart(left, right, keys, how, hot.select(*keys))
     return _join_sliced(left, right, keys, how, hot, row_id)
@@ -110,9 +120,9 @@ def attach_totals(
     """Each row with the aggregates of its group.
 
     A window would bring a whole group into one task; here the aggregates are
-    combined map-side and joined back.
+    combined map-side, stored, and joined back.
     """
-    grouped = df.groupBy(*keys).agg(*totals, F.count(F.lit(1)).alias("_n"))
+    grouped = stored(df.groupBy(*keys).agg(*totals, F.count(F.lit(1)).alias("_n")), "totals")
     return join_skewed(
         df, grouped.drop("_n"), keys, "left", counts=grouped.select(*keys, "_n"), row_id=row_id
     )
@@ -133,10 +143,12 @@ def group_rows(df: DataFrame, keys: Sequence[str], row_id: Sequence[str] | None
     else:
         weight = F.count(F.lit(1))
     hot = hot_keys(key_counts(df, keys), keys)
-    spread = F.xxhash64(*[F.col(c) for c in row_id])
-    placed = df.join(F.broadcast(hot), keys, "left").withColumn(
-        "part", F.pmod(spread, F.coalesce(F.col("_slices"), F.lit(1))).cast("int")
-    )
+    if hot is None:
+        placed = df.withColumn("part", F.lit(0))
+    else:
+        spread = F.xxhash64(*[F.col(c) for c in row_id])
+        part = F.pmod(spread, F.coalesce(F.col("_slices"), F.lit(1))).cast("int")
+        placed = df.join(F.broadcast(hot), keys, "left").withColumn("part", part)
     return placed.groupBy(*keys, "part").agg(
         weight.alias("n_rows"), F.sort_array(F.collect_list(F.struct(*rest))).alias("rows")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalars import split_by_month
 from ..operators import dictionary as D, features as X, vectors as V
 from ..operators.skew import join_skewed
-from ..session import cut
+from ..session import stored
 from ..settings import PACKED_BASKET, SPLIT_CUTOFF
 
 
@@ -51,7 +51,7 @@ def training_rows(
     """
     known = X.membership(X.impute(X.drop_missing(tx), [value]), pairs, row_id=line)
     items = D.dictionary(pairs, "item_id")
-    placed = cut(
+    placed = stored(
         D.with_index(known.select("user_id", "item_id", "year_month", value, *line), items, "item_id", row_id=line)
     )
     packed = V.packed_vectors(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.arrays import zeros
 from ..operators import indexing as I, text as X, training as T
 from ..operators.skew import join_skewed
 from ..operators.training import FitResult
@@ -31,8 +32,17 @@ def review_examples(batches: DataFrame, vectors: DataFrame, vector_size: int) ->
         F.count(F.lit(1)).alias("times")
     )
     pairs = join_skewed(words, vectors.select("token", "vector"), ["token"], "inner", row_id=["doc_id", "token"])
-    weighted = [F.sum(F.get("vector", F.lit(i)).cast("double") * F.col("times")) for i in range(vector_size)]
-    means = pairs.groupBy("doc_id").agg(F.array(*[w / F.sum("times") for w in weighted]).alias("x"))
+    # At most max_len words of one review meet here.
+    nested = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token", "vector", "times"))).alias("_w"))
+    total = F.aggregate(
+        "_w",
+        zeros(vector_size),
+        lambda acc, w: F.zip_with(acc, w["vector"], lambda a, v: a + v.cast("double") * w["times"]),
+    )
+    n_words = F.aggregate("_w", F.lit(0).cast("long"), lambda acc, w: acc + w["times"])
+    means = nested.select("doc_id", total.alias("_x"), n_words.alias("_n")).select(
+        "doc_id", F.transform("_x", lambda v: v / F.col("_n")).alias("x")
+    )
     one_hot = F.array((F.col("label") == 0).cast("double"), (F.col("label") == 1).cast("double"))
     labels = batches.select("doc_id", one_hot.alias("y"))
     return means.join(labels, "doc_id")

@@ -20,6 +20,7 @@ def local_session(cpus: int | str = 8, app: str = "basket-engine", **extra: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in extra.items():
@@ -48,9 +49,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives executor loss and ends the lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_root(spark))
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, label: str = "stage") -> DataFrame:
+    """The result written as a table in the shared scratch folder and read back.
+
+    It survives executor loss, ends the lineage, and lets the planner see the true
+    size. Used where a stage feeds several others or decides how they are planned.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

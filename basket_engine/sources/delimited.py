@@ -6,19 +6,25 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions.scalars import missing_to_null
 from ..operators.skew import group_rows
 from ..settings import NULL_TOKEN
 
-TRANSACTION_SCHEMA = StructType.fromDDL(
-    "user_id string, item_id string, " + ", ".join(f"v{i} double" for i in range(2, 13)) + ", year_month int"
+
+def columns(*pairs: tuple[str, DataType]) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in pairs])
+
+
+_TEXT = StringType()
+TRANSACTION_SCHEMA = columns(
+    ("user_id", _TEXT), ("item_id", _TEXT), *[(f"v{i}", DoubleType()) for i in range(2, 13)], ("year_month", IntegerType())
 )
-PAIR_SCHEMA = StructType.fromDDL("user_id string, item_id string")
-USER_RULE_SCHEMA = StructType.fromDDL("user_id string, rule_key string")
-INCLUSION_SCHEMA = StructType.fromDDL("rule_key string, item_id string")
-USER_SCHEMA = StructType.fromDDL("user_id string")
+PAIR_SCHEMA = columns(("user_id", _TEXT), ("item_id", _TEXT))
+USER_RULE_SCHEMA = columns(("user_id", _TEXT), ("rule_key", _TEXT))
+INCLUSION_SCHEMA = columns(("rule_key", _TEXT), ("item_id", _TEXT))
+USER_SCHEMA = columns(("user_id", _TEXT))
 
 
 def fields(line: Column, sep: str = ",") -> Column:
