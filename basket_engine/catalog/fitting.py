@@ -99,7 +99,7 @@ def _churn_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 def fit_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Churn pipeline: fit on recent rows, score the held-out days."""
     train, test = _churn_sets(spark, sf_dir)
-    result = C.fit_churn(train, 3, epochs=2, learning_rate=0.05)
+    result = C.fit_churn(train, 3, epochs=2, workers=None, batch=50, averaging=20, learning_rate=0.05)
     return C.churn_predictions(test, result.best)
 
 
@@ -107,7 +107,9 @@ def fit_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss per epoch on training and held-out rows."""
     train, test = _churn_sets(spark, sf_dir)
-    return C.fit_churn(train, 3, test=test, epochs=3, learning_rate=0.05).history_table(spark)
+    return C.fit_churn(
+        train, 3, test=test, epochs=3, workers=None, batch=50, averaging=20, learning_rate=0.05
+    ).history_table(spark)
 
 
 @query("fit_softmax")
@@ -121,7 +123,7 @@ def fit_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_set("item_idx")).alias("label_idx"),
     )
     examples = stored(R.sequence_examples(rows, 2, n_items, START, END), "sequences")
-    result = R.fit_recommender(examples, 8, n_items, epochs=2, key="user_id", workers=4)
+    result = R.fit_recommender(examples, 8, n_items, epochs=2, workers=None, batch=50, averaging=20)
     return R.recommend_eligible(
         examples, result.best, items, V.user_rules(spark, sf_dir), V.item_inclusion(spark, sf_dir)
     )
@@ -133,6 +135,6 @@ def fit_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = stored(V.word_vectors(spark, sf_dir, 16), "vectors")
     batches = stored(N.review_batches(V.labelled_documents(spark, sf_dir), vectors), "batches")
     examples = stored(N.review_examples(batches, vectors, 16), "examples")
-    result = N.fit_sentiment(examples, 16, epochs=2, learning_rate=0.05, test=examples)
+    result = N.fit_sentiment(examples, 16, epochs=2, workers=None, learning_rate=0.05, test=examples)
     scored = S.score(examples, result.best, ["doc_id"])
     return scored.select("doc_id", F.get("scores", F.lit(0)).alias("positive"), F.get("scores", F.lit(1)).alias("negative"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.arrays import array_total, vector_text
 from ..operators import features as X, vectors as P
+from ..operators.skew import key_counts
 from . import views as V
 from .purchases import DIGITS, LINE_SQL
 from .registry import query
@@ -27,17 +28,22 @@ def _order() -> tuple[str, ...]:
     return ("item_idx", *V.LINE)
 
 
+# A vector is compared by its length and one polynomial of its entries.
+BASE = 0.999
+
+
 def _digest(vectors: DataFrame, *keys: str) -> DataFrame:
-    """A vector as its length, sum and position-weighted sum."""
-    weighted = F.transform("features", lambda v, i: v * (i + 1))
     return vectors.select(
         *keys,
         F.size("features").alias("width"),
-        F.round(array_total(F.col("features")), DIGITS).alias("total"),
-        F.round(array_total(weighted), DIGITS - 2).alias("weighted"),
+        F.round(F.aggregate("features", F.lit(0.0), lambda acc, v: acc * BASE + v), DIGITS).alias("digest"),
     )
 
 
+def _digest_sql(width: str) -> str:
+    return f"round(CASE WHEN count(v) = count(*) THEN sum(v * power({BASE}, {width} - 1 - place)) END, {DIGITS}) AS digest"
+
+
 @query(
     "basket_position",
     f"""{_CODED} SELECT {LINE_SQL}, user_id, year_month, item_idx, CAST(position AS INTEGER) AS position FROM coded""",
@@ -80,11 +86,8 @@ entries AS (
   UNION ALL
   SELECT user_id, year_month, {limit * K} + position, share / basket_size FROM coded {where}
 )
-SELECT user_id, year_month, {limit * (K + 1)} AS width, round(bt, {DIGITS}) AS total, round(bw, {DIGITS - 2}) AS weighted
-FROM (SELECT user_id, year_month,
-             CASE WHEN count(v) = count(*) THEN sum(v) END AS bt,
-             CASE WHEN count(v) = count(*) THEN sum(v * (place + 1)) END AS bw
-      FROM entries GROUP BY user_id, year_month)"""
+SELECT user_id, year_month, {limit * (K + 1)} AS width, {_digest_sql(str(limit * (K + 1)))}
+FROM entries GROUP BY user_id, year_month"""
 
 
 @query("packed_vector", _packed_sql(BASKET_LIMIT))
@@ -112,12 +115,8 @@ entries AS (
   UNION ALL
   SELECT user_id, year_month, {(BASKET_LIMIT + 1) * K}, net FROM baskets
 )
-SELECT user_id, year_month, {(BASKET_LIMIT + 1) * K + 1} AS width, round(bt, {DIGITS}) AS total,
-       round(bw, {DIGITS - 2}) AS weighted
-FROM (SELECT user_id, year_month,
-             CASE WHEN count(v) = count(*) THEN sum(v) END AS bt,
-             CASE WHEN count(v) = count(*) THEN sum(v * (place + 1)) END AS bw
-      FROM entries GROUP BY user_id, year_month)""",
+SELECT user_id, year_month, {(BASKET_LIMIT + 1) * K + 1} AS width, {_digest_sql(str((BASKET_LIMIT + 1) * K + 1))}
+FROM entries GROUP BY user_id, year_month""",
 )
 def packed_vector_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_packed(spark, sf_dir, BASKET_LIMIT, with_user=True), "user_id", "year_month")
@@ -148,7 +147,7 @@ entries AS (
   FROM pairs JOIN user_factors USING (user_id) CROSS JOIN range({K}) AS r(slot)
 )
 SELECT user_id, year_month, item_id, CAST((n_items + 1) * {K} AS INTEGER) AS width,
-       round(sum(v), {DIGITS}) AS total, round(sum(v * (place + 1)), {DIGITS - 2}) AS weighted
+       {_digest_sql(f"((n_items + 1) * {K})")}
 FROM entries, n GROUP BY user_id, year_month, item_id, n_items""",
 )
 def slot_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +177,8 @@ def item_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ("quantity", "discount")
     tx = V.transactions(spark, sf_dir, "user_id", "item_id", "year_month", *cols, line=True)
     long = X.smoothed_share(tx, cols, row_id=V.LINE)
-    parts = P.item_values(long, order=("year_month", *V.LINE, "variable"))
+    counts = key_counts(tx, ["user_id", "item_id"])
+    parts = P.item_values(long, order=("year_month", *V.LINE, "variable"), counts=counts)
     per_part = parts.select(
         "user_id", "item_id", F.size("values").cast("long").alias("n"), array_total(F.col("values")).alias("t")
     )

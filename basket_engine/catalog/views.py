@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import year_month
 from ..operators import dictionary as D, text as X
+from ..session import stored
 
 LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 VARIABLES = (
@@ -93,7 +94,7 @@ def transactions(spark: SparkSession, sf_dir: str, *cols: str, line: bool = Fals
 
 def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = transactions(spark, sf_dir, "user_id", "item_id", "year_month").where(F.col("year_month") < TRAINING_UNTIL)
-    return early.select("user_id", "item_id").distinct()
+    return stored(early.select("user_id", "item_id").distinct(), "pairs")
 
 
 def item_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,13 +114,13 @@ def _n_embeddings(spark: SparkSession, sf_dir: str):
 
 def item_factors(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
     placed = items.withColumn("vec_id", F.pmod("item_idx", _n_embeddings(spark, sf_dir)))
-    return placed.join(_embeddings(spark, sf_dir, FACTOR_WIDTH), "vec_id").select("item_id", "factors")
+    return stored(placed.join(_embeddings(spark, sf_dir, FACTOR_WIDTH), "vec_id").select("item_id", "factors"), "factors")
 
 
 def user_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
     placed = users.withColumn("vec_id", F.pmod("user_id", _n_embeddings(spark, sf_dir)))
-    return placed.join(_embeddings(spark, sf_dir, FACTOR_WIDTH), "vec_id").select("user_id", "factors")
+    return stored(placed.join(_embeddings(spark, sf_dir, FACTOR_WIDTH), "vec_id").select("user_id", "factors"), "factors")
 
 
 def indexed_transactions(spark: SparkSession, sf_dir: str, items: DataFrame, *cols: str, line: bool = False) -> DataFrame:

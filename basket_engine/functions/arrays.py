@@ -25,11 +25,14 @@ def slot_layout(user: Column, item: Column, item_idx: Column, n_items: int, k: i
 
 
 def multi_hot(indices: Column, n: int) -> Column:
-    """Dense 0/1 vector of ``n`` entries from a sparse index array."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: F.array_contains(indices, i).cast("double"),
-    )
+    """Dense 0/1 vector of ``n`` entries from an ascending array of distinct indices.
+
+    Built from the zero run before each index, so the work per row follows the
+    number of indices and not the width.
+    """
+    before = lambda j: F.when(j == 0, F.lit(-1)).otherwise(F.get(indices, j - 1))
+    runs = F.transform(indices, lambda v, j: F.concat(zeros(v - before(j) - 1), F.array(F.lit(1.0))))
+    return padded(F.flatten(runs), n)
 
 
 def without_nan(values: Column) -> Column:
@@ -37,7 +40,7 @@ def without_nan(values: Column) -> Column:
 
 
 def vector_text(values: Column, sep: str = ",") -> Column:
-    return F.array_join(F.transform(values, lambda v: v.cast("string")), sep)
+    return F.array_join(values.cast("array<string>"), sep)
 
 
 def text_vector(text: Column, sep: str = ",") -> Column:

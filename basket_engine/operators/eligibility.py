@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .skew import join_skewed
+from ..session import stored
+from .skew import join_skewed, key_counts
 
 
 def drop_empty_items(recos: DataFrame, item: str = "item_id") -> DataFrame:
@@ -41,10 +42,13 @@ def purge(recos: DataFrame, rules: DataFrame, inclusion: DataFrame, distinct: bo
     offered = drop_empty_items(recos).select("user_id", "item_id", "score")
     if distinct:
         offered, rules = offered.distinct(), rules.select("user_id", "rule_key").distinct()
+    # Both rule tables are small beside the recommendations: stored, the planner knows.
+    checked = stored(eligibility(rules, inclusion), "rules")
+    pairs = stored(inclusion.select("rule_key", "item_id").distinct().withColumn("named", F.lit(True)), "inclusion")
     ruled = join_skewed(
-        offered, eligibility(rules, inclusion), ["user_id"], "inner", row_id=["user_id", "item_id", "score"]
+        offered, checked, ["user_id"], "inner", counts=key_counts(recos, ["user_id"]),
+        row_id=["user_id", "item_id", "score"],
     )
-    pairs = inclusion.select("rule_key", "item_id").distinct().withColumn("named", F.lit(True))
     matched = join_skewed(
         ruled, pairs, ["rule_key", "item_id"], "left", row_id=["user_id", "item_id", "rule_key", "score"]
     )

@@ -128,7 +128,12 @@ def attach_totals(
     )
 
 
-def group_rows(df: DataFrame, keys: Sequence[str], row_id: Sequence[str] | None = None) -> DataFrame:
+def group_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    row_id: Sequence[str] | None = None,
+    counts: DataFrame | None = None,
+) -> DataFrame:
     """Rows nested per key: one record (keys, part, n_rows, rows).
 
     A hot key is delivered in several parts, so no record outgrows a task; every
@@ -142,7 +147,7 @@ def group_rows(df: DataFrame, keys: Sequence[str], row_id: Sequence[str] | None
         row_id, rest, weight = rest, rest + ["copies"], F.sum("copies")
     else:
         weight = F.count(F.lit(1))
-    hot = hot_keys(key_counts(df, keys), keys)
+    hot = hot_keys(counts if counts is not None else key_counts(df, keys), keys)
     if hot is None:
         placed = df.withColumn("part", F.lit(0))
     else:

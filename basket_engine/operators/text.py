@@ -67,8 +67,8 @@ def balanced_order(
     ranked = ordinal_in_group(docs, [label], [doc], "_rank")
     sizes = docs.agg(
         F.count(F.when(F.col(label) == 0, 1)).alias("n0"), F.count(F.when(F.col(label) == 1, 1)).alias("n1")
-    )
-    n0, n1 = sizes.select("n0").scalar(), sizes.select("n1").scalar()
+    ).first()
+    n0, n1 = F.lit(sizes["n0"]), F.lit(sizes["n1"])
     position = F.when(F.col(label) == 0, F.col("_rank") + F.least(F.col("_rank"), n1)).otherwise(
         F.col("_rank") + F.least(F.col("_rank") + 1, n0)
     )
@@ -81,7 +81,7 @@ def text_masks(batched: DataFrame, max_len: int, batch: str = "batch_id") -> Dat
     The longest of a batch comes from a map-side aggregate of one number.
     """
     widths = batched.groupBy(batch).agg(F.least(F.max("n_tokens"), F.lit(max_len)).alias("width"))
-    out = join_skewed(batched, widths, [batch], "inner")
+    out = join_skewed(batched, widths, [batch], "inner", row_id=[batch, "doc_id"] if "doc_id" in batched.columns else None)
     pad = zeros(F.col("width") - F.col("n_tokens"))
     return out.withColumns(
         {

@@ -190,7 +190,7 @@ def fit(
     head: str = "softmax",
     key: str = "user_id",
     epochs: int = 3,
-    workers: int = 5,
+    workers: int | None = 5,
     batch: int = 30,
     averaging: int = 5,
     learning_rate: float = 0.1,
@@ -206,7 +206,8 @@ def fit(
 
     ``materialize`` exports the placed examples once and lets every round read only
     its own split; otherwise they are persisted. An export below ``export_dir`` is
-    reused by later fits with the same ``run_id``. The best epoch is the one with the
+    reused by later fits with the same ``run_id``. Without a number of ``workers``
+    it is the cluster's default parallelism. The best epoch is the one with the
     lowest loss on ``test``, or on the training rows without one.
     """
     if export_dir and not run_id:
@@ -216,6 +217,7 @@ def fit(
     from .scoring import score, with_loss
 
     spark = examples.sparkSession
+    workers = workers or spark.sparkContext.defaultParallelism
     stats: list[tuple[int, int, str, float, int]] = []
 
     def timed(epoch: int, split: int, phase: str, since: float, n: int) -> None:

@@ -33,10 +33,21 @@ def basket_position(
     return ranked.withColumn(name, F.col("_rn") - 1).drop("_rn")
 
 
-def attach_factors(df: DataFrame, factors: DataFrame, key: str, name: str, row_id: Sequence[str] | None = None) -> DataFrame:
-    """Inner join with a factor table ``(key, factors)`` on the entity itself."""
+def attach_factors(
+    df: DataFrame,
+    factors: DataFrame,
+    key: str,
+    name: str,
+    row_id: Sequence[str] | None = None,
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """Inner join with a factor table ``(key, factors)`` on the entity itself.
+
+    Keys are counted on ``counts`` if given: rows including those of ``df``.
+    """
     dim = factors.select(key, F.col("factors").alias(name))
-    return join_skewed(df, dim, [key], "inner", row_id=row_id)
+    counted = None if counts is None else key_counts(counts, [key])
+    return join_skewed(df, dim, [key], "inner", counts=counted, row_id=row_id)
 
 
 def _check_basket_limit(tx: DataFrame, max_basket: int, on_overflow: str) -> None:
@@ -131,7 +142,7 @@ def slot_vectors(
     and one per item and variable. Rows of users or items without factors drop.
     """
     out = attach_factors(rows, user_factors, user, "_u", row_id=row_id)
-    out = attach_factors(out, item_factors, item, "_i", row_id=row_id)
+    out = attach_factors(out, item_factors, item, "_i", row_id=row_id, counts=rows)
     vector = slot_layout(F.col("_u"), F.col("_i"), F.col(index), n_items, k)
     return out.withColumn("features", vector).drop("_u", "_i")
 
@@ -142,13 +153,14 @@ def item_values(
     item: str = "item_id",
     order: Sequence[str] = ("year_month", "line_key", "variable"),
     value: str = "share",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """All values of an item within a user, in a fixed order: (user, item, part, values).
 
     One part per pair, except for a pair too large for one task, which is
     delivered in several.
     """
-    nested = group_rows(long_rows.select(user, item, *order, value), [user, item])
+    nested = group_rows(long_rows.select(user, item, *order, value), [user, item], row_id=order, counts=counts)
     return nested.select(user, item, "part", F.col(f"rows.{value}").alias("values"))
 
 

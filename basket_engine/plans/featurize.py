@@ -26,7 +26,8 @@ def basket_features(
     """
     cols = [risk, *variables]
     complete = X.impute(X.drop_missing(tx), cols)
-    known = X.membership(complete, pairs, row_id=row_id)
+    # Read three times below: for frequencies, for basket sums and for the result.
+    known = stored(X.membership(complete, pairs, row_id=row_id), "known")
     encoded = X.frequency_encode(known, risk, row_id=row_id)
     return X.basket_share(encoded, cols, row_id=row_id)
 

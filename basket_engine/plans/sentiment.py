@@ -8,6 +8,7 @@ from ..functions.arrays import zeros
 from ..operators import indexing as I, text as X, training as T
 from ..operators.skew import join_skewed
 from ..operators.training import FitResult
+from ..session import stored
 
 
 def review_batches(
@@ -20,7 +21,8 @@ def review_batches(
     """
     sequences = X.text_sequences(docs, vocabulary, max_len)
     labelled = join_skewed(sequences, docs.select("doc_id", "label"), ["doc_id"], "inner", row_id=["doc_id"])
-    ordered = X.balanced_order(labelled)
+    # Counted, ordered and padded below: the token work is done once.
+    ordered = X.balanced_order(stored(labelled, "reviews"))
     batched = ordered.withColumn("batch_id", F.floor(F.col("position") / batch_size).cast("long"))
     return X.text_masks(batched, max_len)
 
