@@ -67,8 +67,18 @@ user_factors AS (
 )"""
 
 
+# Tables with much work per row.
+_WIDE_ROWS = {"documents"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table by name. Long texts in too few pieces for the cores are spread first;
+    a table in many files, as at scale, is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _WIDE_ROWS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def transactions(spark: SparkSession, sf_dir: str, *cols: str, line: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stored
@@ -22,18 +23,13 @@ def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx"
     placed = stored(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), "placed")
     part = F.shiftrightunsigned("_place", 33).cast("int")
     within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("size")).collect()
+    sizes = dict(placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("size")).collect())
     shifts, before = [], 0
-    for row in sorted(sizes):
-        shifts.append((row["_part"], before))
-        before += row["size"]
-    offsets = df.sparkSession.createDataFrame(shifts, "_part int, _offset long")
-    return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + within)
-        .drop("_part", "_offset", "_place")
-    )
+    for i in range(max(sizes, default=0) + 1):
+        shifts.append(before)
+        before += sizes.get(i, 0)
+    shift = F.element_at(F.lit(np.array(shifts, dtype=np.int64)), part + 1)
+    return placed.withColumn(name, shift + within).drop("_place")
 
 
 def ordinal_in_group(

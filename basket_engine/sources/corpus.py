@@ -14,8 +14,7 @@ def read_reviews(spark: SparkSession, root: str, split: str) -> DataFrame:
     """
     base = f"{root.rstrip('/')}/{split}"
     files = (
-        spark.read.option("wholetext", "true")
-        .text([f"{base}/pos", f"{base}/neg"])
+        spark.read.text([f"{base}/pos", f"{base}/neg"], wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("doc_id"))
     )
     folder = F.regexp_extract("doc_id", r"/(pos|neg)/[^/]*$", 1)
