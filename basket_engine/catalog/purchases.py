@@ -264,3 +264,8 @@ GROUP BY user_id, year_month""",
 def net_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = V.transactions(spark, sf_dir, "user_id", "year_month", "balance")
     return _rounded(X.net_mean(tx, "balance"), "net")
+
+
+@query("training_pairs", f"WITH {V.TX}, {V.PAIRS} SELECT user_id, item_id FROM pairs")
+def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.training_pairs(spark, sf_dir)

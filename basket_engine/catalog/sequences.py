@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.arrays import array_total, features_and_labels, record_steps, without_nan
+from ..functions.arrays import array_total, features_and_labels, picked, record_steps, without_nan
 from ..functions.scalars import month_axis
-from ..operators import indexing as I, sequences as Q
+from ..operators import indexing as I, sequences as Q, training as T
+from ..session import scratch_path
+from ..sinks.tables import export_minibatches
 from . import views as V
 from .registry import query
 
@@ -216,3 +218,27 @@ def minibatch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of a seeded random split into seven equal parts."""
     events = V.table(spark, sf_dir, "events").select("event_id")
     return I.balanced_split(events, "event_id", 7, 12345).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+_WORKERS, _BATCH, _AVERAGING = 3, 10, 5
+
+
+@query(
+    "minibatch_export",
+    f"""SELECT CAST(i % s AS INTEGER) AS split, CAST((i // s) % {_WORKERS} AS INTEGER) AS worker, count(*) AS n_rows
+FROM (SELECT unnest(range(n)) AS i, CAST(ceil(n / {_WORKERS * _BATCH * _AVERAGING}.0) AS BIGINT) AS s
+      FROM (SELECT count(*) AS n FROM events)) GROUP BY ALL""",
+)
+def minibatch_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples placed by averaging round and worker, exported, and read back."""
+    events = V.table(spark, sf_dir, "events").select("event_id", F.array("value").alias("x"), F.array("value").alias("y"))
+    placed, _, _ = T.place_examples(events, "event_id", _WORKERS, _BATCH, _AVERAGING)
+    exported = export_minibatches(placed, scratch_path(spark, "minibatches"), "run")
+    return exported.groupBy("split", "worker").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("picked_features", f"WITH {V.DAILY} SELECT user_id, year_month, top, n FROM daily")
+def picked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the features by position, in the order asked for."""
+    rows = V.activity_rows(spark, sf_dir).select("user_id", "year_month", picked(F.col("features"), [2, 0]).alias("p"))
+    return rows.select("user_id", "year_month", F.get("p", F.lit(0)).alias("top"), F.get("p", F.lit(1)).alias("n"))

@@ -46,7 +46,7 @@ def _digest_sql(width: str) -> str:
 
 @query(
     "basket_position",
-    f"""{_CODED} SELECT {LINE_SQL}, user_id, year_month, item_idx, CAST(position AS INTEGER) AS position FROM coded""",
+    f"""{_CODED} SELECT {LINE_SQL}, user_id, year_month, item_idx, position FROM coded""",
 )
 def basket_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = V.indexed_transactions(spark, sf_dir, V.item_dictionary(spark, sf_dir), line=True)

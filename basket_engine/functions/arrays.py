@@ -78,5 +78,10 @@ def zipped(items: Column, scores: Column) -> Column:
     return F.arrays_zip(F.slice(items, F.lit(1), n).alias("item_id"), F.slice(scores, F.lit(1), n).alias("score"))
 
 
+def picked(values: Column, positions: list[int]) -> Column:
+    """The entries at the given 0-based positions, NULL outside the array."""
+    return F.transform(F.array(*[F.lit(p) for p in positions]), lambda i: F.get(values, i))
+
+
 def array_total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)

@@ -72,7 +72,8 @@ def join_skewed(
 ) -> DataFrame:
     """``left.join(right, keys, how)`` that stays balanced for hot keys of ``left``.
 
-    ``counts`` gives rows ``_n`` per key, of the left side or of rows including it,
+    Without ``row_id`` the right side should have one row per key. ``counts`` gives
+    rows ``_n`` per key, of the left side or of rows including it,
     where that is cheaper than counting the left side here.
     """
     if how not in JOIN_KINDS:

@@ -164,10 +164,11 @@ def place_examples(
 
     Splits and the workers' shares of a split differ in size by one at most.
     """
-    n = examples.count()
-    n_splits = max(1, math.ceil(n / split_plan(workers, batch, averaging)))
     keyed = examples.select(key, "x", "y", F.xxhash64(F.col(key), F.lit(seed)).alias("_h"))
     placed = global_index(keyed, ["_h", key], "_idx")
+    # Counted on the stored rows, so the examples are computed once.
+    n = placed.count()
+    n_splits = max(1, math.ceil(n / split_plan(workers, batch, averaging)))
     share = F.floor(F.col("_idx") / n_splits)
     return (
         placed.select(

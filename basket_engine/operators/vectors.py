@@ -10,6 +10,7 @@ from ..functions.arrays import padded, slot_layout
 from ..functions.scalars import ratio
 from ..settings import PACKED_BASKET
 from .features import BASKET
+from .indexing import ordinal_in_group
 from .skew import group_rows, join_skewed, key_counts
 
 OVERFLOW = ("error", "truncate")
@@ -25,12 +26,13 @@ def basket_position(
     """0-based position of each row in its basket, by dictionary index then line.
 
     With ``upto`` only that many first rows of each basket are kept; the planner
-    then cuts every basket down before the shuffle.
+    then cuts every basket down before the shuffle. Without it a basket may be of
+    any size and is numbered across tasks.
     """
+    if upto is None:
+        return ordinal_in_group(tx, keys, order, name)
     ranked = tx.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    if upto is not None:
-        ranked = ranked.where(F.col("_rn") <= upto)
-    return ranked.withColumn(name, F.col("_rn") - 1).drop("_rn")
+    return ranked.where(F.col("_rn") <= upto).withColumn(name, (F.col("_rn") - 1).cast("long")).drop("_rn")
 
 
 def attach_factors(
@@ -168,5 +170,7 @@ def append_values(
     vectors: DataFrame, values: DataFrame, user: str = "user_id", item: str = "item_id"
 ) -> DataFrame:
     """The slot vector followed by the item's values; one row per part of the values."""
-    joined = join_skewed(vectors, values, [user, item], "inner")
+    # A pair may have several parts, so the rows need an identity to be spread by.
+    identity = [c for c in vectors.columns if c != "features"]
+    joined = join_skewed(vectors, values, [user, item], "inner", row_id=identity)
     return joined.withColumn("features", F.concat("features", "values")).drop("values")
