@@ -33,8 +33,8 @@ chosen AS (
 ),
 users AS (SELECT DISTINCT user_id, n_rows FROM placed)
 SELECT u.user_id, CAST(u.n_rows AS BIGINT) AS n_rows, a.ym, coalesce(c.q, 0) AS x0, coalesce(CAST(c.n AS DOUBLE), 0) AS x1,
-       coalesce(c.d, 0) AS y0, CASE WHEN c.user_id IS NULL THEN 0.0 ELSE 1.0 END AS x_mask,
-       CASE WHEN c.user_id IS NOT NULL AND (c.year_month = {END} OR u.n_rows = 1) THEN 1.0 ELSE 0.0 END AS y_mask
+       coalesce(c.d, 0) AS y0, CAST(c.user_id IS NOT NULL AS DOUBLE) AS x_mask,
+       CAST(coalesce(c.user_id IS NOT NULL AND (c.year_month = {END} OR u.n_rows = 1), false) AS DOUBLE) AS y_mask
 FROM users u CROSS JOIN axis a LEFT JOIN chosen c ON c.user_id = u.user_id AND c.slot = a.slot"""
 
 

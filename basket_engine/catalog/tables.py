@@ -37,7 +37,7 @@ def delimited_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "field_count",
-    """SELECT lang, source, sum(1 + length(text) - length(replace(text, ',', ''))) AS n_fields,
+    """SELECT lang, source, CAST(sum(1 + length(text) - length(replace(text, ',', ''))) AS BIGINT) AS n_fields,
        count(*) FILTER (text LIKE '%,') AS ends_empty FROM documents GROUP BY lang, source""",
 )
 def field_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def field_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "grouped_table",
     """SELECT event_type, count(*) AS n_rows, min(event_id) AS first_id, max(event_id) AS last_id,
-       sum(event_id) AS id_total FROM events GROUP BY event_type""",
+       CAST(sum(event_id) AS BIGINT) AS id_total FROM events GROUP BY event_type""",
 )
 def grouped_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events nested by type, read back from the nested rows of all parts."""
