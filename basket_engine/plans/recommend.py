@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from ..operators import dictionary as D, eligibility as E, scoring as S, sequences as Q, training as T
+from ..functions.arrays import multi_hot
+from ..operators import eligibility as E, scoring as S, sequences as Q, training as T
 from ..operators.training import FitResult, Model
 from ..settings import SEQUENCE_END, SEQUENCE_START
 
@@ -17,9 +18,17 @@ def sequence_examples(
     end: int = SEQUENCE_END,
     off_axis: str = "last",
 ) -> DataFrame:
-    """(user_id, x, y) of packed rows carrying a sparse ``label_idx``."""
-    rows = D.dense_label(examples, n_items).select("user_id", "year_month", "features", "label")
-    return Q.flatten_sequences(Q.month_sequences(rows, n_features, n_items, start, end, off_axis))
+    """(user_id, x, y) of packed rows carrying a sparse ``label_idx``.
+
+    The label stays sparse through the grouping; only the one at the labelled step
+    becomes a dense vector.
+    """
+    rows = examples.select(
+        "user_id", "year_month", "features", F.col("label_idx").cast("array<double>").alias("label")
+    )
+    flat = Q.flatten_sequences(Q.month_sequences(rows, n_features, 0, start, end, off_axis))
+    dense = multi_hot(F.col("y").cast("array<int>"), n_items)
+    return flat.withColumn("y", F.when(F.col("y").isNotNull(), dense))
 
 
 def fit_recommender(train: DataFrame, n_features: int, n_items: int, test: DataFrame | None = None, **options) -> FitResult:

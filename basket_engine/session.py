@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -28,25 +29,43 @@ def local_session(cpus: int | str = 8, app: str = "basket-engine", **extra: str)
     return builder.getOrCreate()
 
 
+def configured_root(spark: SparkSession) -> str | None:
+    return spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+
+
+@functools.cache
+def _local_root(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="basket-engine-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it.
 
     Only a local session without the setting falls back to a temporary folder;
     on a cluster a machine-local folder would be lost with its machine.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    root = configured_root(spark)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="basket-engine-")
-    spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    return _local_root(spark.sparkContext.applicationId)
+
+
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/basket-engine-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared scratch folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in this application's part of the scratch folder."""
+    return f"{_own_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Drops everything this application stored. Call it once its results are written:
+    DataFrames built before still read from there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stored(df: DataFrame, label: str = "stage") -> DataFrame:

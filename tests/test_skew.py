@@ -120,3 +120,38 @@ def test_balanced_split_sizes_and_seed(spark, n_splits):
 def test_fixed_batches(spark):
     got = indexing.fixed_batches(spark.range(10), ["id"], 4)
     assert rows(got, "id", "batch_id") == [(i, i // 4) for i in range(10)]
+
+
+def test_scratch_paths_are_new_and_below_the_shared_folder(spark):
+    from basket_engine import session
+
+    root = session.scratch_root(spark)
+    assert session.scratch_path(spark, "x").startswith(root)
+    assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
+
+
+def test_stored_keeps_schema_and_rows(spark):
+    from basket_engine.session import stored
+
+    df = spark.createDataFrame([(1, ["a"], None)], "i int, a array<string>, n double")
+    back = stored(df)
+    assert back.schema == df.schema and rows(back) == rows(df)
+
+
+def test_scratch_folder_choice_and_release(spark, monkeypatch, tmp_path):
+    from basket_engine import session
+
+    monkeypatch.setattr(session, "configured_root", lambda _: str(tmp_path) + "/")
+    back = session.stored(spark.range(3))
+    assert back.count() == 3 and len(list(tmp_path.iterdir())) == 1
+    session.release_scratch(spark)
+    assert list(tmp_path.iterdir()) == []
+    monkeypatch.setattr(session, "configured_root", lambda _: None)
+    assert session.scratch_root(spark) == session.scratch_root(spark)
+
+    class Remote:
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(RuntimeError):
+        session.scratch_root(Remote)
