@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .skew import join_skewed
-from .training import Model, cross_entropy, squared_error
+from .training import Model, cross_entropy, head_output, squared_error
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def score(examples: DataFrame, model: Model, keep: Sequence[str] = ("user_id",)) -> DataFrame:
     """Model output per example as ``scores``, in Arrow batches."""
-    shared = examples.sparkSession.sparkContext.broadcast(model)
+    head = model.head
+    shared = examples.sparkSession.sparkContext.broadcast(model.params.reshape(model.n_labels, -1))
     kept = [examples.schema[c] for c in keep]
     schema = StructType([*kept, StructField("scores", ArrayType(DoubleType()))])
     names = list(keep)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fitted = shared.value
+        weights = shared.value
         for frame in frames:
             if len(frame):
-                out = fitted.output(np.stack(frame["x"].to_numpy()))
+                out = head_output(head, weights, np.stack(frame["x"].to_numpy()))
                 yield frame[names].assign(scores=list(out))
 
     columns = names + ([] if "x" in names else ["x"])

@@ -10,19 +10,24 @@ batches and the parameter vector.
 from __future__ import annotations
 
 import math
+import sys
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 from ..settings import FIT_SEED
 from .indexing import global_index
 
+# The few functions run in Python workers travel with the job: workers need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HEADS = ("softmax", "linear")
 RESULT_SCHEMA = "params array<double>, updater array<double>, n long, loss double"
 
@@ -44,9 +49,6 @@ class Model:
         size = n_labels * (n_features + 1)
         return Model(head, n_features, n_labels, np.zeros(size), np.zeros(size))
 
-    def output(self, x: np.ndarray) -> np.ndarray:
-        return head_output(self.head, self.params.reshape(self.n_labels, -1), x)
-
 
 @dataclass(frozen=True)
 class FitResult:
@@ -115,13 +117,15 @@ def _minibatches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[np
 
 def worker_fit(model: Model, batch: int, learning_rate: float, l2: float, decay: float = 0.95):
     """Partition function: fits its examples batch by batch from the given model."""
+    head = model.head
+    params = model.params.reshape(model.n_labels, -1)
+    updater = model.updater.reshape(model.n_labels, -1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = model.params.reshape(model.n_labels, -1).copy()
-        cache = model.updater.reshape(model.n_labels, -1).copy()
+        weights, cache = params.copy(), updater.copy()
         seen, losses = 0, []
         for x, y in _minibatches(frames, batch):
-            grad, loss = gradient(model.head, weights, x, y, l2)
+            grad, loss = gradient(head, weights, x, y, l2)
             cache = decay * cache + (1.0 - decay) * grad**2
             weights -= learning_rate * grad / (np.sqrt(cache) + 1e-8)
             seen += len(x)
