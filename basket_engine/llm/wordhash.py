@@ -77,8 +77,8 @@ class WordHasher:
             yield lo, hi
             lo = hi
 
-    def blocks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(hash, index of the text) of every word, block by block."""
+    def blocks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(hash, index of the text, first byte, byte behind) of every word, block by block."""
         for lo, hi in self._cuts(data, offsets):
             part = data[lo:hi]
             self._table(hi - lo)
@@ -93,13 +93,17 @@ class WordHasher:
             term = self.value[part] * self.up[: hi - lo]
             upto = np.cumsum(term, dtype=np.uint64)
             total = (upto[ends] - upto[starts] + term[starts]) * self.down[starts]
-            yield mix(total), np.searchsorted(offsets, lo + starts, "right") - 1
+            yield mix(total), np.searchsorted(offsets, lo + starts, "right") - 1, lo + starts, lo + ends + 1
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.spans(data, offsets)[:2]
+
+    def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Like ``blocks``, for all blocks."""
         parts = list(self.blocks(data, offsets))
         if not parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def shingles(words: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
