@@ -246,6 +246,33 @@ def _worker(key: bytes):
     return run
 
 
+def _in_place(key: bytes, text: int, size: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text):
+                column = batch.column(text)
+                some = pc.fill_null(pc.match_substring_regex(column, "[0-9@=:]"), False).to_numpy(zero_copy_only=False)
+                if some.any():
+                    texts = column.to_pylist()
+                    for i in some.nonzero()[0]:
+                        texts[i] = pseudonymised(texts[i], key)[0]
+                    new = pa.array(texts, column.type)
+                    batch = batch.set_column(text, batch.schema.field(text), new)
+                    if size is not None:
+                        batch = batch.set_column(size, batch.schema.field(size), pc.utf8_length(new).cast(batch.schema.field(size).type))
+                yield batch
+
+    return run
+
+
+def replaced(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text", size_col: str | None = None) -> DataFrame:
+    """The documents with their personal values replaced as by ``pseudonyms`` and all other
+    columns as they are; ``size_col`` is set to the text's code points where given."""
+    names = docs.columns
+    size = names.index(size_col) if size_col in names else None
+    return docs.mapInArrow(_in_place(key, names.index(text_col), size), docs.schema)
+
+
 def pseudonyms(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_email, n_secret, ..., n_values), one row per document.
 
