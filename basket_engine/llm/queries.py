@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprint, language, neardup, packing, pii, quality, ring
+from . import decontaminate, fingerprint, language, neardup, ngram_lm, packing, pii, quality, ring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(sample, language.read_pieces(tokenizer("byte_bpe_multi_50k.tiktoken")))
     found = language.identified(docs, model)
     return found.withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op3_lm_scores")
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    return ngram_lm.language_model_scores(table(spark, sf_dir, "documents"), held_out)
