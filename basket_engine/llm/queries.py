@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprint, language, neardup, ngram_lm, packing, pii, quality, ring
+from . import decontaminate, fingerprint, language, neardup, ngram_lm, packing, pii, quality, quotes, ring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
     return ngram_lm.language_model_scores(table(spark, sf_dir, "documents"), held_out)
+
+
+@query("op4_quotes", r"""
+SELECT conv_id, turn, CASE WHEN before IS NOT NULL THEN conv_id END AS parent_conv, before AS parent_turn,
+  conv_id AS root_conv, root AS root_turn, n::INTEGER AS depth, n AS position, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text
+FROM (
+  SELECT *, lag(turn) OVER w AS before, min(turn) OVER (PARTITION BY conv_id) AS root, row_number() OVER w - 1 AS n
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+)
+""")
+def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as mails with nested quotations; the operator sees these alone and has to
+    give back the turns, without quotations and in order."""
+    mails = quotes.as_mail(table(spark, sf_dir, "conversations"))
+    linked = quotes.conversations(mails, ["conv_id", "turn"])
+    return linked.select(
+        "conv_id", "turn", F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"),
+        F.col("root.conv_id").alias("root_conv"), F.col("root.turn").alias("root_turn"), "depth", "position", "text",
+    )
