@@ -25,6 +25,9 @@ MANTISSA = 10
 #: Estimates this far below the threshold are not confirmed: more than five standard
 #: deviations of an estimate from all registers.
 MARGIN = 0.18
+#: Documents estimated less like the centre of their buckets than this have no centre but
+#: themselves: their differences from it would not be few.
+CENTRE = 0.35
 _BITS = 40
 
 
@@ -122,23 +125,67 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(e)], ["a", "b", "est"])
 
 
+def _sets(column: pa.Array, size: int, hasher: WordHasher) -> list[np.ndarray]:
+    h, doc = shingles(*hasher.words(*text_buffers(column)), size)
+    order = np.argsort(doc, kind="stable")
+    ends = np.cumsum(np.bincount(doc, minlength=len(column)))
+    return [np.unique(x) for x in np.split(h[order], ends[:-1])]
+
+
+def _text_pairs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
+    """Parts of batches (a, b, text_a, text_b) with both shingle sets of each row."""
+    hasher = WordHasher()
+    for whole in batches:
+        for batch in slices(whole, 2, most_rows=1024):
+            yield batch, _sets(batch.column(2), size, hasher), _sets(batch.column(3), size, hasher)
+
+
+def _linked(common: int, n_a: int, n_b: int, percent: int) -> bool:
+    return common > 0 and 100 * common >= percent * (n_a + n_b - common)
+
+
 def _confirmed(size: int, percent: int):
-    def sets(column: pa.Array, hasher: WordHasher) -> list[np.ndarray]:
-        h, doc = shingles(*hasher.words(*text_buffers(column)), size)
-        order = np.argsort(doc, kind="stable")
-        ends = np.cumsum(np.bincount(doc, minlength=len(column)))
-        return [np.unique(x) for x in np.split(h[order], ends[:-1])] if len(column) else []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, left, right in _text_pairs(batches, size):
+            keep = [
+                i for i, (a, b) in enumerate(zip(left, right))
+                if _linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent)
+            ]
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def least_overlap(d_a: float, d_b: float, n_a: float, n_b: float, percent: int) -> float:
+    """How many differences from a third set two sets must share to be linked.
 
+    With d differences each from that set, two sets of n elements differ from each other in
+    d_a + d_b - 2 * shared elements; a link allows (n_a + n_b) * (100 - p) / (100 + p).
+    """
+    return (d_a + d_b - (n_a + n_b) * (100 - percent) / (100 + percent)) / 2
+
+
+def _differences(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for whole in batches:
-            for batch in slices(whole, 2, most_rows=1024):
-                keep = []
-                for i, (a, b) in enumerate(zip(sets(batch.column(2), hasher), sets(batch.column(3), hasher))):
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    if common and 100 * common >= percent * (len(a) + len(b) - common):
-                        keep.append(i)
-                yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+        for batch, members, centres in _text_pairs(batches, size):
+            linked, sizes, counts, kept = [], [], [], []
+            for a, b in zip(members, centres):
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                linked.append(_linked(common, len(a), len(b), percent))
+                # one order for all members of a centre: what is new in them first, as the rarer
+                own = np.r_[np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)]
+                sizes.append(len(a)), counts.append(len(own))
+                if linked[-1]:
+                    # partners have more differences than a link to the centre allows
+                    spare = (len(b) - len(a)) * (100 - percent) / (100 + percent)
+                    needed = max(1, int(np.floor((len(own) + spare) / 2)))
+                    own = own[: max(0, len(own) - needed + 1)]
+                kept.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()),
+                 pa.array(counts, pa.int64()), pa.array(kept, pa.list_(pa.int64()))],
+                ["a", "b", "linked", "n", "d", "own"],
+            )
 
     return run
 
@@ -154,10 +201,13 @@ def near_duplicates(
     links lead to, and the document with this id is kept. A null text or one without words
     has an empty set and no link. For null and repeated ids see ``one_per_id``.
 
-    Equal sets are one class from the start, so exact copies are never compared. In each
-    band bucket the members are first compared with its smallest member only. What one
-    component holds then needs no more comparisons; only pairs across components that
-    still share a bucket are compared, so large groups of near copies do not become pairs.
+    Equal sets are one class from the start, so exact copies are never compared. In a band
+    bucket, the member that shares most buckets with others is its centre, and every member
+    is compared with the most central document of its buckets only. Those linked to it are
+    one component. The others can be linked to documents of the same centre only if they
+    share enough of their differences from it, which a prefix-filtered join of these (few)
+    differences finds. What remains are pairs of different centres that share a bucket and
+    are in different components. So a large group of near copies never becomes pairs.
     """
     kept = one_per_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
     kind = kept.schema["id"].dataType.simpleString()
@@ -167,49 +217,46 @@ def near_duplicates(
     same = ["n", "one", "two"]
     classes = stored(sigs.where("n > 0").groupBy(*same).agg(F.min("id").alias("rep")), "classes")
     reps = sigs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "regs")
-    bands = stored(_shared(reps.select("id", "regs").mapInArrow(_bands, f"id {kind}, band long")), "bands")
+    bands = _shared(reps.select("id", "regs").mapInArrow(_bands, f"id {kind}, band long"))
 
-    def estimated(pairs: DataFrame) -> DataFrame:
+    def estimated(pairs: DataFrame, least: float) -> DataFrame:
         side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "regs_a", "n_b", "regs_b")
-        # sizes alone rule out what is too unequal
-        least = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        return both.where(least).mapInArrow(_estimates, f"a {kind}, b {kind}, est double").where(F.col("est") >= percent / 100 - MARGIN)
+        return both.mapInArrow(_estimates, f"a {kind}, b {kind}, est double").where(F.col("est") >= least)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def with_texts(pairs: DataFrame) -> DataFrame:
         side = lambda x: kept.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-        both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(_confirmed(shingle, percent), f"a {kind}, b {kind}")
-
-    def merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
-        """Components of the reps (node, component) after more links."""
-        if found is None:
-            return stored(components(links), "components")
-        known = _labelled(_labelled(links, found, "a", "ca"), found, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        more = components(known)
-        grown = more.select(F.col("node").alias("top"), F.col("component").alias("to"))
-        moved = found.join(grown, found["component"] == grown["top"], "left").select("node", F.coalesce("to", "component").alias("component"))
-        fresh = more.join(found.select("node"), "node", "left_anti")
-        return stored(moved.unionByName(fresh), "components")
-
-    # 1: each member of a bucket beside the bucket's smallest, the most alike one first
-    stars = bands.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    stars = stored(estimated(stars), "stars")
-    best = stars.groupBy("a").agg(F.max(F.struct("est", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
-    found = merged(None, stored(confirmed(best), "confirmed"))
-    # 2: the other smallest members, where they are in another component
-    across = lambda pairs: _labelled(_labelled(pairs, found, "a", "ca"), found, "b", "cb").where("ca <> cb")
-    rest = across(stars.join(best, ["a", "b"], "left_anti")).select("a", "b")
-    found = merged(found, stored(confirmed(rest), "confirmed"))
-    # 3: buckets that still hold several components, pairs across these only
+        return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return stored(with_texts(pairs).mapInArrow(_confirmed(shingle, percent), f"a {kind}, b {kind}"), "confirmed")
+
+    # 1: every document beside the most central one of its buckets
+    central = bands.groupBy("id").agg(F.max(F.struct("weight", "leader")).alias("top")).select("id", F.col("top.leader").alias("centre"))
+    stars = estimated(central.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")), CENTRE)
+    schema = f"a {kind}, b {kind}, linked boolean, n long, d long, own array<bigint>"
+    compared = stored(with_texts(stars).mapInArrow(_differences(shingle, percent), schema), "compared")
+    # 2: what is not linked to its centre beside others of this centre
+    rows = compared.select("b", "a", "linked", "n", "d", F.posexplode("own").alias("i", "e"))
+    left = rows.where("not linked").select("b", "e", "a", *[F.col(c).alias(f"{c}_a") for c in ("n", "d", "i")])
+    right = rows.select("b", "e", F.col("a").alias("o"), "linked", *[F.col(c).alias(f"{c}_o") for c in ("n", "d", "i")])
+    needed = least_overlap(F.col("d_a"), F.col("d_o"), F.col("n_a"), F.col("n_o"), percent)
+    at_most = F.least(F.col("d_a") - F.col("i_a"), F.col("d_o") - F.col("i_o"))  # this one and all behind it
+    near = left.join(right, ["b", "e"]).where((F.col("linked") | (F.col("a") < F.col("o"))) & (F.col("a") != F.col("o")) & (at_most >= needed - 1e-6))
+    near = near.select("a", F.col("o").alias("b")).distinct()
+    links = compared.where("linked").select("a", "b").unionByName(confirmed(estimated(near, percent / 100 - MARGIN)))
+    found = stored(components(links), "components")
+    # 3: pairs of a bucket that have different centres and components
+    centre = compared.select(F.col("a").alias("id"), F.col("b").alias("own_centre"))
     member = _labelled(bands, found, "id", "component")
     mixed = member.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    member = stored(member.join(mixed.select("band"), "band", "left_semi"), "mixed")
-    left = member.where("id <> leader").select("band", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = member.where("id <> leader").select("band", F.col("id").alias("b"), F.col("component").alias("cb"))
-    pairs = left.join(right, "band").where("a > b and ca <> cb").select("a", "b").distinct()
-    pairs = estimated(pairs.join(stars, ["a", "b"], "left_anti"))
-    found = merged(found, stored(confirmed(pairs), "confirmed"))
+    member = member.join(mixed.select("band"), "band", "left_semi").join(centre, "id", "left")
+    member = stored(member.select("band", "id", "component", F.coalesce("own_centre", "id").alias("centre")), "mixed")
+    left = member.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("centre").alias("za"))
+    right = member.select("band", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("centre").alias("zb"))
+    across = left.join(right, "band").where("a > b and ca <> cb and za <> zb and za <> b and zb <> a").select("a", "b").distinct()
+    more = confirmed(estimated(across, percent / 100 - MARGIN))
+    found = _merged(found, more)
 
     of_class = _labelled(classes, found, "rep", "component").select(*same, "component")
     return (
@@ -224,10 +271,27 @@ def near_duplicates(
 
 
 def _shared(bands: DataFrame) -> DataFrame:
-    """(id, band, leader) of the buckets with two members or more."""
+    """(id, band, leader, weight) of the buckets with two members or more.
+
+    A document weighs as much as its buckets have members; a bucket's leader is its
+    heaviest member.
+    """
     held = stored(bands, "all-bands")
-    leaders = held.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last")
-    return held.join(leaders.select("band", "leader"), "band")
+    sizes = held.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stored(held.join(sizes, "band"), "bands")
+    weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    leaders = shared.join(weight, "id").groupBy("band").agg(F.max(F.struct("weight", "id")).alias("top"))
+    leaders = leaders.select("band", F.col("top.id").alias("leader"), F.col("top.weight").alias("weight"))
+    return stored(shared.select("id", "band").join(leaders, "band"), "led-bands")
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) after more links between their nodes."""
+    known = _labelled(_labelled(links, found, "a", "ca"), found, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    more = components(known)
+    grown = more.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = found.join(grown, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return stored(moved.unionByName(more.join(found.select("node"), "node", "left_anti")), "components")
 
 
 def _labelled(rows: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
