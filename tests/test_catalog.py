@@ -7,10 +7,10 @@ import pytest
 
 import __spark_entry__ as entry_point
 
+from basket_engine.catalog import ORACLES, QUERIES
 from tools.check_queries import TABLES, compare
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
 BALANCED = [
     "basket_features", "basket_share", "membership_filter", "risk_encoded", "user_softmax", "index_lookup", "purge",
     "packed_vector_user", "slot_vector", "item_values", "subtract_rows", "exclude_users", "vocabulary_filter", "text_masks",
@@ -45,4 +45,6 @@ def test_entry(spark):
 
 def test_names():
     assert set(ORACLES) <= set(QUERIES)
+    assert QUERIES.items() <= entry_point.queries().items() and ORACLES.items() <= entry_point.oracle_sql().items()
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
     assert set(QUERIES) - set(ORACLES) == {"fit_linear", "fit_softmax", "fit_sentiment", "early_stopping"}
