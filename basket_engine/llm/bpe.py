@@ -11,6 +11,7 @@ against that library.
 from __future__ import annotations
 
 import json
+import re
 from itertools import chain
 
 import numpy as np
@@ -21,6 +22,9 @@ from .wordhash import BASE, _powers, mix
 REMEMBERED = 800_000
 #: Code points below this one are split here.
 SIMPLE = 0x250
+#: Texts of more characters are encoded in parts, cut where a word surely starts.
+LONG = 1 << 20
+_SURE = re.compile(r"(?<=[a-z]) (?=[a-z])")
 
 
 #: Fixed value: how the vocabulary's tokenizer splits a text into words.
@@ -98,6 +102,8 @@ class TokenEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; few megabytes of text at a time."""
+        if any(len(t) > LONG for t in texts):
+            return [self._in_parts(t) if len(t) > LONG else self.encode([t])[0] for t in texts]
         out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(texts)
         whole = "".join(texts)
         if not whole:
@@ -137,3 +143,14 @@ class TokenEncoder:
         for i in np.flatnonzero(sizes):
             out[i] = ids[cut[i] : cut[i + 1]]
         return out
+
+    def _in_parts(self, text: str) -> np.ndarray:
+        parts, at = [], 0
+        while at < len(text):
+            cut = _SURE.search(text, at + LONG // 2)
+            if not cut or cut.start() - at > LONG:  # no sure place nearby: the rest goes whole
+                parts.append(np.array(self.encoding.encode_ordinary(text[at:]), np.uint16))
+                break
+            parts += self.encode([text[at : cut.start()]])
+            at = cut.start()
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint16)

@@ -41,6 +41,13 @@ def test_ids_are_those_of_the_library(library):
         rng.shuffle(texts)
 
 
+def test_long_texts_in_parts(library, monkeypatch):
+    monkeypatch.setattr("basket_engine.llm.bpe.LONG", 60)
+    rng = random.Random(9)
+    texts = [sentence(rng, 300), "x" * 200 + " ab cd", "!? " * 100, "short", sentence(rng, 50).replace(" ", "  ")]
+    assert [e.tolist() for e in TokenEncoder(PATH).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("low, high, n", [(1, 1024, 400), (300, 700, 300), (341, 600, 200), (1, 60, 500), (1024, 1024, 5), (1, 1, 0)])
 def test_bins(low, high, n):
     rng = random.Random(n)
