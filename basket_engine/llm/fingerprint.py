@@ -12,7 +12,6 @@ of their term frequencies.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.indexing import global_index
@@ -21,30 +20,20 @@ from .documents import ascii_lower, one_per_id
 
 REGISTERS = 32
 BREAKS = r"[\x20\x09-\x0D]+"
-#: Points of the tabulated Gamma quantiles, a power of two.
-QUANTILES = 4096
 _LOW = 0xFFFFFFFF
 
 
-def gamma_quantiles(n: int = QUANTILES) -> np.ndarray:
-    """Midpoint quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x)."""
-    p = (np.arange(n) + 0.5) / n
-    low, high = np.zeros(n), np.full(n, 64.0)
-    for _ in range(80):
-        mid = (low + high) / 2
-        below = 1 - (1 + mid) * np.exp(-mid) < p
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
+def _sample(term: Column, log_weight: Column, j: int) -> Column:
+    """Rank and identity of a term's sample in one number: the least number wins.
 
-
-def _sample(term: Column, log_weight: Column, j: int, r_table: Column, c_table: Column) -> Column:
-    """Rank and identity of a term's sample in one number: the least number wins."""
+    A Gamma(2, 1) variable is minus the logarithm of two uniform ones' product.
+    """
     bits = F.xxhash64(term, F.lit(j))
-    at = lambda shift: F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(QUANTILES - 1)).cast("int")
-    r, ln_c = F.get(r_table, at(0)), F.get(c_table, at(12))
-    b = (F.shiftrightunsigned(bits, 24).bitwiseAND(F.lit((1 << 32) - 1)) + 0.5) / float(1 << 32)
+    uniform = lambda shift: (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0xFFFF)) + 0.5) / 65536.0
+    r, c = -F.log(uniform(0) * uniform(16)), -F.log(uniform(32) * uniform(48))
+    b = (F.shiftrightunsigned(F.xxhash64(bits), 32) + 0.5) / float(1 << 32)
     t = F.floor(log_weight / r + b)
-    rank = ((ln_c - r * (t + 1 - b) + 64) * float(1 << 24)).cast("long")  # ln a lies in (-40, 3)
+    rank = ((F.log(c) - r * (t + 1 - b) + 64) * float(1 << 24)).cast("long")  # ln a lies in (-64, 4)
     return F.shiftleft(rank, 32).bitwiseOR(term.bitwiseXOR(t).bitwiseAND(F.lit(_LOW)))
 
 
@@ -64,9 +53,7 @@ def registers(texts: DataFrame, keys: list[str], n: int = REGISTERS) -> DataFram
         *keys, F.get("terms", "end").alias("term"),
         F.log((F.col("end") - F.coalesce(F.get("ends", F.col("i") - 1), F.lit(-1))).cast("double")).alias("log_weight"),
     )
-    quantiles = gamma_quantiles()
-    tables = F.lit(quantiles), F.lit(np.log(quantiles))
-    least = [F.min(_sample(F.col("term"), F.col("log_weight"), j, *tables)).alias(f"r{j}") for j in range(n)]
+    least = [F.min(_sample(F.col("term"), F.col("log_weight"), j)).alias(f"r{j}") for j in range(n)]
     found = rows.groupBy(*keys).agg(*least)
     empty = F.lit(-1).cast("long")
     return found.select(*keys, F.array(*[F.coalesce(F.col(f"r{j}").bitwiseAND(F.lit(_LOW)), empty) for j in range(n)]).alias("regs"))

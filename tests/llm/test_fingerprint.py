@@ -4,7 +4,9 @@ from collections import Counter
 
 import numpy as np
 
-from basket_engine.llm.fingerprint import edited_likeness, fingerprints, gamma_quantiles
+from pyspark.sql import functions as F
+
+from basket_engine.llm.fingerprint import _sample, edited_likeness, fingerprints
 
 from .data import edge_rows, edge_table, kept_texts, sentence, spaced_words, table
 
@@ -24,10 +26,12 @@ def edited(texts):
     return out
 
 
-def test_quantiles_are_those_of_the_gamma_distribution():
-    q = gamma_quantiles(1024)
-    assert abs(q.mean() - 2) < 0.01 and abs((q**2).mean() - 6) < 0.2
-    assert np.allclose(1 - (1 + q) * np.exp(-q), (np.arange(1024) + 0.5) / 1024)
+def test_one_heavy_term_agrees_by_weight(spark):
+    rows = spark.range(3000).selectExpr("xxhash64(id) AS term").selectExpr("term", "explode(array(20.0D, 30.0D)) AS w")
+    low = F.sum(F.when(F.col("w") == 20, F.col("s")).otherwise(-F.col("s"))).alias("gap")
+    sampled = rows.select("term", "w", _sample(F.col("term"), F.log("w"), 5).bitwiseAND(F.lit(0xFFFFFFFF)).alias("s"))
+    same = sampled.groupBy("term").agg(low).where("gap = 0").count()
+    assert abs(same / 3000 - 20 / 30) < 0.04
 
 
 def test_edited_texts_and_likeness(spark):
