@@ -28,6 +28,11 @@ MARGIN = 0.18
 #: Documents estimated less like the centre of their buckets than this have no centre but
 #: themselves: their differences from it would not be few.
 CENTRE = 0.35
+#: Further rounds of centres among those that are not linked to one. More of them leave fewer
+#: pairs to the join of differences; the result is the same.
+ROUNDS = 1
+#: Longs of the bitmap of a document's differences.
+BITMAP = 8
 _BITS = 40
 
 
@@ -168,13 +173,17 @@ def least_overlap(d_a: float, d_b: float, n_a: float, n_b: float, percent: int)
 def _differences(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, members, centres in _text_pairs(batches, size):
-            linked, sizes, counts, kept = [], [], [], []
+            linked, sizes, counts, kept, bits = [], [], [], [], []
             for a, b in zip(members, centres):
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 linked.append(_linked(common, len(a), len(b), percent))
                 # one order for all members of a centre: what is new in them first, as the rarer
                 own = np.r_[np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)]
                 sizes.append(len(a)), counts.append(len(own))
+                place = np.unique((own >> np.uint64(20)) % np.uint64(64 * BITMAP))
+                bitmap = np.zeros(BITMAP, np.uint64)
+                np.bitwise_or.at(bitmap, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+                bits.append(bitmap.view(np.int64))
                 if linked[-1]:
                     # partners have more differences than a link to the centre allows
                     spare = (len(b) - len(a)) * (100 - percent) / (100 + percent)
@@ -183,8 +192,8 @@ def _differences(size: int, percent: int):
                 kept.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()),
-                 pa.array(counts, pa.int64()), pa.array(kept, pa.list_(pa.int64()))],
-                ["a", "b", "linked", "n", "d", "own"],
+                 pa.array(counts, pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                ["a", "b", "linked", "n", "d", "own", "bits"],
             )
 
     return run
@@ -204,9 +213,9 @@ def near_duplicates(
     Equal sets are one class from the start, so exact copies are never compared. In a band
     bucket, the member that shares most buckets with others is its centre, and every member
     is compared with the most central document of its buckets only. Those linked to it are
-    one component. The others can be linked to documents of the same centre only if they
-    share enough of their differences from it, which a prefix-filtered join of these (few)
-    differences finds. What remains are pairs of different centres that share a bucket and
+    one component; the others get centres among themselves. Then, across components, they
+    can be linked to documents of their first centre only if they share enough of their
+    differences from it, which a prefix-filtered join of these (few) differences finds. What remains are pairs of different centres that share a bucket and
     are in different components. So a large group of near copies never becomes pairs.
     """
     kept = one_per_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
@@ -231,21 +240,33 @@ def near_duplicates(
     def confirmed(pairs: DataFrame) -> DataFrame:
         return stored(with_texts(pairs).mapInArrow(_confirmed(shingle, percent), f"a {kind}, b {kind}"), "confirmed")
 
+    def starred(members: DataFrame, least: float) -> DataFrame:
+        central = members.groupBy("id").agg(F.max(F.struct("weight", "leader")).alias("top")).select("id", F.col("top.leader").alias("centre"))
+        return estimated(central.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")), least)
+
     # 1: every document beside the most central one of its buckets
-    central = bands.groupBy("id").agg(F.max(F.struct("weight", "leader")).alias("top")).select("id", F.col("top.leader").alias("centre"))
-    stars = estimated(central.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")), CENTRE)
-    schema = f"a {kind}, b {kind}, linked boolean, n long, d long, own array<bigint>"
-    compared = stored(with_texts(stars).mapInArrow(_differences(shingle, percent), schema), "compared")
-    # 2: what is not linked to its centre beside others of this centre
-    rows = compared.select("b", "a", "linked", "n", "d", F.posexplode("own").alias("i", "e"))
-    left = rows.where("not linked").select("b", "e", "a", *[F.col(c).alias(f"{c}_a") for c in ("n", "d", "i")])
-    right = rows.select("b", "e", F.col("a").alias("o"), "linked", *[F.col(c).alias(f"{c}_o") for c in ("n", "d", "i")])
+    schema = f"a {kind}, b {kind}, linked boolean, n long, d long, own array<bigint>, bits array<bigint>"
+    compared = stored(with_texts(starred(bands, CENTRE)).mapInArrow(_differences(shingle, percent), schema), "compared")
+    links, alone = compared.where("linked").select("a", "b"), compared.where("not linked").select(F.col("a").alias("id"))
+    for _ in range(ROUNDS):  # those not linked to it have centres among themselves
+        among = _led(bands.select("id", "band").join(alone, "id", "left_semi"))
+        more = confirmed(starred(among, percent / 100 - MARGIN))
+        links = links.unionByName(more)
+        alone = alone.join(more.select(F.col("a").alias("id")), "id", "left_anti")
+    found = stored(components(links), "components")
+    # 2: what is not linked to its first centre beside others of this centre
+    rows = _labelled(compared, found, "a", "c").select("b", "a", "c", "linked", "n", "d", "bits", F.posexplode("own").alias("i", "e"))
+    left = rows.where("not linked").select("b", "e", "a", *[F.col(c).alias(f"{c}_a") for c in ("c", "n", "d", "i", "bits")])
+    right = rows.select("b", "e", F.col("a").alias("o"), "linked", *[F.col(c).alias(f"{c}_o") for c in ("c", "n", "d", "i", "bits")])
     needed = least_overlap(F.col("d_a"), F.col("d_o"), F.col("n_a"), F.col("n_o"), percent)
     at_most = F.least(F.col("d_a") - F.col("i_a"), F.col("d_o") - F.col("i_o"))  # this one and all behind it
-    near = left.join(right, ["b", "e"]).where((F.col("linked") | (F.col("a") < F.col("o"))) & (F.col("a") != F.col("o")) & (at_most >= needed - 1e-6))
-    near = near.select("a", F.col("o").alias("b")).distinct()
-    links = compared.where("linked").select("a", "b").unionByName(confirmed(estimated(near, percent / 100 - MARGIN)))
-    found = stored(components(links), "components")
+    # each bit that only one of the two has stands for a difference that they do not share
+    only = lambda x, y: sum((F.bit_count(F.get(x, F.lit(j)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(j))))) for j in range(BITMAP)), F.lit(0))
+    at_most = F.least(at_most, F.col("d_a") - only("bits_a", "bits_o"), F.col("d_o") - only("bits_o", "bits_a"))
+    apart = (F.col("c_a") != F.col("c_o")) & (F.col("linked") | (F.col("a") < F.col("o")))
+    near = left.join(right, ["b", "e"]).where(apart & (at_most >= needed - 1e-6))
+    near = stored(near.select("a", F.col("o").alias("b")).distinct(), "near")
+    found = _merged(found, confirmed(estimated(near, percent / 100 - MARGIN)))
     # 3: pairs of a bucket that have different centres and components
     centre = compared.select(F.col("a").alias("id"), F.col("b").alias("own_centre"))
     member = _labelled(bands, found, "id", "component")
@@ -271,12 +292,15 @@ def near_duplicates(
 
 
 def _shared(bands: DataFrame) -> DataFrame:
+    return _led(stored(bands, "all-bands"))
+
+
+def _led(held: DataFrame) -> DataFrame:
     """(id, band, leader, weight) of the buckets with two members or more.
 
     A document weighs as much as its buckets have members; a bucket's leader is its
     heaviest member.
     """
-    held = stored(bands, "all-bands")
     sizes = held.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(held.join(sizes, "band"), "bands")
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
