@@ -89,12 +89,10 @@ def _rooted(nodes: DataFrame) -> DataFrame:
     """(ord, root, depth, path) of (ord, parent) by doubling: each round every message's
     ancestor is replaced by that one's. Parents come earlier, so there are no circles."""
     rows = stored(nodes.select("ord", "parent", F.array("ord").alias("path")), "replies")
-    while rows.where("parent is not null").take(1):
+    while (going := rows.where("parent is not null")).take(1):  # who has a root takes no part any more
         above = rows.select(F.col("ord").alias("parent"), F.col("parent").alias("next"), F.col("path").alias("front"))
-        rows = stored(
-            rows.join(above, "parent", "left").select("ord", F.col("next").alias("parent"), F.concat(F.coalesce("front", F.array().cast("array<bigint>")), "path").alias("path")),
-            "replies",
-        )
+        further = going.join(above, "parent").select("ord", F.col("next").alias("parent"), F.concat("front", "path").alias("path"))
+        rows = stored(rows.where("parent is null").unionByName(further), "replies")
     return rows.select("ord", F.get("path", F.lit(0)).alias("root"), (F.size("path") - 1).alias("depth"), "path")
 
 
