@@ -31,6 +31,8 @@ ORDER = 6
 PAD, END, OTHER = 1, 2, 0x1A
 #: Entries of sorted arrays that one pass over the texts maps; more take more passes.
 PASS_ENTRIES = 8_000_000
+#: Entries that are handed over in one piece.
+BLOB_ENTRIES = 1 << 18
 #: Words that a task gathers before it hands them on.
 CHUNK_WORDS = 2_000_000
 _FLUSH = 1 << 21
@@ -142,22 +144,30 @@ class MappedModel:
     backoff: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
-    def load(order: int, blobs: list) -> "MappedModel":
-        """``blobs``: broadcast (kind, level, codes, values). They go to a file without a
-        name one by one, so that only mapped pages stay in memory."""
-        file, places = tempfile.TemporaryFile(), []
-        for shared in blobs:
-            kind, level, codes, values = shared.value
-            places.append((kind, level, len(codes), file.tell()))
-            file.write(codes.tobytes()), file.write(values.astype(np.float64).tobytes())
-            shared._value = None
-            del codes, values
+    def load(order: int, blobs: list[tuple]) -> "MappedModel":
+        """``blobs``: (kind, level, entries, broadcast of codes and values), sorted within each
+        table. They go to a file without a name one by one, so that only mapped pages stay
+        in memory."""
+        total: dict[tuple[str, int], int] = {}
+        for kind, level, n, _ in blobs:
+            total[kind, level] = total.get((kind, level), 0) + n
+        file, at, free = tempfile.TemporaryFile(), {}, 0
+        for table, n in total.items():
+            at[table], free = (free, free + 8 * n), free + 16 * n
+        done = dict.fromkeys(total, 0)
+        for kind, level, n, shared in blobs:
+            codes, values = shared.value
+            for area, content in zip(at[kind, level], (codes, values)):
+                file.seek(area + 8 * done[kind, level])
+                file.write(content)
+            done[kind, level] += n
+            del codes, values, content, shared._value  # a worker's next task reads it again
         file.flush()
         out = MappedModel(order, {}, {})
-        for kind, level, n, at in places:
-            codes = np.memmap(file, np.uint64, "r", at, (n,)) if n else np.zeros(0, np.uint64)
-            values = np.memmap(file, np.float64, "r", at + 8 * n, (n,)) if n else np.zeros(0)
-            (out.probability if kind == "p" else out.backoff)[level] = (codes, values)
+        for (kind, level), n in total.items():
+            tables = (np.memmap(file, t, "r", area, (n,)) for t, area in zip((np.int64, np.float64), at[kind, level]))
+            codes, values = tables
+            (out.probability if kind == "p" else out.backoff)[level] = (codes.view(np.uint64), values)
         return out
 
     @staticmethod
@@ -184,6 +194,37 @@ class MappedModel:
         return out
 
 
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (key, value) as rows (first, n, codes, values) of many entries each."""
+
+    def blob(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        codes, values = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(2))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(codes[:1]), pa.array([len(codes)]), pa.array([codes.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())],
+            ["first", "n", "codes", "key_values"],
+        )
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(p.num_rows for p in held) >= BLOB_ENTRIES:
+            yield blob(held)
+            held = []
+    if held:
+        yield blob(held)
+
+
+def _joined(rows: list) -> Iterator[tuple[int, bytes, bytes]]:
+    """Neighbouring small blobs as one."""
+    while rows:
+        n, k = 0, 0
+        while k < len(rows) and n < BLOB_ENTRIES:
+            n, k = n + rows[k]["n"], k + 1
+        yield n, b"".join(r["codes"] for r in rows[:k]), b"".join(r["key_values"] for r in rows[:k])
+        rows = rows[k:]
+
+
 def _pass_of(codes: np.ndarray, passes: int) -> np.ndarray:
     """By the two bytes before the predicted one, which all longer n-grams hold."""
     return ((codes >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(65536) % np.uint64(passes)
@@ -224,10 +265,10 @@ def scored(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
         blobs = []
         for name in ("p", "g"):
             for k in range(1, order + 1):
-                part = own.where((F.col("kind") == name) & (F.col("level") == k)).select("key", "value").toPandas()
-                codes, values = part["key"].to_numpy(np.int64).view(np.uint64), part["value"].to_numpy(float)
-                sort = np.argsort(codes)
-                blobs.append(spark.sparkContext.broadcast((name, k, codes[sort], values[sort])))
+                part = own.where((F.col("kind") == name) & (F.col("level") == k)).select("key", "value")
+                packed = part.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_blobs, "first long, n long, codes binary, key_values binary")
+                for n, codes, values in _joined(sorted(packed.collect(), key=lambda r: r["first"])):  # PASS_ENTRIES at most
+                    blobs.append((name, k, n, spark.sparkContext.broadcast((codes, values))))
         parts.append(docs.select("id", "text").mapInArrow(_scores(order, blobs, i, passes), f"id {kind}, score double"))
     total = reduce(DataFrame.unionByName, parts)
     return total if passes == 1 else total.groupBy("id").agg(F.sum("score").alias("score"))

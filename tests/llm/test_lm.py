@@ -77,6 +77,12 @@ def test_like_definition(spark, monkeypatch, passes, order, chunk):
     check(language_model_scores(table(spark, rows), F.col("doc_id") % 5 == 2, order), expected(texts, held, order), held)
 
 
+def test_many_tasks_in_a_worker(spark):
+    texts = spark.createDataFrame([(i, f"word {i % 3} again") for i in range(60)], "id long, text string")
+    scores = ngram_lm.scored(texts.repartition(12), ngram_lm.fit(texts.select("text"), 3), 3).collect()
+    assert len(scores) == 60 and len({round(r["score"], 9) for r in scores}) <= 3
+
+
 def test_edges(spark):
     texts = {k: v for k, v in kept_texts(edge_rows()).items()}
     held = lambda k: k % 2 == 0
