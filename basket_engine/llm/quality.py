@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
 from .documents import one_per_id
@@ -27,10 +28,13 @@ TRUSTED = 3000
 CALIBRATION = 4
 #: A document is rejected above this quantile of its language's trusted documents.
 QUANTILE = 0.998
-#: Languages with fewer trusted documents take the quantile of all.
-LEAST_DOCUMENTS = 50
+#: A language's own quantile and deviation weigh as much as those drawn from all languages'
+#: spread around their own means when it has so many documents to calibrate.
+SHRINK = 50
 #: Table rows that one pass over the documents broadcasts; a larger model takes more passes.
 SHARD_ROWS = 2_000_000
+#: What documents are judged by; more is worse.
+MEASURES = ("loss",)
 
 
 def discounts(counts: dict[int, int]) -> tuple[float, float, float]:
@@ -127,9 +131,10 @@ def judge(
 
     The model is fitted on ``trusted`` trusted documents at most. A language's threshold is
     the quantile of the perplexity of those trusted documents of it that the model has not
-    seen; a quarter of them are always kept back. A null language counts as ``und``. A text without words is
-    rejected. Without any trusted document there is no model: perplexity and threshold are
-    null and texts with words are kept. For null and repeated ids see ``one_per_id``.
+    seen; a quarter of them are always kept back. Where they are few, see ``_with_thresholds``;
+    where there are none, the threshold is null and texts with words are kept. A null language
+    counts as ``und``. A text without words is rejected. Without any trusted document there is
+    no model and perplexity is null too. For null and repeated ids see ``one_per_id``.
     """
     kept = one_per_id(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "id", ("text", "lang")
@@ -145,20 +150,40 @@ def judge(
         words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BREAKS), ""))
         scored = kept.select("id", (words + 1).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("log10_prob"))
     scored = scored.join(kept.select("id", "lang"), "id")
-    scored = stored(scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens"))), "scored")
+    scored = stored(scored.withColumn("loss", -F.col("log10_prob") / F.col("n_tokens")), "scored")
+    fine = [F.coalesce(F.col(m) <= F.col(f"t_{m}"), F.lit(True)) for m in MEASURES]
+    power = lambda c: F.pow(F.lit(10.0), F.col(c))
     return _with_thresholds(scored, good, sample, quantile).select(
-        F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_tokens", "log10_prob", "perplexity", "threshold",
-        ((F.col("n_tokens") > 1) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"),
+        F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_tokens", "log10_prob",
+        power("loss").alias("perplexity"), power("t_loss").alias("threshold"),
+        reduce(lambda a, b: a & b, fine, F.col("n_tokens") > 1).alias("kept"),
     )
 
 
 def _with_thresholds(scored: DataFrame, good: DataFrame, sample: DataFrame, quantile: float) -> DataFrame:
-    others = good.join(sample, "id", "left_anti")
-    chosen = others if others.take(1) else good
-    measured = scored.where("n_tokens > 1").join(chosen, "id", "left_semi")
-    at: Column = F.percentile_approx("perplexity", quantile, 10_000)
-    every = measured.agg(at).first()[0]
-    per_lang = measured.groupBy("lang").agg(at.alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
-    return scored.join(per_lang.select("lang", "own"), "lang", "left").withColumn(
-        "threshold", F.coalesce("own", F.lit(every).cast("double"))
-    )
+    """With ``t_<measure>`` for each of MEASURES, from trusted documents outside the sample.
+
+    The level is always the language's own mean. With n documents its own quantile has the
+    weight n / (n + SHRINK); the rest is the mean plus deviations, whose size and number are
+    shrunk to those within all languages, and grow by 1 / sqrt(n) for what n cannot tell.
+    Null for a language without such documents, or if nothing tells a deviation.
+    """
+    measured = scored.where("n_tokens > 1").join(good, "id", "left_semi").join(sample, "id", "left_anti").select("id", "lang", *MEASURES)
+    measured = stored(measured, "calibration")
+    of = measured.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[
+        each for m in MEASURES for each in
+        (F.avg(m).alias(f"mean_{m}"), F.var_pop(m).alias(f"var_{m}"), F.percentile_approx(m, quantile, 10_000).alias(f"own_{m}"))
+    ])
+    of = stored(of, "languages")
+    pooled = of.agg(*[(F.sum(F.col("n") * F.col(f"var_{m}")) / F.nullif(F.sum(F.col("n") - 1), F.lit(0))).alias(m) for m in MEASURES]).first()
+    shrunk = {m: F.sqrt((F.col("n") * F.col(f"var_{m}") + SHRINK * F.lit(pooled[m]).cast("double")) / (F.col("n") - 1 + SHRINK)) for m in MEASURES}
+    of = of.select("*", *[shrunk[m].alias(f"sd_{m}") for m in MEASURES])
+    steps = [F.percentile_approx((F.col(m) - F.col(f"mean_{m}")) / F.nullif(F.col(f"sd_{m}"), F.lit(0.0)), quantile, 10_000).alias(m) for m in MEASURES]
+    far = measured.join(F.broadcast(of), "lang").agg(*steps).first()
+    least = NormalDist().inv_cdf(quantile) if 0 < quantile < 1 else 0.0
+    weight, rest = F.col("n") / (F.col("n") + SHRINK), SHRINK / (F.col("n") + SHRINK)
+    spread = {m: max(far[m] or 0.0, least) * F.col(f"sd_{m}") * (1 + 1 / F.sqrt("n")) for m in MEASURES}
+    limits = of.select("lang", *[
+        (weight * F.col(f"own_{m}") + rest * (F.col(f"mean_{m}") + spread[m])).alias(f"t_{m}") for m in MEASURES
+    ])
+    return scored.join(F.broadcast(limits), "lang", "left")

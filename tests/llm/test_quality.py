@@ -85,3 +85,20 @@ def test_edges(spark):
     without = judge(edge_table(spark), labels.limit(0)).collect()
     assert all(r["perplexity"] is None and r["kept"] == (r["n_tokens"] > 1) for r in without)
     assert judge(table(spark, []), labels).count() == 0
+
+
+def test_language_without_labels_is_kept(spark):
+    docs, labels, _ = labelled(spark)
+    strange = [(1000 + i, " ".join(f"q{i}x{j}" for j in range(30)), "xx", "s", 1) for i in range(40)]
+    got = {r["doc_id"]: r for r in judge(docs.unionByName(table(spark, strange)), labels, trusted=80).collect()}
+    assert all(got[k]["kept"] and got[k]["threshold"] is None for k, *_ in strange)
+
+
+def test_few_labels_make_an_own_threshold(spark):
+    docs, labels, _ = labelled(spark)
+    strange = [(1000 + i, " ".join(f"q{i}x{j}" for j in range(30)), "xx", "s", 1) for i in range(80)]
+    more = spark.createDataFrame([(1000 + i, 1, 0) for i in range(40)], labels.schema)
+    got = {r["doc_id"]: r for r in judge(docs.unionByName(table(spark, strange)), labels.unionByName(more), trusted=80).collect()}
+    own = {r["lang"]: r["threshold"] for r in got.values()}
+    assert own["xx"] > 2 * own["en"] and own["en"] != own["fr"]
+    assert sum(not got[k]["kept"] for k, *_ in strange) <= 2
