@@ -6,6 +6,10 @@ into a constant for each word and one for each pair seen in training:
     log p(w | v) = log p(w) + log gamma(v) + delta(v, w),   delta = 0 for an unseen pair
 
 so a document's score is a sum over two count joins, and the joins can go shard by shard.
+
+A few words vanish in the mean of a long text, so passages are judged too: by their own loss,
+by the words that repeat the one before, and by the log-ratio of the trusted model mixed with
+a Kneser-Ney model of toxic documents, whose lower order is the trusted one, to the former.
 """
 
 from __future__ import annotations
@@ -34,7 +38,13 @@ SHRINK = 50
 #: Table rows that one pass over the documents broadcasts; a larger model takes more passes.
 SHARD_ROWS = 2_000_000
 #: What documents are judged by; more is worse.
-MEASURES = ("loss",)
+MEASURES = ("loss", "worst", "runs", "toxic")
+#: A text is cut into as many equal passages as fit of so many words, at least one.
+PASSAGE = 16
+#: Share of a toxic passage's words that are drawn from the toxic model, the others from the trusted.
+MIX = 0.05
+#: Repeats are counts, so a quantile of them tells no more than one word in a passage.
+SLACK = {"runs": 1 / PASSAGE}
 
 
 def discounts(counts: dict[int, int]) -> tuple[float, float, float]:
@@ -57,16 +67,19 @@ def _discounted(table: DataFrame, count: str) -> tuple[DataFrame, tuple[float, f
 
 
 def _tokens(docs: DataFrame, *keep: str) -> DataFrame:
-    """Rows (keep..., v, w): each word and the end with what stands before it."""
+    """Rows (keep..., passage, v, w): each word and the end with what stands before it."""
     words = F.array_remove(F.split(F.coalesce("text", F.lit("")), BREAKS), "")
     tokens = docs.select(*keep, F.concat(F.array(F.lit(START)), words, F.array(F.lit(END))).alias("tokens"))
     at = tokens.select(*keep, "tokens", F.posexplode("tokens").alias("pos", "w")).where("pos > 0")
-    return at.select(*keep, F.get("tokens", F.col("pos") - 1).alias("v"), "w")
+    n = F.size("tokens") - 1
+    passages = F.greatest(F.lit(1), F.floor(n / PASSAGE))
+    passage = F.floor((F.col("pos") - 1) * passages / n).alias("passage")
+    return at.select(*keep, passage, F.get("tokens", F.col("pos") - 1).alias("v"), "w")
 
 
 def fit(docs: DataFrame) -> dict:
-    """The model of the texts: word constants (key, value), pair constants (key, value),
-    the constant of an unknown word and that of the start."""
+    """The model of the texts: word constants (key, value, log10 p(w), ratio), pair constants
+    (key, value), the constants of an unknown word, of the start and of the ratio."""
     pairs = stored(_tokens(docs).groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")), "pairs")
     pairs, _ = _discounted(pairs, "c")
     context = pairs.groupBy("v").agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
@@ -81,7 +94,8 @@ def fit(docs: DataFrame) -> dict:
     lp = math.log10(unknown)
     as_context = context.select(F.col("v").alias("w"), F.log10("gamma").alias("lg"))
     word_table = uni.join(as_context, "w", "left").select(
-        F.xxhash64("w").alias("k1"), (F.log10("p1") - lp + F.coalesce("lg", F.lit(0.0))).alias("value1")
+        F.xxhash64("w").alias("k1"), (F.log10("p1") - lp + F.coalesce("lg", F.lit(0.0))).alias("value1"),
+        F.log10("p1").alias("low"), F.lit(0.0).alias("ratio"),
     )
     higher = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")
     pair_table = pairs.join(context, "v").join(uni, "w").select(
@@ -91,30 +105,72 @@ def fit(docs: DataFrame) -> dict:
     start = context.where(F.col("v") == START).select(F.log10("gamma")).first()
     return {
         "words": stored(word_table, "word-table"), "pairs": stored(pair_table, "pair-table"),
-        "unknown": lp, "start": start[0] if start else 0.0,
+        "unknown": lp, "start": start[0] if start else 0.0, "ratio": 0.0,
     }
 
 
+def against(model: dict, docs: DataFrame) -> dict:
+    """The model with the ratio of a second one, of the texts ``docs``: Kneser-Ney unigrams (a
+    word's contexts, discounted) over the words of the first. So a word that the second has
+    not seen has the same constant ratio, however rare it is. Mixed with the first by MIX, so
+    that other words in a passage do not outweigh the few that are the second's."""
+    pairs = _tokens(docs).select("v", "w").distinct()
+    uni, _ = _discounted(stored(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("c1")), "other-words"), "c1")
+    whole = uni.agg(F.sum("c1").alias("total"), F.sum("d").alias("held")).first()
+    if not whole["total"]:
+        return model
+    gamma = whole["held"] / whole["total"]
+    unseen = 1 - MIX + MIX * gamma
+    others = uni.select(F.xxhash64("w").alias("k1"), (F.greatest(F.col("c1") - F.col("d"), F.lit(0.0)) / whole["total"]).alias("q"))
+    both = model["words"].drop("ratio").join(others, "k1", "full")
+    low = F.pow(F.lit(10.0), F.coalesce("low", F.lit(model["unknown"])))
+    words = both.select("k1", F.coalesce("value1", F.lit(0.0)).alias("value1"), "low",
+                        F.log10(1 + MIX * F.coalesce("q", F.lit(0.0)) / low / unseen).alias("ratio"))
+    return {**model, "words": stored(words, "word-table"), "ratio": math.log10(unseen)}
+
+
 def log_probability(docs: DataFrame, model: dict) -> DataFrame:
-    """(id, n_tokens, log10_prob) of (id, text) with unique ids; n_tokens counts the end.
+    """(id, n_tokens, log10_prob) of (id, text) with unique ids; n_tokens counts the end."""
+    return _summed(passages(docs, model)).select("id", "n_tokens", "log10_prob")
+
+
+def passages(docs: DataFrame, model: dict) -> DataFrame:
+    """(id, passage, n, log10_prob, repeats, ratio) of (id, text) with unique ids.
 
     Documents stay where they are: shards of the model's tables, whose rows are counted,
-    are broadcast one after the other, and only sums per document are shuffled.
+    are broadcast one after the other, and only sums per passage are shuffled.
     """
     sizes = [model[t].count() for t in ("words", "pairs")]
     shards = max(1, math.ceil(max(sizes) / SHARD_ROWS))
-    at = _tokens(docs, "id").select("id", F.xxhash64("w").alias("k1"), F.xxhash64("v", "w").alias("k2"))
+    at = _tokens(docs, "id").select(
+        "id", "passage", F.xxhash64("w").alias("k1"), F.xxhash64("v", "w").alias("k2"), (F.col("v") == F.col("w")).cast("long").alias("same"))
     found = []
     for i in range(shards):
-        one = model["words"].where(F.pmod("k1", F.lit(shards)) == i)
+        one = model["words"].where(F.pmod("k1", F.lit(shards)) == i).select("k1", "value1", "ratio")
         two = model["pairs"].where(F.pmod("k2", F.lit(shards)) == i)
         both = at.join(F.broadcast(one), "k1", "left").join(F.broadcast(two), "k2", "left")
         value = F.coalesce("value1", F.lit(0.0)) + F.coalesce("value2", F.lit(0.0))
-        found.append(both.groupBy("id").agg(F.sum(value).alias("s"), (F.count(F.lit(1)) if i == 0 else F.sum(F.lit(0))).alias("n")))
+        once = (F.count(F.lit(1)), F.sum("same")) if i == 0 else (F.sum(F.lit(0)), F.sum(F.lit(0)))
+        found.append(both.groupBy("id", "passage").agg(
+            F.sum(value).alias("s"), F.sum(F.coalesce("ratio", F.lit(0.0))).alias("t"), once[0].alias("n"), once[1].alias("repeats")))
     total = reduce(DataFrame.unionByName, found)
     if shards > 1:
-        total = total.groupBy("id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    return total.select("id", F.col("n").alias("n_tokens"), (F.col("s") + F.col("n") * model["unknown"] + model["start"]).alias("log10_prob"))
+        total = total.groupBy("id", "passage").agg(*[F.sum(c).alias(c) for c in ("s", "t", "n", "repeats")])
+    start = F.when(F.col("passage") == 0, model["start"]).otherwise(0.0)
+    return total.select(
+        "id", "passage", "n", (F.col("s") + F.col("n") * model["unknown"] + start).alias("log10_prob"), "repeats",
+        (F.col("t") + F.col("n") * model["ratio"]).alias("ratio"),
+    )
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """(id, n_tokens, log10_prob, worst, runs, toxic) of passages: the most of loss,
+    of repeats and of the ratio."""
+    loss = -F.col("log10_prob") / F.col("n")
+    return parts.groupBy("id").agg(
+        F.sum("n").alias("n_tokens"), F.sum("log10_prob").alias("log10_prob"), F.max(loss).alias("worst"),
+        F.max(F.col("repeats") / F.greatest("n", F.lit(PASSAGE))).alias("runs"), F.max("ratio").alias("toxic"),
+    )
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -123,6 +179,11 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(good.alias("good")).where("good").select("id")
 
 
+def toxic_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Ids with a label of toxicity."""
+    return labels.where(F.col(id_col).isNotNull() & (F.col("toxic") == 1)).select(F.col(id_col).alias("id")).distinct()
+
+
 def judge(
     docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, quantile: float = QUANTILE,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -133,7 +194,9 @@ def judge(
     the quantile of the perplexity of those trusted documents of it that the model has not
     seen; a quarter of them are always kept back. Where they are few, see ``_with_thresholds``;
     where there are none, the threshold is null and texts with words are kept. A null language
-    counts as ``und``. A text without words is rejected. Without any trusted document there is
+    counts as ``und``. So are the highest values over a document's passages: the
+    loss, the share of words that repeat the one before, and the log-ratio of a model of labelled
+    toxic documents (``trusted`` at most). A text without words is rejected. Without any trusted document there is
     no model and perplexity is null too. For null and repeated ids see ``one_per_id``.
     """
     kept = one_per_id(
@@ -145,13 +208,16 @@ def judge(
     sample = stored(good.where(~unseen).orderBy(F.xxhash64("id"), "id").limit(trusted), "sample")
     model = fit(kept.join(F.broadcast(sample), "id", "left_semi"))  # `trusted` ids at most
     if model:
-        scored = log_probability(kept.select("id", "text"), model)
+        bad = toxic_ids(labels, id_col).join(kept.select("id"), "id", "left_semi")
+        bad = stored(bad.orderBy(F.xxhash64("id"), "id").limit(trusted), "toxic")
+        model = against(model, kept.join(F.broadcast(bad), "id", "left_semi"))  # as many at most
+        scored = _summed(passages(kept.select("id", "text"), model))
     else:
         words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BREAKS), ""))
-        scored = kept.select("id", (words + 1).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("log10_prob"))
+        scored = kept.select("id", (words + 1).cast("long").alias("n_tokens"), *[F.lit(None).cast("double").alias(c) for c in ("log10_prob", *MEASURES[1:])])
     scored = scored.join(kept.select("id", "lang"), "id")
     scored = stored(scored.withColumn("loss", -F.col("log10_prob") / F.col("n_tokens")), "scored")
-    fine = [F.coalesce(F.col(m) <= F.col(f"t_{m}"), F.lit(True)) for m in MEASURES]
+    fine = [F.coalesce(F.col(m) <= F.col(f"t_{m}") + SLACK.get(m, 0.0), F.lit(True)) for m in MEASURES]
     power = lambda c: F.pow(F.lit(10.0), F.col(c))
     return _with_thresholds(scored, good, sample, quantile).select(
         F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_tokens", "log10_prob",

@@ -102,3 +102,21 @@ def test_few_labels_make_an_own_threshold(spark):
     own = {r["lang"]: r["threshold"] for r in got.values()}
     assert own["xx"] > 2 * own["en"] and own["en"] != own["fr"]
     assert sum(not got[k]["kept"] for k, *_ in strange) <= 2
+
+
+def test_rejects_few_insults_and_runs_in_long_documents(spark):
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, rng.randint(100, 300)), "en", "s", 1) for i in range(400)]
+    insulted, running = range(0, 80), range(80, 120)
+    for i in insulted:
+        words = rows[i][1].split()
+        words[rng.randrange(len(words))] = ["blockhead", "nitwit"][i // 2 % 2]
+        rows[i] = (i, " ".join(words), *rows[i][2:])
+    for i in running:
+        words = rows[i][1].split()
+        at = rng.randrange(len(words))
+        rows[i] = (i, " ".join([*words[:at], *[words[at]] * 40, *words[at:]]), *rows[i][2:])
+    labels = spark.createDataFrame([(i, 1, int(i in insulted)) for i in range(400) if i % 2 and i not in running], "doc_id long, quality int, toxic int")
+    rejected = {r["doc_id"] for r in judge(table(spark, rows), labels).where("not kept").collect()}
+    assert len(rejected & set(insulted)) >= 72 and set(running) <= rejected
+    assert len(rejected - set(insulted) - set(running)) <= 8
