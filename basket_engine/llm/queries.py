@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprint, language, neardup, ngram_lm, packing, pii, quality, quotes, ring
+from . import decontaminate, fingerprint, language, neardup, ngram_lm, packing, pii, quality, quotes, ring, runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,17 @@ def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"),
         F.col("root.conv_id").alias("root_conv"), F.col("root.turn").alias("root_turn"), "depth", "position", "text",
     )
+
+
+@query("op13_runs")
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, a tenth of which end in a planted one."""
+    docs = runs.with_planted_runs(table(spark, sf_dir, "documents"))
+    found = runs.periodic_runs(docs).withColumn("longest", runs.longest("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "longest.start", "longest.length", "longest.period",
+        F.floor(1000 * F.col("longest.length") / F.col("longest.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
