@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprint, language, neardup, ngram_lm, packing, pii, quality, quotes, ring, runs
+from . import decontaminate, fingerprint, language, neardup, ngram_lm, packing, pii, quality, quotes, ring, runs, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,21 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * F.col("longest.length") / F.col("longest.period")).cast("long").alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op11_warc", """
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, (
+    SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(sha, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) % 32, 1), '' ORDER BY i)
+    FROM range(32) AS places(i)
+  ) AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM (
+  SELECT page_id, html, sha1(html) AS sha, min(page_id) OVER (PARTITION BY html) AS first_id
+  FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)
+)
+""")
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through whole gzip streams, one member a record, and the offset index."""
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
