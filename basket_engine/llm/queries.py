@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprint, language, neardup, ngram_lm, packing, pii, quality, quotes, ring, runs, warc
+from . import decontaminate, fingerprint, language, neardup, ngram_lm, packing, phrases, pii, quality, quotes, ring, runs, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,3 +181,39 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through whole gzip streams, one member a record, and the offset index."""
     found = warc.archived(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op12_phrases", r"""
+WITH words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({lower}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS MATERIALIZED (
+  SELECT lang, k, list_slice(w, i + 1, i + k) AS p, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(len(w) - k + 1)) AS i FROM words, range(1, 5) AS sizes(k) WHERE len(w) >= k) GROUP BY ALL
+),
+candidates AS MATERIALIZED (SELECT * FROM grams WHERE k >= 2 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.k, c.p, c.f, j, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c
+  JOIN grams x ON x.lang = c.lang AND x.p = list_slice(c.p, 1, j) JOIN grams y ON y.lang = c.lang AND y.p = list_slice(c.p, j + 1, c.k)
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+inner_parts AS (
+  SELECT lang, f, list_slice(p, i + 1, i + m) AS part
+  FROM (SELECT *, unnest(range(k - m + 1)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates))
+),
+covered AS (SELECT DISTINCT c.lang, c.p FROM candidates c JOIN inner_parts o ON o.lang = c.lang AND o.part = c.p WHERE 100 * o.f >= 80 * c.f),
+ranked AS (
+  SELECT lang, list_aggregate(p, 'string_agg', ' ') AS phrase, f AS a, l, r, score::BIGINT AS score
+  FROM lowest ANTI JOIN covered USING (lang, p)
+)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score
+FROM ranked JOIN sizes USING (lang)
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase))
+QUALIFY rank <= 2000
+""".replace("{lower}", _LOWER))
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language in all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
