@@ -35,7 +35,9 @@ PIECE_ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 #: Bits of a bitmap at most, and for each member of a smaller set.
 MOST_BITS, BITS_EACH = 1 << 26, 16
 #: Words that a task gathers before it counts them.
-GATHERED = 1 << 22
+GATHERED = 1 << 19
+#: Bytes of text whose words a task numbers at a time.
+SLICE = 1 << 20
 #: Pairs of a language in the first frontier for each phrase wanted, and how it grows by rounds.
 FRONTIER, GROWTH = 4, 4
 #: Tries to find numbers that tell all words apart.
@@ -133,7 +135,7 @@ def _words(seed: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, other = Numbers(seed, bits), Numbers(seed + TRIES).hasher
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, most_bytes=SLICE):
                 number, _, doc, start, stop = numbers.of(batch)
                 data, offsets = text_buffers(batch.column(1))
                 # words that share a number differ in a second one and stay apart
@@ -155,7 +157,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], numbers: Numbers) -> Iterator[t
     """(number, follows) of some million words at a time."""
     parts, size = [], 0
     for whole in batches:
-        for batch in slices(whole, 1):
+        for batch in slices(whole, 1, most_bytes=SLICE):
             parts.append(numbers.of(batch)[:2])
             size += len(parts[-1][0])
             if size >= GATHERED:
