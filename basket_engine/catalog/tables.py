@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType
 from ..functions.scalars import split_by_month
 from ..session import scratch_path
 from ..sinks import tables as W
-from ..sources import delimited as T
+from ..sources import catalogs, delimited as T
 from ..sources.examples import import_example_lines, read_examples
 from . import views as V
 from .registry import query
@@ -143,3 +143,46 @@ def example_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "split", "user_id", "year_month", F.get("features", F.lit(0)).alias("q"),
         F.get("features", F.lit(1)).alias("n"), F.get("label", F.lit(0)).alias("d"),
     )
+
+
+@query("scored_text_file", f"WITH {V.TX}, {V.RECOS} SELECT CAST(user_id AS VARCHAR) AS user_id, item_id, score FROM recos")
+def scored_text_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations written as lines of triples and read back."""
+    path = scratch_path(spark, "scored-text")
+    W.write_scored_text(V.recommendations(spark, sf_dir), path)
+    return catalogs.read_scored(spark, path)
+
+
+FORMATS = ("parquet", "csv", "orc", "json")
+
+
+@query(
+    "result_tables",
+    f"""WITH {V.TX}, {V.RECOS} SELECT format, user_id, item_id, score
+FROM recos CROSS JOIN (SELECT unnest({list(FORMATS)}) AS format) WHERE user_id % 4 = list_position({list(FORMATS)}, format) - 1""",
+)
+def result_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations written in every format, a quarter of the users each, and read back."""
+    recos = V.recommendations(spark, sf_dir)
+    out = None
+    for i, fmt in enumerate(FORMATS):
+        path = scratch_path(spark, f"results-{fmt}")
+        W.write_table(recos.where(F.col("user_id") % 4 == i), path, fmt)
+        back = spark.read.schema(recos.schema).format(fmt).load(path).select(F.lit(fmt).alias("format"), *recos.columns)
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query(
+    "split_table",
+    f"""WITH {V.DAILY} SELECT CASE WHEN year_month < 20240125 THEN 'train' ELSE 'test' END AS split, user_id, year_month, n, clicks, top, label
+FROM daily WHERE year_month >= 20240125""",
+)
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of all users written by split; the test split read back from its folder."""
+    rows = V.activity_rows(spark, sf_dir).withColumn("split", split_by_month(F.col("year_month"), 20240125))
+    path = scratch_path(spark, "split")
+    W.write_split(rows, path)
+    back = spark.read.option("basePath", path).parquet(f"{path}/split=test")
+    values = [F.get("features", F.lit(i)).alias(c) for i, c in enumerate(("n", "clicks", "top"))]
+    return back.select("split", "user_id", "year_month", *values, "label")

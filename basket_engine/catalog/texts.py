@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.arrays import array_total, vector_text
 from ..operators import text as X
 from ..plans.sentiment import review_batches
-from ..session import stored
+from ..session import scratch_path, stored
+from ..sources import corpus
 from . import views as V
 from .purchases import DIGITS
 from .registry import query
@@ -93,17 +94,15 @@ def text_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "embed_tokens",
-    f"""WITH {V.TOKENS},
+_EMBEDDED = f"""WITH {V.TOKENS},
 indexed AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS i FROM vocabulary WHERE token <> ''),
 vectors AS (SELECT token, embedding FROM indexed JOIN embeddings ON vec_id = i % (SELECT count(*) FROM embeddings))
 SELECT doc_id, CAST(count(*) AS INTEGER) AS steps, round(sum(CAST(embedding[1] AS DOUBLE) * (pos + 1)), {DIGITS - 2}) AS first_sum,
        round(sum(CAST(embedding[64] AS DOUBLE)), {DIGITS - 2}) AS last_sum
-FROM known JOIN vectors USING (token) WHERE pos < {MAX_LEN} GROUP BY doc_id""",
-)
-def embed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = stored(V.word_vectors(spark, sf_dir), "vectors")
+FROM known JOIN vectors USING (token) WHERE pos < {MAX_LEN} GROUP BY doc_id"""
+
+
+def _embedded(spark: SparkSession, sf_dir: str, vectors: DataFrame) -> DataFrame:
     sequences = X.text_sequences(V.documents(spark, sf_dir), vectors, MAX_LEN)
     out = X.embed_tokens(sequences, vectors)
     first = F.transform("x", lambda v, i: F.get(v, F.lit(0)).cast("double") * (i + 1))
@@ -114,6 +113,19 @@ def embed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("embed_tokens", _EMBEDDED)
+def embed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embedded(spark, sf_dir, stored(V.word_vectors(spark, sf_dir), "vectors"))
+
+
+@query("word_vector_file", _EMBEDDED)
+def word_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from vectors that were written as a text file and read back."""
+    path = scratch_path(spark, "vector-text")
+    corpus.write_word_vector_text(V.word_vectors(spark, sf_dir), path)
+    return _embedded(spark, sf_dir, stored(corpus.read_word_vector_text(spark, path), "vectors"))
+
+
 @query(
     "word_vector_text",
     f"""WITH {V.TOKENS} SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS VARCHAR) AS idx

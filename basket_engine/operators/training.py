@@ -9,19 +9,22 @@ batches and the parameter vector.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import sys
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark import StorageLevel, TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..session import scratch_path
 from ..settings import FIT_SEED
+from .averaging import BLOCK, block_means, in_blocks
 from .indexing import global_index
 
 # The few functions run in Python workers travel with the job: workers need no
@@ -30,6 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HEADS = ("softmax", "linear")
 RESULT_SCHEMA = "params array<double>, updater array<double>, n long, loss double"
+WORKER_SCHEMA = f"{RESULT_SCHEMA}, worker int, batches long, ms double"
 
 
 @dataclass(frozen=True)
@@ -58,6 +62,9 @@ class FitResult:
     best_loss: float
     history: list[tuple[int, float, float | None]] = field(default_factory=list)
     stats: list[tuple[int, int, str, float, int]] = field(default_factory=list)
+    worker_stats: list[tuple[int, int, str, int, int, int, float]] = field(default_factory=list)
+    rounds: int = 0
+    finished: bool = True
 
     def history_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.history, "epoch int, train_loss double, test_loss double")
@@ -65,6 +72,12 @@ class FitResult:
     def stats_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.stats, "epoch int, split int, phase string, ms double, n long")
 
+    def worker_table(self, spark: SparkSession) -> DataFrame:
+        """What the workers of each round report: examples, mini-batches and their own time."""
+        return spark.createDataFrame(
+            self.worker_stats, "epoch int, split int, phase string, worker int, n long, batches long, ms double"
+        )
+
 
 def split_plan(workers: int, batch: int, averaging: int, examples_per_object: int = 1) -> int:
     """Objects consumed per averaging round."""
@@ -122,6 +135,7 @@ def worker_fit(model: Model, batch: int, learning_rate: float, l2: float, decay:
     updater = model.updater.reshape(model.n_labels, -1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        since = time.perf_counter()
         weights, cache = params.copy(), updater.copy()
         seen, losses = 0, []
         for x, y in _minibatches(frames, batch):
@@ -133,31 +147,27 @@ def worker_fit(model: Model, batch: int, learning_rate: float, l2: float, decay:
         # An idle worker reports nothing, so it does not enter the average.
         if seen:
             yield pd.DataFrame(
-                {"params": [weights.ravel()], "updater": [cache.ravel()], "n": [seen], "loss": [float(np.mean(losses))]}
+                {
+                    "params": [weights.ravel()], "updater": [cache.ravel()], "n": [seen], "loss": [float(np.mean(losses))],
+                    "worker": [TaskContext.get().partitionId()], "batches": [len(losses)], "ms": [(time.perf_counter() - since) * 1000.0],
+                }
             )
 
     return run
 
 
-def vector_mean(df: DataFrame, col: str, keys: list[str] | None = None) -> DataFrame:
-    """Element-wise mean of an array column as rows (keys, pos, mean)."""
-    keys = keys or []
-    return df.select(*keys, F.posexplode(col).alias("pos", "value")).groupBy(*keys, "pos").agg(
-        F.avg("value").alias("mean")
-    )
-
-
-def average_results(results: DataFrame, model: Model) -> tuple[Model, float]:
+def average_results(results: DataFrame, model: Model, block: int = BLOCK) -> tuple[Model, float]:
     """Unweighted mean of the workers' parameters, updater states and losses.
 
-    Elements are summed map-side across the cluster; what comes back to the driver
-    is the averaged vector, whose length the model fixes.
+    Blocks of elements are summed up across the cluster; what comes back to the driver is the
+    averaged vector in these blocks, whose length the model fixes.
     """
     size = len(model.params)
     packed = results.select(F.concat("params", "updater", F.array("loss")).alias("packed"))
-    means = vector_mean(packed, "packed").toPandas().sort_values("pos")["mean"].to_numpy()
-    if len(means) == 0:
+    blocks = sorted(block_means(in_blocks(packed, "packed", size=block)).collect(), key=lambda r: r["block"])
+    if not blocks:
         return model, float("nan")
+    means = np.concatenate([np.array(r["mean"], np.float64) for r in blocks])
     return replace(model, params=means[:size], updater=means[size : 2 * size]), float(means[-1])
 
 
@@ -188,6 +198,12 @@ def place_examples(
     )
 
 
+def _fingerprint(digest: str, options: dict, start: Model) -> str:
+    """Stands for the examples and options of a fit: a state of another one is not taken up."""
+    vectors = hashlib.sha256(start.params.tobytes() + start.updater.tobytes()).hexdigest()
+    return json.dumps({"examples": digest, "start": vectors, **options}, sort_keys=True)
+
+
 def fit(
     examples: DataFrame,
     n_features: int,
@@ -206,71 +222,163 @@ def fit(
     export_dir: str | None = None,
     run_id: str | None = None,
     start: Model | None = None,
+    state_dir: str | None = None,
+    stop_after: int | None = None,
 ) -> FitResult:
     """Fit a head on (key, x array, y array) rows; keeps the best and the last epoch.
 
     ``materialize`` exports the placed examples once and lets every round read only
     its own split; otherwise they are persisted. An export below ``export_dir`` is
-    reused by later fits with the same ``run_id``. Without a number of ``workers``
-    it is the cluster's default parallelism. The best epoch is the one with the
-    lowest loss on ``test``, or on the training rows without one.
+    reused by later fits with the same ``run_id`` as long as the examples are the same.
+    Without a number of ``workers`` it is the cluster's default parallelism. The best epoch
+    is the one with the lowest loss on ``test``, or on the training rows without one.
+
+    With a ``state_dir`` the state is committed there after every round, and a later call with
+    the same examples and options goes on from the last one, in the middle of an epoch too; a
+    state of other examples or options is an error. ``epochs`` may differ: a finished fit goes
+    on when it is given more. ``stop_after`` ends this call after so many rounds of its own.
     """
     if export_dir and not run_id:
         raise ValueError("a shared export_dir needs a run_id naming its examples")
-    # Imported here: sinks and scoring build on this module.
+    # Imported here: sinks build on this module.
+    from ..sinks.manifest import content_digest
     from ..sinks.tables import export_minibatches
-    from .scoring import score, with_loss
 
     spark = examples.sparkSession
     workers = workers or spark.sparkContext.defaultParallelism
-    stats: list[tuple[int, int, str, float, int]] = []
-
-    def timed(epoch: int, split: int, phase: str, since: float, n: int) -> None:
-        stats.append((epoch, split, phase, (time.perf_counter() - since) * 1000.0, n))
-
     since = time.perf_counter()
     usable = examples.where(F.col("y").isNotNull())
     placed, n_splits, n = place_examples(usable, key, workers, batch, averaging, seed)
-    timed(0, -1, "split", since, n)
+    stats = [(0, -1, "split", _since(since), n)]
     since = time.perf_counter()
     if materialize:
         data = export_minibatches(placed, export_dir or scratch_path(spark, "examples"), run_id or "run")
-        timed(0, -1, "export", since, n)
+        stats.append((0, -1, "export", _since(since), n))
     else:
         data = placed.persist(StorageLevel.MEMORY_AND_DISK)
-    model = start or Model.initial(head, n_features, n_labels)
-    best, best_epoch, best_loss = model, -1, math.inf
-    history: list[tuple[int, float, float | None]] = []
+
+    def split_rows(split: int) -> DataFrame:
+        part = data.where(F.col("split") == split).repartitionById(workers, F.col("worker"))
+        return part.sortWithinPartitions("turn").select("x", "y")
+
+    plan = RoundPlan(spark, split_rows, n_splits, lambda: content_digest(placed))
+    options = dict(workers=workers, batch=batch, averaging=averaging, learning_rate=learning_rate, l2=l2, seed=seed)
     try:
-        for epoch in range(epochs):
-            losses = []
-            for split in range(n_splits):
-                since = time.perf_counter()
-                part = (
-                    data.where(F.col("split") == split)
-                    .repartitionById(workers, F.col("worker"))
-                    .sortWithinPartitions("turn")
-                    .select("x", "y")
-                )
-                results = part.mapInPandas(worker_fit(model, batch, learning_rate, l2), RESULT_SCHEMA)
-                model, loss = average_results(results, model)
-                losses.append(loss)
-                timed(epoch, split, "fit", since, n // n_splits)
-            train_loss = float(np.nanmean(losses)) if losses else float("nan")
+        return fit_rounds(
+            plan, start or Model.initial(head, n_features, n_labels), epochs, batch, learning_rate, l2, options, key, test, stats, state_dir, stop_after
+        )
+    finally:
+        if not materialize:
+            data.unpersist()
+
+
+def fit_listed(
+    manifest: DataFrame,
+    n_features: int,
+    n_labels: int,
+    head: str = "softmax",
+    key: str = "user_id",
+    epochs: int = 3,
+    batch: int = 30,
+    learning_rate: float = 0.1,
+    l2: float = 0.001,
+    test: DataFrame | None = None,
+    start: Model | None = None,
+    state_dir: str | None = None,
+    stop_after: int | None = None,
+) -> FitResult:
+    """Fit from the minibatch files that a manifest lists: (path, split, worker, batch_no, ...).
+
+    Each worker opens its own files of a split, in order; only paths are dealt out. With
+    the manifest of ``export_batch_files`` and the same options the result is that of ``fit``.
+    A resumed fit goes by the manifest: files are taken to stay as they are.
+    """
+    from ..sinks.manifest import content_digest
+    from ..sources.files import read_listed
+
+    sizes = manifest.agg(F.max("split"), F.max("worker")).first()
+    n_splits, workers = (1 if v is None else v + 1 for v in sizes)
+
+    def split_rows(split: int) -> DataFrame:
+        part = manifest.where(F.col("split") == split).repartitionById(workers, F.col("worker"))
+        return read_listed(part.sortWithinPartitions("batch_no")).select("x", "y")
+
+    plan = RoundPlan(manifest.sparkSession, split_rows, n_splits, lambda: content_digest(manifest))
+    options = dict(workers=workers, batch=batch, learning_rate=learning_rate, l2=l2)
+    start = start or Model.initial(head, n_features, n_labels)
+    return fit_rounds(plan, start, epochs, batch, learning_rate, l2, options, key, test, [], state_dir, stop_after)
+
+
+def _since(began: float) -> float:
+    return (time.perf_counter() - began) * 1000.0
+
+
+@dataclass(frozen=True)
+class RoundPlan:
+    """Where the rounds of a fit find their examples: (x, y) rows of a split, one partition a worker."""
+
+    spark: SparkSession
+    split_rows: Callable[[int], DataFrame]
+    n_splits: int
+    digest: Callable[[], str]
+
+
+def fit_rounds(
+    plan: RoundPlan,
+    model: Model,
+    epochs: int,
+    batch: int,
+    learning_rate: float,
+    l2: float,
+    options: dict,
+    key: str,
+    test: DataFrame | None,
+    stats: list[tuple[int, int, str, float, int]],
+    state_dir: str | None,
+    stop_after: int | None,
+) -> FitResult:
+    """Rounds of fitting and averaging, split by split and epoch by epoch, from the last committed
+    state if there is one. Workers report counts and times beside their parameters."""
+    from ..sinks.fit_state import FitState, load_state, save_state
+    from .scoring import score, with_loss
+
+    spark, head = plan.spark, model.head
+    worker_stats: list[tuple[int, int, str, int, int, int, float]] = []
+    state = FitState("", 0, 0, 0, model, model)
+    if state_dir:
+        known = options | dict(head=head, n_features=model.n_features, n_labels=model.n_labels, evaluated=test is not None)
+        name = _fingerprint(plan.digest(), known, model)
+        state = load_state(spark, state_dir) or replace(state, fit=name)
+        if state.fit != name:
+            raise ValueError(f"{state_dir} holds the state of a fit of other examples or options")
+    stop = math.inf if stop_after is None else state.rounds + stop_after
+    while state.epoch < epochs and state.rounds < stop:
+        since, epoch, split = time.perf_counter(), state.epoch, state.split
+        seen = Observation()
+        results = plan.split_rows(split).mapInPandas(worker_fit(state.model, batch, learning_rate, l2), WORKER_SCHEMA)
+        results = results.observe(seen, F.collect_list(F.struct("worker", "n", "batches", "ms")).alias("workers"))
+        model, loss = average_results(results, state.model)
+        reports = {w["worker"]: w for w in seen.get["workers"]}  # one each, also if a task ran twice
+        worker_stats += [(epoch, split, "fit", k, w["n"], w["batches"], w["ms"]) for k, w in sorted(reports.items())]
+        stats.append((epoch, split, "fit", _since(since), sum(w["n"] for w in reports.values())))
+        state = replace(state, model=model, split=split + 1, rounds=state.rounds + 1, losses=[*state.losses, loss])
+        if state.split == plan.n_splits:
+            train_loss = float(np.nanmean(state.losses)) if not np.isnan(state.losses).all() else float("nan")
             test_loss = None
             if test is not None:
                 since = time.perf_counter()
                 scored = with_loss(score(test.where(F.col("y").isNotNull()), model, [key, "y"]), head)
-                test_loss = mean_loss(scored).first()["loss"]
-                timed(epoch, -1, "evaluate", since, -1)
-            history.append((epoch, train_loss, test_loss))
+                test_loss, n_test = mean_loss(scored).first()
+                stats.append((epoch, -1, "evaluate", _since(since), n_test))
+            state = replace(state, epoch=epoch + 1, split=0, losses=[], history=[*state.history, (epoch, train_loss, test_loss)])
             current = train_loss if test_loss is None else test_loss
-            if current < best_loss:
-                best, best_epoch, best_loss = model, epoch, current
-    finally:
-        if not materialize:
-            data.unpersist()
-    return FitResult(best, model, best_epoch, best_loss, history, stats)
+            if current < state.best_loss:
+                state = replace(state, best=model, best_epoch=epoch, best_loss=current)
+        if state_dir:
+            save_state(spark, state_dir, state)
+    return FitResult(
+        state.best, state.model, state.best_epoch, state.best_loss, state.history, stats, worker_stats, state.rounds, state.epoch >= epochs
+    )
 
 
 def cross_entropy(scores: Column, y: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrays import multi_hot
-from ..operators import eligibility as E, scoring as S, sequences as Q, training as T
+from ..operators import eligibility as E, sequences as Q, training as T, wide as B
 from ..operators.training import FitResult, Model
 from ..settings import SEQUENCE_END, SEQUENCE_START
 
@@ -37,7 +37,7 @@ def fit_recommender(train: DataFrame, n_features: int, n_items: int, test: DataF
 
 def recommend(test: DataFrame, model: Model, items: DataFrame) -> DataFrame:
     """(user_id, item_id, score) for every test user and item."""
-    return S.item_scores(S.score(test, model), items, model.n_labels)
+    return B.score_wide(test, B.weight_rows(test.sparkSession, model, items), model.n_features, model.head)
 
 
 def recommend_eligible(test: DataFrame, model: Model, items: DataFrame, rules: DataFrame, inclusion: DataFrame) -> DataFrame:

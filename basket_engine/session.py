@@ -61,11 +61,32 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_own_scratch(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _storage(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, target = _storage(spark, path)
+    return system.exists(target)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any storage that Spark reaches; a missing one is fine."""
+    system, target = _storage(spark, path)
+    system.delete(target, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names in a folder, none if it is missing. For folders of few entries."""
+    system, target = _storage(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(target)) if system.exists(target) else []
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Drops everything this application stored. Call it once its results are written:
     DataFrames built before still read from there."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    delete_path(spark, _own_scratch(spark))
 
 
 def stored(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import sys
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.arrays import vector_text
 from ..functions.scalars import example_key
 from ..operators.training import FitResult, Model
+from ..sources.files import encode_minibatch, qualified, write_files
+from .manifest import export_once, read_export
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def write_examples(examples: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -54,16 +59,69 @@ def write_split(rows: DataFrame, path: str, mode: str = "errorifexists") -> None
     rows.hint("rebalance", "split").write.mode(mode).partitionBy("split").parquet(path)
 
 
+ENTITY_BUCKET = "bucket"
+
+
+def entity_bucket(entity: str | Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(entity), F.lit(buckets)).cast("int")
+
+
+def write_entities(
+    rows: DataFrame, path: str, entity: Sequence[str] | str = "user_id", buckets: int = 64, order: Sequence[str] = (), mode: str = "errorifexists"
+) -> None:
+    """Rows laid out by entity: a folder per split and hash bucket, all rows of an entity in one
+    bucket, sorted by entity. However many entities there are, the folders are ``2 * buckets``
+    at most for two splits; a bucket that is too big for a file has several."""
+    placed = rows.withColumn(ENTITY_BUCKET, entity_bucket(entity, buckets))
+    laid_out = placed.hint("rebalance", "split", ENTITY_BUCKET).sortWithinPartitions("split", ENTITY_BUCKET, entity, *order)
+    laid_out.write.mode(mode).partitionBy("split", ENTITY_BUCKET).parquet(path)
+
+
+def read_entity(spark: SparkSession, path: str, value: object, buckets: int = 64, entity: str = "user_id", split: str | None = None) -> DataFrame:
+    """The rows of one entity; only its bucket is listed in the scan, and within its files only
+    row groups that may hold it are read."""
+    table = spark.read.parquet(path)
+    kind = table.schema[entity].dataType
+    bucket = spark.range(1).select(entity_bucket(F.lit(value).cast(kind), buckets).alias("b")).first()["b"]
+    found = table.where((F.col(ENTITY_BUCKET) == bucket) & (F.col(entity) == F.lit(value).cast(kind))).drop(ENTITY_BUCKET)
+    return found if split is None else found.where(F.col("split") == split)
+
+
 def export_minibatches(placed: DataFrame, path: str, run_id: str) -> DataFrame:
     """Placed examples written once per run id and read back split by split.
 
-    A finished export of the same run is reused; an unfinished one is replaced.
+    An export of equal examples of the same run is reused; one of other examples is replaced,
+    as is one that was not finished.
     """
-    spark = placed.sparkSession
-    target = f"{path.rstrip('/')}/{run_id}"
-    if not _exists(spark, f"{target}/_SUCCESS"):
-        placed.hint("rebalance", "split").write.mode("overwrite").partitionBy("split").parquet(target)
-    return spark.read.parquet(target)
+    export = export_once(placed, f"{path.rstrip('/')}/{run_id}", key=["worker", "turn"])
+    return read_export(placed.schema, export, placed.sparkSession)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        contents = []
+        for rows in batch.column(1):
+            x, y = (np.array([r[c] for r in rows.as_py()], np.float64).reshape(len(rows), -1) for c in ("x", "y"))
+            contents.append(encode_minibatch(x, y))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary())], ["name", "content"])
+
+
+def export_batch_files(placed: DataFrame, root: str, batch: int) -> DataFrame:
+    """Placed examples as binary files of ``batch`` records, and their manifest.
+
+    The manifest (path, split, worker, batch_no, n_rows) is stored below ``root`` too and
+    comes last, so a folder that has one is whole.
+    """
+    spark, root = placed.sparkSession, root.rstrip("/")
+    nested = placed.groupBy("split", "worker", F.floor(F.col("turn") / batch).alias("batch_no")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "x", "y"))).alias("rows")
+    )
+    name = F.concat_ws("/", "split", F.concat_ws("_", "worker", F.concat(F.col("batch_no").cast("string"), F.lit(".bin"))))
+    write_files(nested.select(name.alias("name"), "rows").mapInArrow(_encoded, "name string, content binary"), f"{root}/data")
+    path = F.concat(F.lit(f"{qualified(spark, root)}/data/"), name)
+    counted = placed.groupBy("split", "worker", F.floor(F.col("turn") / batch).alias("batch_no")).agg(F.count(F.lit(1)).alias("n_rows"))
+    counted.select(path.alias("path"), "split", "worker", "batch_no", "n_rows").write.mode("overwrite").parquet(f"{root}/paths")
+    return spark.read.parquet(f"{root}/paths")
 
 
 def model_rows(spark: SparkSession, result: FitResult) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.arrays import text_vector
 from ..functions.scalars import log_odds, strip_parens
+from ..session import stored
 from .delimited import (
     INCLUSION_SCHEMA,
     PAIR_SCHEMA,
@@ -55,7 +56,7 @@ def parse_factors(lines: DataFrame, indexed: bool = True) -> DataFrame:
     if not indexed:
         return lines.select(values.alias("factors"))
     return lines.select(
-        F.element_at(values, 1).cast("long").alias("entity_idx"),
+        F.get(values, F.lit(0)).cast("long").alias("entity_idx"),
         F.slice(values, F.lit(2), F.size(values) - 1).alias("factors"),
     )
 
@@ -64,6 +65,41 @@ def read_factors(spark: SparkSession, path: str, indexed: bool = True) -> DataFr
     return parse_factors(spark.read.text(path), indexed)
 
 
+def check_dense(factors: DataFrame) -> DataFrame:
+    """The factors, if their index runs from 0 without gaps, repeats or nulls, and all have one
+    width; else an error that says what is wrong. Counts alone are looked at."""
+    found = factors.agg(
+        F.count(F.lit(1)).alias("n"), F.count("entity_idx").alias("known"), F.count_distinct("entity_idx").alias("different"),
+        F.min("entity_idx").alias("least"), F.max("entity_idx").alias("most"),
+        F.min(F.size("factors")).alias("narrow"), F.max(F.size("factors")).alias("wide"),
+        F.count(F.when(F.exists("factors", F.isnull), 1)).alias("broken"),
+    ).first()
+    if found["known"] < found["n"]:
+        raise ValueError(f"{found['n'] - found['known']} factor lines without an index")
+    if found["different"] < found["n"]:
+        raise ValueError(f"{found['n'] - found['different']} factor lines repeat an index")
+    if found["n"] and (found["least"], found["most"]) != (0, found["n"] - 1):
+        raise ValueError(f"indices of {found['n']} factor lines run from {found['least']} to {found['most']}")
+    if found["narrow"] != found["wide"]:
+        raise ValueError(f"factor lines have {found['narrow']} to {found['wide']} values")
+    if found["broken"]:
+        raise ValueError(f"{found['broken']} factor lines hold something that is no number")
+    return factors
+
+
+def read_named_factors(spark: SparkSession, path: str, entities: DataFrame, key: str, index: str) -> DataFrame:
+    """(key, factors) of a file of ``index,f0,f1,...`` lines, named by a dictionary (key, index).
+
+    The file must be dense, and so must be the dictionary's count: a file with fewer or more
+    lines than entities would give some entity no factors, or factors to none.
+    """
+    factors = check_dense(stored(read_factors(spark, path), "factor-file"))
+    n_lines, n_entities = factors.count(), entities.count()
+    if n_lines != n_entities:
+        raise ValueError(f"{n_lines} factor lines for {n_entities} entities")
+    return name_factors(factors, entities, key, index)
+
+
 def name_factors(factors: DataFrame, entities: DataFrame, key: str, index: str, offset: int = 0) -> DataFrame:
     """Factors keyed by entity id, from a dictionary whose index starts at ``offset``."""
     placed = entities.select(key, (F.col(index) + F.lit(offset)).alias("entity_idx"))

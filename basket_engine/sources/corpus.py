@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.arrays import text_vector
+from ..functions.arrays import vector_text
+from .files import write_files
+
+
+def _literal(sep: str) -> str:
+    return re.escape(sep)
 
 
 def read_reviews(spark: SparkSession, root: str, split: str) -> DataFrame:
     """One whole-file review per row from ``<root>/<split>/{pos,neg}/``.
 
-    Class 0 is positive and 1 negative; the file path identifies the review.
+    Class 0 is positive and 1 negative; the file path identifies the review. Spark packs the
+    small files of a folder into tasks of ``spark.sql.files.maxPartitionBytes``, a file counting
+    as ``spark.sql.files.openCostInBytes`` at least. An empty file has no row: Spark's scans leave
+    it out, and a review without words is dropped later anyway.
     """
     base = f"{root.rstrip('/')}/{split}"
     files = (
-        spark.read.text([f"{base}/pos", f"{base}/neg"], wholetext=True)
-        .select("value", F.col("_metadata.file_path").alias("doc_id"))
+        spark.read.format("binaryFile").option("pathGlobFilter", "*").load([f"{base}/pos", f"{base}/neg"])
+        .select(F.col("content").cast("string").alias("text"), F.col("path").alias("doc_id"))
     )
     folder = F.regexp_extract("doc_id", r"/(pos|neg)/[^/]*$", 1)
     return files.select(
@@ -23,18 +33,41 @@ def read_reviews(spark: SparkSession, root: str, split: str) -> DataFrame:
         F.lit(split).alias("split"),
         F.when(folder == "pos", F.lit("positive")).otherwise(F.lit("negative")).alias("label_name"),
         F.when(folder == "pos", F.lit(0)).otherwise(F.lit(1)).alias("label"),
-        F.col("value").alias("text"),
+        "text",
     )
 
 
+def write_reviews(reviews: DataFrame, root: str) -> DataFrame:
+    """A file ``<root>/<split>/{pos,neg}/<name>.txt`` for each row of (split, label, name, text)."""
+    folder = F.when(F.col("label") == 0, F.lit("pos")).otherwise(F.lit("neg"))
+    name = F.concat_ws("/", "split", folder, F.concat(F.col("name").cast("string"), F.lit(".txt")))
+    return write_files(reviews.select(name.alias("name"), F.col("text").alias("content")), root)
+
+
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(token, vector) from a Parquet table."""
     return spark.read.parquet(path).select("token", F.col("vector").cast("array<float>").alias("vector"))
 
 
-def read_word_vector_text(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
-    """(token, vector) from text lines ``token v0 v1 ...``; a header line is skipped."""
-    token = F.substring_index("value", sep, 1)
-    numbers = text_vector(F.expr("substring(value, length(substring_index(value, ' ', 1)) + 2)"), sep)
-    rows = spark.read.text(path).where(F.size(F.split("value", sep)) > 2)
-    return rows.select(token.alias("token"), numbers.cast("array<float>").alias("vector"))
+def write_word_vector_text(vectors: DataFrame, path: str, sep: str = " ") -> None:
+    """Text lines ``token v0 v1 ...`` of (token, vector)."""
+    vectors.select(F.concat_ws(sep, "token", vector_text(F.col("vector"), sep)).alias("value")).write.text(path)
+
+
+def read_word_vector_text(spark: SparkSession, path: str, sep: str = " ", width: int | None = None) -> DataFrame:
+    """(token, vector) from text lines ``token v0 v1 ...``; a header of two numbers is skipped.
+
+    All vectors must have ``width`` numbers, or else as many as the longest line has; the scan
+    that finds this width reads lines only to count their separators. A line of another width,
+    one with something that is no number, and a token without a vector are errors that show
+    the line.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parts = F.split("value", _literal(sep), -1)
+    rows = lines.where(~F.col("value").rlike(rf"^\d+{_literal(sep)}\d+$"))
+    if width is None:
+        width = rows.agg(F.max(F.size(parts) - 1)).first()[0] or 0
+    numbers = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda p: F.trim(p).try_cast("float"))
+    fine = (F.size(parts) == width + 1) & (F.get(parts, F.lit(0)) != "") & ~F.exists(numbers, F.isnull)
+    wrong = F.raise_error(F.concat(F.lit(f"no token with {width} numbers: "), F.substring("value", 1, 80)))
+    return rows.select(F.get(parts, F.lit(0)).alias("token"), F.when(fine, numbers).otherwise(wrong).alias("vector"))

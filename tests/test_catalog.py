@@ -14,7 +14,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 BALANCED = [
     "basket_features", "basket_share", "membership_filter", "risk_encoded", "user_softmax", "index_lookup", "purge",
     "packed_vector_user", "slot_vector", "item_values", "subtract_rows", "exclude_users", "vocabulary_filter", "text_masks",
-    "embed_tokens", "grouped_table", "grouped_copies", "allowed_items", "balanced_order",
+    "embed_tokens", "grouped_table", "score_items", "top_scored_items", "factor_file", "worker_block_means", "grouped_copies", "allowed_items", "balanced_order",
 ]
 
 
