@@ -7,6 +7,7 @@ candidates, a collision-corrected estimate thins them, and full shingle sets con
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,9 @@ CENTRE = 0.35
 ROUNDS = 1
 #: Longs of the bitmap of a document's differences.
 BITMAP = 8
+#: Cells of the sketch of counts that puts the rarer elements of sets first.
+CELLS = 1 << 20
+_NEAR = 1e-9
 _BITS = 40
 
 
@@ -173,32 +177,123 @@ def least_overlap(d_a: float, d_b: float, n_a: float, n_b: float, percent: int)
 def _differences(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, members, centres in _text_pairs(batches, size):
-            linked, sizes, counts, kept, bits = [], [], [], [], []
+            linked, sizes, centre_sizes, counts, kept, bits = [], [], [], [], [], []
             for a, b in zip(members, centres):
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 linked.append(_linked(common, len(a), len(b), percent))
-                # one order for all members of a centre: what is new in them first, as the rarer
                 own = np.r_[np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)]
-                sizes.append(len(a)), counts.append(len(own))
+                sizes.append(len(a)), centre_sizes.append(len(b)), counts.append(len(own))
                 place = np.unique((own >> np.uint64(20)) % np.uint64(64 * BITMAP))
                 bitmap = np.zeros(BITMAP, np.uint64)
                 np.bitwise_or.at(bitmap, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
                 bits.append(bitmap.view(np.int64))
-                if linked[-1]:
-                    # partners have more differences than a link to the centre allows
-                    spare = (len(b) - len(a)) * (100 - percent) / (100 + percent)
-                    needed = max(1, int(np.floor((len(own) + spare) / 2)))
-                    own = own[: max(0, len(own) - needed + 1)]
                 kept.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()),
-                 pa.array(counts, pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                ["a", "b", "linked", "n", "d", "own", "bits"],
+                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), *(pa.array(x, pa.int64()) for x in (sizes, centre_sizes, counts)),
+                 pa.array(kept, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                ["a", "b", "linked", "n", "n_b", "d", "own", "bits"],
             )
 
     return run
 
 
+# The rarest elements of sets: any order that all sets agree on gives exact prefixes
+
+
+def _cells(salt: int, elements: np.ndarray) -> np.ndarray:
+    return (mix(elements + np.uint64(salt & ((1 << 64) - 1))) & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _counted(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    cell = np.flatnonzero(counts)
+    if len(cell):
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts[cell])], ["cell", "n"])
+
+
+def _sketch(counted: DataFrame) -> np.ndarray:
+    """Sums of (cell, n) rows; ``CELLS`` of them at most come to the driver."""
+    sums = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    return out
+
+
+def _difference_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for salt, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+            np.add.at(counts, _cells(salt, own.values.to_numpy().view(np.uint64)), 1)
+    yield from _counted(counts)
+
+
+def difference_prefix(n: int, d: int, n_centre: int, linked: bool, percent: int) -> int:
+    """How many of a document's ``d`` differences from its centre, in an order all agree on, hold one
+    that it shares with any partner, another document beside this centre.
+
+    A document linked to the centre is looked for by ones that are not, which have more
+    differences than a link allows. Else both have at least ``d`` differences, less what a link
+    between the two allows, and the partner has at most ``n * 100 / percent`` elements.
+    """
+    rate = (100 - percent) / (100 + percent)
+    if linked:
+        needed = (d + (n_centre - n) * rate) / 2
+    else:
+        needed = d - n * (1 + 100 / percent) * rate
+    return max(0, d - max(1, math.floor(needed + _NEAR)) + 1)
+
+
+def _rare_differences(counts: np.ndarray, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            salts, linked, n, n_b, d = (batch.column(c).to_pylist() for c in ("salt", "linked", "n", "n_b", "d"))
+            kept = []
+            for i, own in enumerate(batch.column("own")):
+                own = own.values.to_numpy().view(np.uint64)
+                order = np.lexsort((own, counts[_cells(salts[i], own)]))
+                kept.append(own[order[: difference_prefix(n[i], d[i], n_b[i], linked[i], percent)]].view(np.int64))
+            names = ["a", "b", "linked", "n", "d", "bits"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.list_(pa.int64()))], [*names, "own"])
+
+    return run
+
+
+def _set_counts(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, hasher = np.zeros(CELLS, np.int64), WordHasher()
+        for whole in batches:
+            for batch in slices(whole, 1, most_rows=1024):
+                counts += np.bincount(_cells(0, np.concatenate(_sets(batch.column(1), size, hasher))), minlength=CELLS)
+        yield from _counted(counts)
+
+    return run
+
+
+def _rare_shingles(size: int, percent: int, counts: np.ndarray):
+    """The prefix of each set that any set linked to it shares an element with its own prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for whole in batches:
+            for batch in slices(whole, 1, most_rows=1024):
+                kept = []
+                for own in _sets(batch.column(1), size, hasher):
+                    order = np.lexsort((own, counts[_cells(0, own)]))
+                    kept.append(own[order[: len(own) - -(-percent * len(own) // 100) + 1]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int64()))], ["id", "rare"])
+
+    return run
+
+
+def _distances(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, left, right in _text_pairs(batches, size):
+            common = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(left, right)], float)
+            n = np.array([len(a) + len(b) for a, b in zip(left, right)], float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 - common / np.maximum(n - common, 1))], ["a", "b", "apart"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -215,8 +310,15 @@ def near_duplicates(
     is compared with the most central document of its buckets only. Those linked to it are
     one component; the others get centres among themselves. Then, across components, they
     can be linked to documents of their first centre only if they share enough of their
-    differences from it, which a prefix-filtered join of these (few) differences finds. What remains are pairs of different centres that share a bucket and
-    are in different components. So a large group of near copies never becomes pairs.
+    differences from it, which a prefix-filtered join of these finds, the rarer first.
+
+    What remains are pairs of different centres that share a bucket and are in different
+    components. The members of a bucket are not paired up either. Their shingles are ordered by
+    rarity, and linked sets share one of their rarest; these are joined for centres first, not
+    for documents. Distances of sets are a metric, so a document and one of another centre
+    cannot be linked if the centres are further apart than the two are from them and a link
+    allows, and only what is left is joined. So neither a large group of near copies nor one of
+    documents that share a passage and nothing else becomes pairs.
     """
     kept = one_per_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
     kind = kept.schema["id"].dataType.simpleString()
@@ -245,7 +347,7 @@ def near_duplicates(
         return estimated(central.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")), least)
 
     # 1: every document beside the most central one of its buckets
-    schema = f"a {kind}, b {kind}, linked boolean, n long, d long, own array<bigint>, bits array<bigint>"
+    schema = f"a {kind}, b {kind}, linked boolean, n long, n_b long, d long, own array<bigint>, bits array<bigint>"
     compared = stored(with_texts(starred(bands, CENTRE)).mapInArrow(_differences(shingle, percent), schema), "compared")
     links, alone = compared.where("linked").select("a", "b"), compared.where("not linked").select(F.col("a").alias("id"))
     for _ in range(ROUNDS):  # those not linked to it have centres among themselves
@@ -255,9 +357,15 @@ def near_duplicates(
         alone = alone.join(more.select(F.col("a").alias("id")), "id", "left_anti")
     found = stored(components(links), "components")
     # 2: what is not linked to its first centre beside others of this centre
-    rows = _labelled(compared, found, "a", "c").select("b", "a", "c", "linked", "n", "d", "bits", F.posexplode("own").alias("i", "e"))
+    salted = compared.withColumn("salt", F.xxhash64("b"))
+    counts = _sketch(salted.select("salt", "own").mapInArrow(_difference_counts, "cell long, n long"))
+    schema = f"a {kind}, b {kind}, linked boolean, n long, d long, bits array<bigint>, own array<bigint>"
+    rare = salted.select("salt", "a", "b", "linked", "n", "n_b", "d", "own", "bits").mapInArrow(_rare_differences(counts, percent), schema)
+    rows = stored(_labelled(rare, found, "a", "c").select("b", "a", "c", "linked", "n", "d", "bits", F.posexplode("own").alias("i", "e")), "differences")
+    asking = rows.where("not linked").select("b", "e").distinct()  # linked documents matter only beside others
     left = rows.where("not linked").select("b", "e", "a", *[F.col(c).alias(f"{c}_a") for c in ("c", "n", "d", "i", "bits")])
-    right = rows.select("b", "e", F.col("a").alias("o"), "linked", *[F.col(c).alias(f"{c}_o") for c in ("c", "n", "d", "i", "bits")])
+    right = rows.join(asking, ["b", "e"], "left_semi")
+    right = right.select("b", "e", F.col("a").alias("o"), "linked", *[F.col(c).alias(f"{c}_o") for c in ("c", "n", "d", "i", "bits")])
     needed = least_overlap(F.col("d_a"), F.col("d_o"), F.col("n_a"), F.col("n_o"), percent)
     at_most = F.least(F.col("d_a") - F.col("i_a"), F.col("d_o") - F.col("i_o"))  # this one and all behind it
     # each bit that only one of the two has stands for a difference that they do not share
@@ -267,17 +375,37 @@ def near_duplicates(
     near = left.join(right, ["b", "e"]).where(apart & (at_most >= needed - 1e-6))
     near = stored(near.select("a", F.col("o").alias("b")).distinct(), "near")
     found = _merged(found, confirmed(estimated(near, percent / 100 - MARGIN)))
-    # 3: pairs of a bucket that have different centres and components
-    centre = compared.select(F.col("a").alias("id"), F.col("b").alias("own_centre"))
+    # 3: documents of buckets with several components, through their centres and rarest shingles
     member = _labelled(bands, found, "id", "component")
     mixed = member.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    member = member.join(mixed.select("band"), "band", "left_semi").join(centre, "id", "left")
-    member = stored(member.select("band", "id", "component", F.coalesce("own_centre", "id").alias("centre")), "mixed")
-    left = member.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("centre").alias("za"))
-    right = member.select("band", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("centre").alias("zb"))
-    across = left.join(right, "band").where("a > b and ca <> cb and za <> zb and za <> b and zb <> a").select("a", "b").distinct()
-    more = confirmed(estimated(across, percent / 100 - MARGIN))
-    found = _merged(found, more)
+    member = member.join(mixed.select("band"), "band", "left_semi").select("id", "component").distinct()
+    common = (F.col("n") + F.col("n_b") - F.col("d")) / 2
+    centre = compared.select(F.col("a").alias("id"), F.col("b").alias("z"), (1 - common / (F.col("n") + F.col("n_b") - common)).alias("s"))
+    member = member.join(centre, "id", "left").join(reps.select("id", "n"), "id")
+    member = stored(member.select("id", "component", "n", F.coalesce("z", "id").alias("z"), F.coalesce("s", F.lit(0.0)).alias("s")), "mixed")
+    texts = kept.join(member.select("id"), "id", "left_semi")
+    counts = _sketch(texts.select("id", "text").mapInArrow(_set_counts(shingle), "cell long, n long"))
+    rare = texts.select("id", "text").mapInArrow(_rare_shingles(shingle, percent, counts), f"id {kind}, rare array<bigint>")
+    rows = stored(rare.join(member, "id").select("id", "component", "n", "z", "s", F.posexplode("rare").alias("i", "e")), "rare-shingles")
+    several = rows.groupBy("e").agg(
+        F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("z").alias("z0"), F.max("z").alias("z1")
+    ).where("c0 <> c1 and z0 <> z1")
+    rows = stored(rows.join(several.select("e"), "e", "left_semi"), "shared-shingles")
+    allowed = 1 - percent / 100 + _NEAR
+    side = rows.groupBy("e", "z").agg(F.max("s").alias("s"))
+    centres = side.select("e", F.col("z").alias("a"), F.col("s").alias("s_a")).join(side.select("e", F.col("z").alias("b"), F.col("s").alias("s_b")), "e")
+    centres = stored(centres.where("a < b").groupBy("a", "b").agg(F.max(F.col("s_a") + F.col("s_b")).alias("slack")), "centre-pairs")
+    apart = with_texts(centres).mapInArrow(_distances(shingle), f"a {kind}, b {kind}, apart double")
+    close = stored(centres.join(apart, ["a", "b"]).where(F.col("apart") <= allowed + F.col("slack")).select("a", "b", "apart"), "close-centres")
+    both = lambda x, z: rows.select("e", F.col("z").alias(z), F.col("id").alias(f"id_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "s", "i")])
+    pairs = both("a", "a").join(close, "a").join(both("b", "b"), ["e", "b"])
+    within = F.col("apart") - F.col("s_a") - F.col("s_b") <= allowed
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    # for the first element that two sets share, this one and all behind it
+    enough = (100 + percent) * F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+    pairs = pairs.where(within & fits & enough & (F.col("component_a") != F.col("component_b")))
+    across = stored(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "across")
+    found = _merged(found, confirmed(estimated(across, percent / 100 - MARGIN)))
 
     of_class = _labelled(classes, found, "rep", "component").select(*same, "component")
     return (

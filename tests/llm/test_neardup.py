@@ -71,3 +71,73 @@ def test_graph(spark):
     got = {r["node"]: r["component"] for r in graph_components(edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 20: 20, 21: 20, **{i: 100 for i in range(100, 141)}}
     assert graph_components(edges.limit(0)).count() == 0
+
+
+def recorded(monkeypatch):
+    """Rows of the stages that hold pairs, by label."""
+    rows, plain = {}, neardup.stored
+
+    def stored(df, label="stage"):
+        out = plain(df, label)
+        if label in ("near", "centre-pairs", "across"):
+            rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "stored", stored)
+    return rows
+
+
+def test_unlike_documents_of_one_bucket_are_not_paired(spark, monkeypatch):
+    """Thousands of documents share a passage, too little to be linked, and so their buckets."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    passage = sentence(rng, 60)
+    texts = [passage + " " + " ".join(rng.choice(words) for _ in range(60)) for _ in range(2000)]
+    texts += near_copies(rng, texts[7], 20, 0.03) + near_copies(rng, texts[9], 20, 0.03) + [texts[11]] * 30
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    pairs = recorded(monkeypatch)
+    got = found(near_duplicates(table(spark, rows)))
+    group = {7: [7, *range(2000, 2020)], 9: [9, *range(2020, 2040)], 11: [11, *range(2040, 2070)]}
+    for members in group.values():
+        assert {c for _, c in components({i: texts[i] for i in members}, 5).values()} == {got[i][1] for i in members}
+    alone = set(range(2000)) - set(group)
+    assert all(got[i][1] == i for i in alone)
+    assert set(pairs) == {"near", "centre-pairs", "across"} and max(pairs.values()) < 3 * len(texts)
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_chains_between_centres(spark, monkeypatch, size):
+    """Links that only the last step finds: no document counts as near its centre."""
+    monkeypatch.setattr(neardup, "CENTRE", 2.0)
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    rng = random.Random(size)
+    texts = [sentence(rng, rng.randint(3, 90)) for _ in range(30)]
+    for base in (sentence(rng, 150), sentence(rng, 60), sentence(rng, 12)):
+        texts += near_copies(rng, base, 25, 0.12)
+    pairs = recorded(monkeypatch)
+    assert found(near_duplicates(table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), shingle=size)) == components(dict(enumerate(texts)), size)
+    assert pairs["near"] == 0 and pairs["across"] > 0
+
+
+def test_prefixes_hold_a_shared_element():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 3, neardup.CELLS)
+    for _ in range(3000):
+        percent = int(rng.choice([60, 80, 95]))
+        z, a, o = (np.unique(np.r_[np.arange(60)[rng.random(60) < rng.choice([0.9, 0.97])], rng.integers(100, 400, rng.integers(0, 12))]).astype(np.uint64) for _ in range(3))
+        if rng.random() < 0.7:
+            o = np.unique(np.r_[a[rng.random(len(a)) < 0.95], rng.integers(500, 600, rng.integers(0, 4)).astype(np.uint64)])
+        linked = lambda x, y: neardup._linked(len(np.intersect1d(x, y)), len(x), len(y), percent)
+        if not linked(a, o) or linked(a, z) and linked(o, z) or not len(a):
+            continue
+        heads = []
+        for x in (a, o):
+            own = np.setxor1d(x, z)
+            order = np.lexsort((own, counts[neardup._cells(5, own)]))
+            heads.append(set(own[order[: neardup.difference_prefix(len(x), len(own), len(z), linked(x, z), percent)]].tolist()))
+        assert heads[0] & heads[1]
+        rare = []
+        for x in (a, o):
+            order = np.lexsort((x, counts[neardup._cells(0, x)]))
+            rare.append(set(x[order[: len(x) - -(-percent * len(x) // 100) + 1]].tolist()))
+        assert rare[0] & rare[1]
