@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -45,7 +46,13 @@ class TokenEncoder:
 
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        special = {t["content"] for t in content["added_tokens"]}
+        special = {t["content"]: t["id"] for t in content["added_tokens"]}
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in content["added_tokens"]):
+            raise ValueError(f"{path} has added tokens that are not plain texts")
+        self.special = special
+        # added tokens are found before anything else, at each place the longest
+        longest = sorted(special, key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if special else None
         byte = _byte_characters()
         ranks = {bytes(byte[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("byte-level", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
@@ -65,7 +72,7 @@ class TokenEncoder:
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)  # sorted word hashes
         self.first = self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint16)
+        self.ids = np.zeros(0, np.uint32)
 
     def _words(self, cp: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Where words start; ``edges`` are the starts of the texts that are not empty."""
@@ -92,7 +99,7 @@ class TokenEncoder:
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         found = [self.piece(w.encode()) for w in words]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         first = len(self.ids) + np.cumsum(size) - size
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known)
@@ -101,10 +108,24 @@ class TokenEncoder:
         self.ids = np.concatenate([self.ids, flat])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; few megabytes of text at a time."""
+        """The ids of each text; few megabytes of text at a time.
+
+        The text of an added token has its id, and what stands between such texts is encoded
+        on its own.
+        """
+        if self.added and any(map(self.added.search, texts)):
+            parts = [self.added.split(t) if self.added.search(t) else [t] for t in texts]
+            plain = iter(self._plain([p for part in parts for p in part[::2]]))
+            return [self._joined(part, plain) for part in parts]
+        return self._plain(texts)
+
+    def _joined(self, parts: list[str], plain: Iterator[np.ndarray]) -> np.ndarray:
+        return np.concatenate([next(plain) if i % 2 == 0 else np.array([self.special[p]], np.uint32) for i, p in enumerate(parts)])
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
         if any(len(t) > LONG for t in texts):
-            return [self._in_parts(t) if len(t) > LONG else self.encode([t])[0] for t in texts]
-        out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(texts)
+            return [self._in_parts(t) if len(t) > LONG else self._plain([t])[0] for t in texts]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         whole = "".join(texts)
         if not whole:
             return out
@@ -118,9 +139,9 @@ class TokenEncoder:
         hard = np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1)
         if len(hard):
             for i in hard:
-                out[i] = np.array(self.encoding.encode_ordinary(texts[i]), np.uint16)
+                out[i] = np.array(self.encoding.encode_ordinary(texts[i]), np.uint32)
             easy = np.setdiff1d(np.flatnonzero(sizes), hard)
-            for i, ids in zip(easy, self.encode([texts[i] for i in easy])):
+            for i, ids in zip(easy, self._plain([texts[i] for i in easy])):
                 out[i] = ids
             return out
         starts = self._words(cp, offsets[:-1][sizes > 0])
@@ -149,8 +170,8 @@ class TokenEncoder:
         while at < len(text):
             cut = _SURE.search(text, at + LONG // 2)
             if not cut or cut.start() - at > LONG:  # no sure place nearby: the rest goes whole
-                parts.append(np.array(self.encoding.encode_ordinary(text[at:]), np.uint16))
+                parts.append(np.array(self.encoding.encode_ordinary(text[at:]), np.uint32))
                 break
-            parts += self.encode([text[at : cut.start()]])
+            parts += self._plain([text[at : cut.start()]])
             at = cut.start()
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)

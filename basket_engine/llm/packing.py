@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -74,70 +75,136 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(give: list[int], take: list[int], room: int, sizes: list[int]) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What ``give`` should hand over to ``take``, and get back, so that ``take`` grows most.
+def _singles(items: list[int], sizes: list[int]) -> int:
+    """The sizes of a bin's items as bits."""
+    out = 0
+    for i in items:
+        out |= 1 << sizes[i]
+    return out
 
-    Looked at are a move, one for one, two for one and one for two.
-    """
-    best, gain = None, 0
-    own = sorted((sizes[i], i) for i in take)
-    keys = [s for s, _ in own]
-
-    def back_for(out: int, items: tuple[int, ...]) -> None:
-        nonlocal best, gain
-        if gain < out <= room:
-            best, gain = (items, ()), out
-        j = bisect_left(keys, out - room)  # the smallest that makes it fit
-        if j < len(own) and gain < out - keys[j] <= room:
-            best, gain = (items, (own[j][1],)), out - keys[j]
-
-    ordered = sorted((sizes[i], i) for i in give)
-    for s, i in ordered:
-        back_for(s, (i,))
-        for j, (s1, i1) in enumerate(own):  # two back for one
-            k = bisect_left(keys, s - room - s1, j + 1)
-            if k < len(own) and gain < s - s1 - keys[k] <= room:
-                best, gain = ((i,), (i1, own[k][1])), s - s1 - keys[k]
-        if gain == room:
-            return best
-    for x, (s, i) in enumerate(ordered):
-        for s1, i1 in ordered[x + 1 :]:
-            back_for(s + s1, (i, i1))
-        if gain == room:
-            return best
-    return best
+
+def _doubles(items: list[int], sizes: list[int]) -> int:
+    """The sums of two items of a bin as bits."""
+    out = seen = 0
+    for i in items:
+        out |= seen << sizes[i]
+        seen |= 1 << sizes[i]
+    return out
+
+
+def _bits(mask: int) -> Iterator[int]:
+    """Set bits from the highest on."""
+    while mask:
+        yield (at := mask.bit_length() - 1)
+        mask ^= 1 << at
+
+
+class Underfull:
+    """Which underfull bins hold one item, or two, of a total size, the emptiest first."""
+
+    def __init__(self, capacity: int):
+        self.heaps = [[[] for _ in range(capacity + 1)] for _ in range(2)]
+        self.present = [0, 0]
+        self.version: dict[int, int] = {}
+        self.fits = (1 << (capacity + 1)) - 1
+
+    def put(self, b: int, fill: int, masks: tuple[int, int]) -> None:
+        """The bin as it is now; what was known of it before no longer counts."""
+        version = self.version[b] = self.version.get(b, -1) + 1
+        for k in range(2):
+            for size in _bits(masks[k] & self.fits):
+                heappush(self.heaps[k][size], (fill, b, version))
+            self.present[k] |= masks[k] & self.fits
+
+    def drop(self, b: int) -> None:
+        self.version[b] = self.version.get(b, -1) + 1
+
+    def emptiest(self, k: int, size: int, but: int) -> tuple[int, int] | None:
+        """(fill, bin) of another bin than ``but`` with ``k + 1`` items of this size."""
+        heap, aside, out = self.heaps[k][size], None, None
+        while heap:
+            fill, b, version = heap[0]
+            if self.version[b] != version:
+                heappop(heap)
+            elif b == but:
+                aside = heappop(heap)
+            else:
+                out = fill, b
+                break
+        if aside:
+            heappush(heap, aside)
+        if not heap:
+            self.present[k] &= ~(1 << size)
+        return out
+
+
+def _pick(items: list[int], sizes: list[int], size: int, k: int) -> tuple[int, ...]:
+    """One item, or two, of this size."""
+    if k == 0:
+        return (next(i for i in items if sizes[i] == size),)
+    at: dict[int, int] = {}
+    for i in items:
+        if size - sizes[i] in at:
+            return at[size - sizes[i]], i
+        at[sizes[i]] = i
+    raise AssertionError("no such items")
 
 
 def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Swap-based local search between underfull bins.
 
-    The emptiest bin hands items over to fuller ones, by moves and exchanges that each
-    raise the sum of squared fills, until it is empty or nothing helps; then the next
-    emptiest is tried. Sums of squares only grow, so this ends.
+    A move of an item, or an exchange of one for one, two for one or one for two between two
+    bins is made if it raises the sum of squared fills; of those that a bin could take the one
+    that raises it most. Every underfull bin receives and gives, again and again, until no such
+    step is left or as few bins are left as the total size needs. Sums of squares only grow,
+    so this ends. Bins that get empty are dropped.
     """
+    bins = [list(b) for b in bins]
     fill = [sum(sizes[i] for i in b) for b in bins]
-    least = math.ceil(sum(fill) / capacity)
-    count = len(bins)
-    underfull = [(fill[b], b) for b in range(len(bins)) if fill[b] < capacity]
-    underfull.sort()
-    while count > least and len(underfull) > 1:
-        _, e = underfull.pop(0)
-        for f, b in sorted(underfull, key=lambda x: (-x[0], x[1])):
-            if not bins[e]:
-                break
-            while bins[e] and fill[b] < capacity and (found := _exchange(bins[e], bins[b], capacity - fill[b], sizes)):
-                out, back = found
-                moved = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
-                if fill[b] + moved <= fill[e] - moved and back:
-                    break
-                bins[e] = [i for i in bins[e] if i not in out] + list(back)
-                bins[b] = [i for i in bins[b] if i not in back] + list(out)
-                underfull.remove((fill[b], b))
-                fill[e], fill[b] = fill[e] - moved, fill[b] + moved
-                if fill[b] < capacity:
-                    insort(underfull, (fill[b], b))
-        if not bins[e]:
-            count -= 1
+    least, count = math.ceil(sum(fill) / capacity), sum(map(bool, bins))
+    masks = {}
+    known = Underfull(capacity)
+
+    def placed(b: int) -> None:
+        if 0 < fill[b] < capacity:
+            masks[b] = _singles(bins[b], sizes), _doubles(bins[b], sizes)
+            known.put(b, fill[b], masks[b])
+        else:
+            known.drop(b)
+
+    def step(b: int) -> tuple | None:
+        """(rise, giver, size and kind given, size and kind given back) of the best step into ``b``."""
+        room, best = capacity - fill[b], None
+        one, two = masks[b]
+        for back, kind in chain([(0, -1)], ((t, 0) for t in _bits(one)), ((t, 1) for t in _bits(two & known.fits))):
+            for k in (0,) if kind == 1 else (0, 1):
+                over = known.present[k] & ((1 << (back + room + 1)) - 1)
+                for size in _bits(over >> (back + 1) << (back + 1)):
+                    gain = size - back
+                    if best and 2 * gain * (fill[b] + gain) <= best[0]:
+                        break  # not even an empty giver would do
+                    if (found := known.emptiest(k, size, b)) and fill[b] + gain > found[0]:
+                        rise = 2 * gain * (fill[b] - found[0] + gain)
+                        if not best or rise > best[0]:
+                            best = rise, found[1], size, k, back, kind
+        return best
+
+    for b in range(len(bins)):
+        placed(b)
+    changed = True
+    while changed and count > least:
+        changed = False
+        for b in sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (-fill[b], b)):
+            while count > least and 0 < fill[b] < capacity and (found := step(b)):
+                _, e, size, k, back, kind = found
+                out = _pick(bins[e], sizes, size, k)
+                returned = _pick(bins[b], sizes, back, kind) if kind >= 0 else ()
+                bins[e] = [i for i in bins[e] if i not in out] + list(returned)
+                bins[b] = [i for i in bins[b] if i not in returned] + list(out)
+                fill[e], fill[b] = fill[e] - size + back, fill[b] + size - back
+                count -= not bins[e]
+                placed(e), placed(b)
+                changed = True
     return [b for b in bins if b]
 
 
