@@ -8,6 +8,7 @@ from ..functions.arrays import multi_hot, vector_text
 from ..functions.scalars import example_key, imputed, missing_to_null, split_by_month
 from ..operators import dictionary as D, features as X
 from ..plans.featurize import basket_features as featurize
+from ..session import stored
 from . import views as V
 from .registry import query
 
@@ -158,13 +159,13 @@ FROM odds JOIN (SELECT user_id, item_id, price, max(price) OVER (PARTITION BY us
 )
 def user_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over log-odds, and over prices large enough to overflow a plain ``exp``."""
-    odds = X.add_log_odds(V.correlations(spark, sf_dir), "score")
-    soft = X.group_softmax(odds, "user_id", "log_odds", row_id=["user_id", "item_id"])
     tx = V.transactions(spark, sf_dir, "user_id", "item_id", "price")
-    top = tx.groupBy("user_id", "item_id").agg(F.max("price").alias("price"))
-    by_price = X.group_softmax(top, "user_id", "price", "price_softmax", row_id=["user_id", "item_id"])
-    both = soft.join(by_price, ["user_id", "item_id"]).select("user_id", "item_id", "softmax", "price_softmax")
-    return _rounded(both, "softmax", "price_softmax")
+    pairs = tx.groupBy("user_id", "item_id").agg((F.count(F.lit(1)) + F.lit(1.0)).alias("score"), F.max("price").alias("price"))
+    # Read again for each group's sum and for its rows.
+    odds = stored(X.add_log_odds(pairs, "score"), "odds")
+    soft = X.group_softmax(odds, "user_id", "log_odds", row_id=["user_id", "item_id"])
+    both = X.group_softmax(soft, "user_id", "price", "price_softmax", row_id=["user_id", "item_id"])
+    return _rounded(both.select("user_id", "item_id", "softmax", "price_softmax"), "softmax", "price_softmax")
 
 
 @query("item_dictionary", f"WITH {V.ITEMS} SELECT item_id, item_idx FROM items")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrays import multi_hot
+from ..session import stored
 from .indexing import global_index
 from .skew import join_skewed
 
@@ -49,8 +50,9 @@ def running_label_indices(
 
     Rows are reduced to the first month per user and item, which is at most one
     dictionary per user, and each month of the user keeps those that came in time.
+    The input is read once.
     """
-    known = tx.where(F.col(index) >= 0)
+    known = stored(tx.where(F.col(index) >= 0).select(user, month, index).distinct(), "seen")
     months = known.select(user, month).distinct()
     firsts = known.groupBy(user, index).agg(F.min(month).alias("since"))
     nested = firsts.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(index, "since"))).alias("_firsts"))

@@ -42,16 +42,13 @@ def with_loss(scored: DataFrame, head: str) -> DataFrame:
 
 
 def item_scores(scored: DataFrame, items: DataFrame, n_labels: int, user: str = "user_id") -> DataFrame:
-    """(user, item_id, score) for every item of the dictionary.
-
-    The dictionary rows used are bounded by the width of the score vector each
-    example already carries, which is what allows the broadcast.
-    """
+    """(user, item_id, score) for every item of the dictionary, from score vectors that rows
+    carry already. For catalogs of any width see ``wide.score_wide``."""
     long = scored.select(user, F.posexplode("scores").alias("item_idx", "score"))
     named = items.where((F.col("item_idx") >= 0) & (F.col("item_idx") < n_labels)).select(
         F.col("item_idx").cast("int").alias("item_idx"), "item_id"
     )
-    return long.join(F.broadcast(named), "item_idx").select(user, "item_id", "score")
+    return join_skewed(long, named, ["item_idx"], "inner", row_id=[user]).select(user, "item_id", "score")
 
 
 def churn_scores(scored: DataFrame, user: str = "user_id") -> DataFrame:
