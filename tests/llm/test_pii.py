@@ -1,3 +1,5 @@
+import datetime
+import random
 import re
 
 import pytest
@@ -73,6 +75,37 @@ def test_documents(spark):
     assert all(whole[i]["n_chars"] == (len(got[i]["text"]) if got[i]["text"] is not None else None) for i in got)
 
 
+def reversed_step(y, count, tweak):
+    """The number that ``moved`` takes to ``y``, by trying the permutation's steps backwards."""
+    return permuted((permuted(y, count, DEMO_KEY, tweak) - 1) % count, count, DEMO_KEY, tweak, back=True)
+
+
+def test_values_come_back_from_their_pseudonyms(spark):
+    """Whole documents are restored with the key: nothing but the values has changed."""
+    rng, rows, values = random.Random(5), [], []
+    first, days = datetime.date(1900, 1, 1).toordinal(), 73049
+    for i in range(60):
+        day = datetime.date.fromordinal(first + rng.randrange(days))
+        address = ".".join(str(rng.randrange(256)) for _ in range(4))
+        values.append((day, address))
+        rows.append((i, f"Es\u00e1 {i}: born {day:%Y-%m-%d}\n\tseen from {address} again {day:%Y-%m-%d}.", "en", "s", 1))
+    got = {r["doc_id"]: r["text"] for r in pseudonyms(table(spark, rows)).collect()}
+    for i, text, *_ in rows:
+        back = re.sub(r"\d{4}-\d\d-\d\d", lambda m: datetime.date.fromordinal(
+            first + reversed_step(datetime.date.fromisoformat(m[0]).toordinal() - first, days, "date")).isoformat(), got[i])
+        back = re.sub(r"\d+(\.\d+){3}", lambda m: ".".join(map(str, reversed_step(
+            int.from_bytes(bytes(map(int, m[0].split("."))), "big"), 1 << 32, "ipv4").to_bytes(4, "big"))), back)
+        assert back == text and got[i] != text
+
+
+@pytest.mark.parametrize("count, rounds", [(10, 200), (1000, 5)])
+def test_no_value_stays_and_none_meet(count, rounds):
+    """Every number of a format, under many keys: a permutation without fixed points."""
+    for k in range(rounds):
+        images = [moved(i, count, bytes([k]), "t") for i in range(count)]
+        assert sorted(images) == list(range(count)) and all(i != x for i, x in enumerate(images))
+
+
 def test_edges(spark):
     got = {r["doc_id"]: r["text"] for r in pseudonyms(edge_table(spark)).collect()}
     assert got == kept_texts(edge_rows())

@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from statistics import NormalDist
 
 import pytest
 
@@ -120,3 +121,68 @@ def test_rejects_few_insults_and_runs_in_long_documents(spark):
     rejected = {r["doc_id"] for r in judge(table(spark, rows), labels).where("not kept").collect()}
     assert len(rejected & set(insulted)) >= 72 and set(running) <= rejected
     assert len(rejected - set(insulted) - set(running)) <= 8
+
+
+def quantile(values, q):
+    return sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+
+
+def thresholds(rows, q):
+    """{lang: {measure: limit}} from the formulas, in plain numbers."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r["lang"]].append(r)
+    out, s = defaultdict(dict), quality.SHRINK
+    for m in quality.MEASURES:
+        mean = {g: sum(r[m] for r in x) / len(x) for g, x in by.items()}
+        squares = {g: sum((r[m] - mean[g]) ** 2 for r in x) for g, x in by.items()}
+        pooled = sum(squares.values()) / sum(len(x) - 1 for x in by.values())
+        sd = {g: math.sqrt((squares[g] + s * pooled) / (len(x) - 1 + s)) for g, x in by.items()}
+        far = max(quantile([(r[m] - mean[r["lang"]]) / sd[r["lang"]] for r in rows], q), NormalDist().inv_cdf(q))
+        for g, x in by.items():
+            n = len(x)
+            rest = mean[g] + far * sd[g] * (1 + 1 / math.sqrt(n))
+            out[g][m] = n / (n + s) * quantile([r[m] for r in x], q) + s / (n + s) * rest
+    return out
+
+
+@pytest.mark.parametrize("q", [0.9, 0.998])
+def test_thresholds_like_their_definition(spark, q):
+    rng = random.Random(4)
+    rows = [
+        {"id": i, "lang": ["en", "en", "en", "fr", "de"][i % 5], "n_tokens": 1 if i % 40 == 0 else 9, **{m: rng.gauss(i % 5, 1 + k) for k, m in enumerate(quality.MEASURES)}}
+        for i in range(400)
+    ]
+    scored = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, lang string, n_tokens long, loss double, worst double, runs double, toxic double")
+    scored = scored.unionByName(scored.limit(1).selectExpr("1000L AS id", "'xx' AS lang", "n_tokens", "loss", "worst", "runs", "toxic"))
+    good, sample = (spark.createDataFrame([(i,) for i in ids], "id long") for ids in (range(0, 400, 2), range(0, 400, 3)))
+    used = [r for r in rows if r["id"] % 2 == 0 and r["id"] % 3 and r["n_tokens"] > 1]
+    want = thresholds(used, q)
+    got = quality._with_thresholds(scored, good, sample, q).collect()
+    assert len(got) == 401
+    for r in got:
+        for m in quality.MEASURES:
+            assert r[f"t_{m}"] == (pytest.approx(want[r["lang"]][m]) if r["lang"] != "xx" else None)
+
+
+def test_ratio_like_its_definition(spark):
+    """The toxic ratio of a text: words mixed from both models over words of the trusted one."""
+    rng = random.Random(6)
+    good = [sentence(rng, rng.randint(1, 40)) for _ in range(40)]
+    bad = [sentence(rng, 10) + " blockhead nitwit" for _ in range(15)]
+    model = quality.against(fit(spark.createDataFrame([(t,) for t in good], "text string")), spark.createDataFrame([(t,) for t in bad], "text string"))
+    pairs = {p for t in good for p in zip(tokens(t), tokens(t)[1:])}
+    uni, other = Counter(w for _, w in pairs), Counter(w for _, w in {p for t in bad for p in zip(tokens(t), tokens(t)[1:])})
+    d, e = discounts(Counter(uni.values())), discounts(Counter(other.values()))
+    unknown = sum(d[min(c, 3) - 1] for c in uni.values()) / sum(uni.values()) / (len(uni) + 1)
+    gamma = sum(e[min(c, 3) - 1] for c in other.values()) / sum(other.values())
+
+    def ratio(w):
+        low = (max(uni[w] - d[min(uni[w], 3) - 1], 0) / sum(uni.values()) if w in uni else 0) + unknown
+        second = (max(other[w] - e[min(other[w], 3) - 1], 0) / sum(other.values()) if w in other else 0) + gamma * low
+        return math.log10(((1 - quality.MIX) * low + quality.MIX * second) / low)
+
+    texts = ["the blockhead of", "nitwit", "never seen", good[0][:40], ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r["ratio"] for r in quality.passages(docs, model).groupBy("id").sum("ratio").withColumnRenamed("sum(ratio)", "ratio").collect()}
+    assert all(got[i] == pytest.approx(sum(ratio(w) for w in tokens(t)[1:])) for i, t in enumerate(texts))
