@@ -9,7 +9,7 @@ from basket_engine.llm.pii import DEMO_KEY, pseudonymised
 from basket_engine.llm.queries import ORACLES, QUERIES
 from tools.check_queries import TABLES, compare
 
-from .data import components, edge_table
+from .data import components, edge_table, table
 from .test_decontaminate import brute_force
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -51,6 +51,24 @@ def test_stages_like_brute_force(spark):
     assert {r["doc_id"] for r in packed.collect()} == set(after)
 
 
+def test_the_key_is_a_setting(spark, monkeypatch):
+    docs = table(spark, [(1, "mail jane@mail.example.com now", "en", "s", 30)])
+    demo = texts(corpus_pipeline.replace_personal_values(spark, docs, SF))
+    spark.conf.set(corpus_pipeline.PSEUDONYM_KEY, "a secret")
+    try:
+        own = texts(corpus_pipeline.replace_personal_values(spark, docs, SF))
+    finally:
+        spark.conf.unset(corpus_pipeline.PSEUDONYM_KEY)
+    assert len({demo[1], own[1], "mail jane@mail.example.com now"}) == 3
+
+    class Cluster:
+        conf = spark.conf
+        sparkContext = type("Context", (), {"master": "yarn", "getConf": spark.sparkContext.getConf})
+
+    with pytest.raises(RuntimeError, match="secret"):
+        corpus_pipeline.pseudonym_key(Cluster)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
 
@@ -82,4 +100,4 @@ def test_query_beside_sql(spark, duck, monkeypatch, name):
 
 def test_registered():
     names = entry_point.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
