@@ -22,8 +22,12 @@ from .wordhash import WordHasher, mix, slices, text_buffers
 
 #: Words are runs of letters a-z and bytes beyond ASCII.
 BREAKS = bytes(b for b in range(128) if not chr(b).isalpha())
-#: Longest piece and longest stretch of a word that is scored at once, in bytes.
-PIECE, STRETCH = 12, 48
+#: Longest piece, in bytes.
+PIECE = 12
+#: Bytes of words that are worked on at once; a longer word is worked on alone.
+AT_ONCE = 1 << 19
+#: Sums below this are scaled up, and the logarithm of the scale is kept.
+SMALL = 1e-60
 #: Labelled documents of each language that the model is fitted on, at most.
 FITTED = 2000
 ROUNDS = 3
@@ -75,57 +79,115 @@ class PieceModel:
         return at
 
 
+def _groups(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows by falling size, in groups of a bounded number of bytes."""
+    order = np.argsort(-size, kind="stable")
+    upto, lo = np.cumsum(size[order]), 0
+    while lo < len(order):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + AT_ONCE, "right")))
+        yield order[lo:hi]
+        lo = hi
+
+
 class Segmenter:
+    """Sums over all segmentations of words, which go forward side by side, byte by byte.
+
+    A word of any length is summed as a whole. Sums get small as words get long: what is
+    kept of each is a number near 1 and the logarithm of its scale.
+    """
+
     def __init__(self, model: PieceModel):
         self.model, self.value = model, _byte_values()
         self.power = np.multiply.accumulate(np.r_[np.ones(1, np.uint64), np.full(PIECE, _STEP)])
 
-    def _cuts(self, data: np.ndarray, start: np.ndarray, n: int) -> list[list[np.ndarray]]:
-        """For each end in words of n bytes, the piece numbers by length."""
-        h = np.zeros((n + 1, len(start)), np.uint64)
-        for i in range(n):
-            h[i + 1] = h[i] * _STEP + self.value[data[start + i]]
-        return [[self.model.find(h[e] - h[e - k] * self.power[k]) for k in range(1, min(e, PIECE) + 1)] for e in range(1, n + 1)]
+    def _hashes(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(end, piece numbers by length) for each end; ``size`` falls, so the words that reach an
+        end are the first ones."""
+        last = [np.zeros(len(start), np.uint64)]
+        alive = len(start)
+        for e in range(1, int(size[0]) + 1 if len(size) else 1):
+            alive = int(np.searchsorted(-size[:alive], -e, "right"))
+            h = last[-1][:alive] * _STEP + self.value[data[start[:alive] + (e - 1)]]
+            last = [*last[-PIECE:], h]
+            yield e, [self.model.find(h - last[-1 - k][:alive] * self.power[k]) for k in range(1, min(e, PIECE) + 1)]
+
+    @staticmethod
+    def _step(sums: list[np.ndarray], logs: list[np.ndarray], p: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The next sum and the logarithm of its scale, from those one, two ... bytes before."""
+        n = len(p[0])
+        log = logs[-1][:n]
+        value = sums[-1][:n] * p[0]
+        for k in range(2, len(p) + 1):
+            far = logs[-k]
+            scale = 1.0 if far is logs[-1] else np.exp(far[:n] - log)
+            value = value + sums[-k][:n] * scale * p[k - 1]
+        if n and value.min() < SMALL:
+            small = np.where((value < SMALL) & (value > 0), value, 1.0)
+            return value / small, log + np.log(small)
+        return value, log if len(log) == len(logs[-1]) else logs[-1]
 
     def log_scores(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Natural log probability of each word in each language; long words in stretches."""
-        out = np.zeros((len(start), len(self.model.languages)))
-        p = self.model.probability
-        word = np.arange(len(start))
-        while len(word):
-            size = np.minimum(stop[word] - start[word], STRETCH)
-            for n in np.unique(size):
-                rows = word[size == n]
-                alpha = [np.ones((len(rows), p.shape[1]))]
-                for cuts in self._cuts(data, start[rows], int(n)):
-                    alpha.append(sum(alpha[-k] * p[at] for k, at in enumerate(cuts, 1)))
-                out[rows] += np.log(alpha[-1])
-            start = start.copy()
-            start[word] += size
-            word = word[stop[word] > start[word]]
+        """Natural log probability of each word in each language."""
+        p, out = self.model.probability, np.zeros((len(start), len(self.model.languages)))
+        size = stop - start
+        for rows in _groups(size):
+            own = size[rows]
+            sums, logs = [np.ones((len(rows), p.shape[1]))], [np.zeros((len(rows), p.shape[1]))]
+            for e, pieces in self._hashes(data, start[rows], own):
+                value, log = self._step(sums, logs, [p[at] for at in pieces])
+                sums, logs = [*sums[-PIECE + 1 :], value], [*logs[-PIECE + 1 :], log]
+                done = int(np.searchsorted(-own[: len(value)], -e, "left"))  # those before go on
+                with np.errstate(divide="ignore"):
+                    out[rows[done : len(value)]] = np.log(value[done:]) + log[done : len(value)]
         return out
 
     def expected(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, weight: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        """Expected piece counts, piece x language, of words with their weights and languages."""
+        """Expected piece counts, piece x language, of words with their weights and languages.
+
+        The sums before and behind every byte are kept: some forty bytes for each byte of a
+        group, or of a long word.
+        """
         p = self.model.probability
         out = np.zeros_like(p)
         width = p.shape[1]
         size = stop - start
-        for n in np.unique(size[size <= STRETCH]):
-            rows = np.flatnonzero(size == n)
-            of = lang[rows]
-            cuts = self._cuts(data, start[rows], int(n))
-            prob = [[p[at, of] for at in c] for c in cuts]
-            alpha, beta = [np.ones(len(rows))], [np.zeros(len(rows)) for _ in range(n)] + [np.ones(len(rows))]
-            for c in prob:
-                alpha.append(sum(alpha[-k] * q for k, q in enumerate(c, 1)))
+        for rows in _groups(size):
+            own, of = size[rows], lang[rows]
+            at = [pieces for _, pieces in self._hashes(data, start[rows], own)]
+            n = len(at)
+            sums, logs = [np.ones(len(rows))], [np.zeros(len(rows))]
+            for pieces in at:
+                value, log = self._step(sums[-PIECE:], logs[-PIECE:], [p[x, of[: len(x)]] for x in pieces])
+                sums.append(value), logs.append(log[: len(value)] if len(log) != len(value) else log)
+            whole, whole_log = np.ones(len(rows)), np.zeros(len(rows))
             for e in range(n, 0, -1):
-                for k, q in enumerate(prob[e - 1], 1):
-                    beta[e - k] = beta[e - k] + q * beta[e]
-            scale = weight[rows] / alpha[n]
-            for e in range(1, n + 1):
-                for k, (at, q) in enumerate(zip(cuts[e - 1], prob[e - 1]), 1):
-                    out += np.bincount(at * width + of, alpha[e - k] * q * beta[e] * scale, out.size).reshape(out.shape)
+                done = int(np.searchsorted(-own[: len(sums[e])], -e, "left"))
+                whole[done : len(sums[e])], whole_log[done : len(sums[e])] = sums[e][done:], logs[e][done:]
+            # behind: sums from the end of each word back, for the ends that pieces can reach from here
+            behind, behind_log = {}, {}
+            for e in range(n, -1, -1):
+                alive = len(sums[e])
+                value, log = np.zeros(alive), np.zeros(alive)
+                ends = own[:alive] == e
+                reach = range(1, min(PIECE, n - e) + 1)
+                if reach:
+                    longer = len(sums[e + 1])
+                    log[:longer] = behind_log[e + 1]
+                    for k in reach:
+                        m = len(sums[e + k])
+                        q = p[at[e + k - 1][k - 1], of[:m]]
+                        value[:m] += q * behind[e + k] * np.exp(behind_log[e + k] - log[:m])
+                value[ends], log[ends] = 1.0, 0.0
+                small = np.where((value < SMALL) & (value > 0), value, 1.0)
+                behind[e], behind_log[e] = value / small, log + np.log(small)
+                for k in reach:  # the pieces that begin here
+                    m = len(sums[e + k])
+                    pieces = at[e + k - 1][k - 1]
+                    scale = np.exp(logs[e][:m] + behind_log[e + k] - whole_log[:m])
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        count = sums[e][:m] * p[pieces, of[:m]] * behind[e + k] * scale / whole[:m] * weight[rows[:m]]
+                    out += np.bincount(pieces * width + of[:m], np.nan_to_num(count), out.size).reshape(out.shape)
+                behind.pop(e + PIECE, None), behind_log.pop(e + PIECE, None)
         return out
 
 
@@ -152,9 +214,22 @@ def _expectation(model: PieceModel):
 
 
 def sample_ids(labelled: DataFrame, most: int = FITTED) -> DataFrame:
-    """The ids with the least hashes in each language, of rows (id, lang)."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    return labelled.where("lang is not null").withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("id")
+    """The ids with the least hashes in each language, of rows (id, lang).
+
+    Languages are counted first, and only ids whose hash is below the share of it that holds
+    ``most`` of them, and some more, are ordered: in each language a little over ``most``. Should
+    these be too few, all are ordered.
+    """
+    known = labelled.where("lang is not null").select("id", "lang", F.xxhash64("id").alias("h"))
+    counts = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]  # as many as the model has
+    some = [(lang, n, int(-(2**63) + min(1.0, (most + 8 * most**0.5 + 50) / n) * (2**64 - 1))) for lang, n in counts]
+    limits = known.sparkSession.createDataFrame([(lang, n, min(limit, 2**63 - 1)) for lang, n, limit in some], "lang string, n long, most_h long")
+    near = known.join(F.broadcast(limits), "lang").where(F.col("h") <= F.col("most_h")).select("id", "lang", "h")
+    found = dict(near.groupBy("lang").count().collect())
+    if any(found.get(lang, 0) < min(most, n) for lang, n in counts):
+        near = known
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    return near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("id")
 
 
 def fit(texts: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> PieceModel | None:
