@@ -133,12 +133,33 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op4_quotes", r"""
-SELECT conv_id, turn, CASE WHEN before IS NOT NULL THEN conv_id END AS parent_conv, before AS parent_turn,
-  conv_id AS root_conv, root AS root_turn, n::INTEGER AS depth, n AS position, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text
-FROM (
-  SELECT *, lag(turn) OVER w AS before, min(turn) OVER (PARTITION BY conv_id) AS root, row_number() OVER w - 1 AS n
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+WITH RECURSIVE t AS (
+  SELECT *, lag(turn) OVER w AS before, lag(text) OVER w AS last, lag(turn, 2) OVER w AS further, lag(text, 2) OVER w AS earlier,
+    ((conv_id + 3 * turn) % 5 + 5) % 5 AS way
+  FROM (SELECT conv_id, turn, text, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS plain FROM conversations)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+),
+pieces AS (
+  SELECT conv_id, turn, [lower(trim(regexp_replace(p, '\s+', ' ', 'g'))) for p in
+    [text] || string_split(text, chr(10)) || regexp_split_to_array(text, '\n\s*\n')
+    || string_split(regexp_replace(array_to_string(regexp_split_to_array(text, '\n\s*\n'), chr(1)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))] AS pieces FROM conversations
+),
+linked AS (
+  SELECT t.conv_id, t.turn, t.text, CASE
+      WHEN t.way < 3 OR t.further IS NULL THEN CASE WHEN trim(regexp_replace(t.last, '\s+', ' ', 'g')) <> '' THEN t.before END
+      WHEN e.plain = '' THEN NULL
+      WHEN list_contains(p.pieces, e.plain) THEN t.before ELSE t.further END AS parent
+  FROM t LEFT JOIN pieces p ON p.conv_id = t.conv_id AND p.turn = t.before LEFT JOIN t e ON e.conv_id = t.conv_id AND e.turn = t.further
+),
+tree AS (
+  SELECT conv_id, turn, parent, text, [turn] AS path FROM linked WHERE parent IS NULL
+  UNION ALL
+  SELECT l.conv_id, l.turn, l.parent, l.text, list_append(path, l.turn) FROM linked l JOIN tree ON tree.conv_id = l.conv_id AND tree.turn = l.parent
 )
+SELECT conv_id, turn, CASE WHEN parent IS NOT NULL THEN conv_id END AS parent_conv, parent AS parent_turn,
+  conv_id AS root_conv, path[1] AS root_turn, (len(path) - 1)::INTEGER AS depth,
+  row_number() OVER (PARTITION BY conv_id, path[1] ORDER BY path) - 1 AS position, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text
+FROM tree
 """)
 def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as mails with nested quotations; the operator sees these alone and has to

@@ -1,15 +1,23 @@
-"""Quotation linking: messages joined to what they quote, as reply-ordered conversations."""
+"""Quotation linking: messages joined to what they quote, as reply-ordered conversations.
+
+Quotations of every level are cut into passages, paragraphs, sentences and lines, and joined by
+hash to the earlier messages whose own text has them. Replies are ordered by ranking the list
+of a tour through each tree by doubling, so that no message holds more than two ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..operators.indexing import global_index, ordinal_in_group
+from ..operators.indexing import global_index
+from ..operators.skew import join_skewed
 from ..session import stored
 
 #: Lines before a quotation that name its author; they are neither text nor quotation.
 ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*a écrit|el\b.*escribió)\s*:\s*$"
 MARKS = r"^(\s*>)*"
+SENTENCE_END = r"(?<=[.!?])\s+"
+RESULTS = ("parent", "root", "depth", "position", "text")
 
 
 def _hash(text: Column) -> Column:
@@ -43,33 +51,54 @@ def own_text(lines: Column) -> Column:
     return F.regexp_replace(F.concat_ws("\n", own), r"^\s+|\s+$", "")
 
 
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def _pieces(text: Column) -> Column:
-    """The whole text and each of its paragraphs, once, as hashes."""
-    paragraphs = F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != "")
-    every = F.array_union(F.array(text), paragraphs)
-    return F.array_distinct(F.transform(F.filter(every, lambda p: F.trim(p) != ""), lambda p: _hash(p)))
+    """Arrays of pieces of a text: itself, its paragraphs, their sentences and its lines, in order,
+    white space as single blanks. A sentence may go over several lines, not paragraphs."""
+    some = lambda parts: F.filter(F.transform(parts, _plain), lambda p: p != "")
+    paragraphs = F.split(text, r"\n\s*\n")
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(_plain(p), SENTENCE_END)))
+    return F.array(*[some(parts) for parts in (F.array(text), paragraphs, sentences, F.split(text, r"\n"))])
+
+
+def _own_hashes(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.flatten(_pieces(text)), _hash))
 
 
 def _quoted(rows: DataFrame) -> DataFrame:
-    """(ord, hash, chars): the passages quoted at the first level and their paragraphs."""
-    first = F.filter("lines", lambda s: s["level"] == 1)
-    # lines of the same level that follow each other are one passage; deeper ones end it
-    cut = F.transform(first, lambda s, i: F.concat(
-        F.when((i > 0) & (s["pos"] - F.get(first, i - 1)["pos"] > 1), F.lit("\u0000")).otherwise(F.lit("")), s["line"]))
-    passages = F.split(F.concat_ws("\n", cut), "\n?\u0000")
-    passage = rows.select("ord", F.explode(F.array_distinct(passages)).alias("passage"))
-    return passage.select("ord", F.length("passage").alias("chars"), F.explode(_pieces(F.regexp_replace("passage", r"^\s+|\s+$", ""))).alias("hash"))
+    """(ord, level, passage, kind, i, chars, hash): the pieces of the quotations of every level.
+
+    Lines of a level that follow each other are one passage; another level ends it.
+    """
+    lines = rows.select("ord", F.filter("lines", lambda s: s["level"] > 0).alias("q"))
+    starts = F.transform("q", lambda s, i: F.struct(s["level"].alias("level"), s["line"].alias("line"), (
+        (i == 0) | (s["pos"] - F.get("q", i - 1)["pos"] > 1) | (s["level"] != F.get("q", i - 1)["level"])).alias("first")))
+    # a mark that no line holds goes before each passage, then its level
+    marked = F.transform(starts, lambda s: F.concat(
+        F.when(s["first"], F.concat(F.lit("\u0000"), s["level"].cast("string"), F.lit("\u0001"))).otherwise(F.lit("\n")), F.regexp_replace(s["line"], "[\u0000\u0001]", "")))
+    passages = F.slice(F.split(F.concat_ws("", marked), "\u0000"), 2, 1 << 30)
+    passage = lines.where(F.size("q") > 0).select("ord", F.col("q")).select("ord", F.posexplode(passages).alias("passage", "p"))
+    text = F.regexp_replace(F.substring_index("p", "\u0001", -1), r"^\s+|\s+$", "")
+    passage = passage.select("ord", "passage", F.substring_index("p", "\u0001", 1).cast("int").alias("level"), F.posexplode(_pieces(text)).alias("kind", "pieces"))
+    each = passage.select("ord", "level", "passage", "kind", F.posexplode("pieces").alias("i", "piece"))
+    return each.select("ord", "level", "passage", "kind", "i", F.length("piece").alias("chars"), _hash(F.col("piece")).alias("hash"))
+
+
+QUOTE = ("level", "passage", "kind", "i", "chars")
 
 
 def _latest_before(originals: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Quotes (ord, hash, chars) with ``parent``, the latest earlier message with that piece.
+    """Quoted pieces with ``parent``, the latest earlier message with that piece.
 
     Originals and quotes are sorted together and the last original is carried down, inside
     range partitions and from one to the next, so a piece that a third of all messages have
     neither multiplies rows nor meets in one task.
     """
-    mixed = originals.select("hash", "ord", F.col("ord").alias("source"), F.lit(None).cast("int").alias("chars"))
-    mixed = mixed.unionByName(quotes.select("hash", "ord", F.lit(None).cast("long").alias("source"), "chars"))
+    mixed = originals.select("hash", "ord", F.col("ord").alias("source"), *[F.lit(None).cast("int").alias(c) for c in QUOTE])
+    mixed = mixed.unionByName(quotes.select("hash", "ord", F.lit(None).cast("long").alias("source"), *QUOTE))
     # a message does not quote itself: its quotes come before its own pieces
     order = ["hash", "ord", F.col("source").isNotNull()]
     placed = stored(mixed.repartitionByRange("hash", "ord").withColumn("part", F.spark_partition_id()), "pieces")
@@ -82,56 +111,113 @@ def _latest_before(originals: DataFrame, quotes: DataFrame) -> DataFrame:
     carried = parts.select("part", F.max("end").over(before).alias("end"))
     found = seen.where("source is null").join(carried, "part", "left")
     far = F.when(F.col("end.hash") == F.col("hash"), F.col("end.source"))
-    return found.select("ord", "hash", "chars", F.coalesce("near", far).alias("parent")).where("parent is not null")
+    return found.select("ord", *QUOTE, F.coalesce("near", far).alias("parent")).where("parent is not null")
+
+
+def _parents(links: DataFrame) -> DataFrame:
+    """(ord, parent) of linked pieces: of the nearest level that has links, the message with the
+    most characters in pieces of one kind that follow each other; of equals the latest."""
+    run = Window.partitionBy("ord", "level", "passage", "kind", "parent").orderBy("i")
+    joined = links.withColumn("run", F.col("i") - F.row_number().over(run))
+    sums = joined.groupBy("ord", "level", "passage", "kind", "parent", "run").agg(F.sum("chars").alias("chars"))
+    best = F.max(F.struct((-F.col("level")).alias("near"), "chars", "parent"))
+    return sums.groupBy("ord").agg(best.alias("best")).select("ord", F.col("best.parent").alias("parent"))
+
 
+def ranked(nodes: DataFrame) -> DataFrame:
+    """(ord, root, depth, position) of (ord, parent), parents being earlier messages.
 
-def _rooted(nodes: DataFrame) -> DataFrame:
-    """(ord, root, depth, path) of (ord, parent) by doubling: each round every message's
-    ancestor is replaced by that one's. Parents come earlier, so there are no circles."""
-    rows = stored(nodes.select("ord", "parent", F.array("ord").alias("path")), "replies")
-    while (going := rows.where("parent is not null")).take(1):  # who has a root takes no part any more
-        above = rows.select(F.col("ord").alias("parent"), F.col("parent").alias("next"), F.col("path").alias("front"))
-        further = going.join(above, "parent").select("ord", F.col("next").alias("parent"), F.concat("front", "path").alias("path"))
-        rows = stored(rows.where("parent is null").unionByName(further), "replies")
-    return rows.select("ord", F.get("path", F.lit(0)).alias("root"), (F.size("path") - 1).alias("depth"), "path")
+    A tour enters each message, goes through its replies in order and leaves it again. Each
+    of these steps knows the one before it and what lies between: so many messages entered and
+    left. A round replaces the step known by the one that it knows, until all know the tour's
+    start. No two steps that still go on know the same one, whatever the shape of the trees.
+    """
+    enter, leave = (lambda c: 2 * F.col(c)), (lambda c: 2 * F.col(c) + 1)
+    replies = global_index(nodes.where("parent is not null").select("parent", "ord"), ["parent", "ord"], "at")
+    before = replies.select((F.col("at") + 1).alias("at"), F.col("ord").alias("left"), F.col("parent").alias("of"))
+    sibling = replies.join(before, "at").where("of = parent").select("ord", "left")
+    last = replies.groupBy("parent").agg(F.max("ord").alias("last")).select(F.col("parent").alias("ord"), "last")
+    rows = nodes.select("ord", "parent").join(sibling, "ord", "left").join(last, "ord", "left")
+    known = F.coalesce(leave("left"), enter("parent"))
+    entered = rows.select(enter("ord").alias("step"), known.alias("known"), F.col("left").isNull().cast("long").alias("entered"), F.col("left").isNotNull().cast("long").alias("left"))
+    inner = F.coalesce(leave("last"), enter("ord"))
+    left = rows.select(leave("ord").alias("step"), inner.alias("known"), F.col("last").isNull().cast("long").alias("entered"), F.col("last").isNotNull().cast("long").alias("left"))
+    steps = entered.unionByName(left)
+    start = F.col("known").isNull()  # entering a root: nothing lies before it
+    steps = stored(steps.select(
+        "step", F.coalesce("known", "step").alias("known"), F.when(start, 0).otherwise(F.col("entered")).cast("long").alias("entered"),
+        F.when(start, 0).otherwise(F.col("left")).cast("long").alias("left"), start.alias("done")), "steps")
+    while True:
+        going = steps.where("not done")
+        if not going.take(1):
+            break
+        further = steps.select(F.col("step").alias("known"), F.col("known").alias("next"), F.col("entered").alias("e"), F.col("left").alias("l"), F.col("done").alias("d"))
+        moved = going.join(further, "known").select(
+            "step", F.col("next").alias("known"), (F.col("entered") + F.col("e")).alias("entered"), (F.col("left") + F.col("l")).alias("left"), F.col("d").alias("done")
+        )
+        steps = stored(steps.where("done").unionByName(moved), "steps")
+    return steps.where("step % 2 = 0").select(
+        F.expr("step div 2").alias("ord"), F.expr("known div 2").alias("root"), (F.col("entered") - F.col("left")).cast("int").alias("depth"),
+        F.col("entered").alias("position"),
+    )
 
 
 def conversations(messages: DataFrame, order: list[str], text_col: str = "text") -> DataFrame:
     """(order..., parent, root, depth, position, text), one row per message.
 
     ``order`` names the columns that tell messages apart and sort them by time; they are
-    also what ``parent`` and ``root`` hold, as structs (null parent: nothing found). Level by
-    level, quotation marks are stripped; the passages of the first level and their
-    paragraphs are hashed, in lower case with blanks for white space, and joined to the
-    earlier messages whose own text or paragraph they are. The longest passage decides,
-    then the latest message. A conversation is a tree of replies; ``position`` numbers it
-    from 0, each message followed by its replies in order. ``text`` is the message without
-    quotations and attribution lines. A null text has neither text nor parent. Rows equal in
-    the order columns are one message, the one with the least text (nulls last).
+    also what ``parent`` and ``root`` hold, as structs (null parent: nothing found). A column of
+    ``order`` that is named like a result comes back as ``<name>_key``; other columns are not
+    looked at. Level by level, quotation marks are stripped; the quoted passages, their
+    paragraphs, sentences and lines are hashed, in lower case with blanks for white space, and
+    joined to the earlier messages whose own text has them as one of these. Of the lowest
+    level with links, pieces that follow each other and come from one message are taken
+    together; the longest of these decides, then the latest message. So a message that quotes
+    only what its parent had quoted, or whose first level was changed, is linked to the
+    ancestor. A conversation is a tree of replies; ``position`` numbers it from 0, each message
+    followed by its replies in order. ``text`` is the message without quotations and attribution
+    lines. A null text has neither text nor parent. Rows equal in the order columns are one
+    message, the one with the least text (nulls last).
     """
-    least = F.min(F.struct(F.col(text_col).isNull().alias("missing"), F.col(text_col).alias("text")))
-    unique = messages.groupBy(*order).agg(least.alias("least")).select(*order, F.col("least.text").alias("text"))
-    placed = global_index(unique, order, "ord")
+    keys = [f"_k{i}" for i in range(len(order))]
+    named = messages.select(*[F.col(c).alias(k) for c, k in zip(order, keys)], F.col(text_col).alias("_text"))
+    least = F.min(F.struct(F.col("_text").isNull().alias("missing"), F.col("_text").alias("text")))
+    unique = named.groupBy(*keys).agg(least.alias("least")).select(*keys, F.col("least.text").alias("text"))
+    placed = global_index(unique, keys, "ord")
     rows = stored(parsed(placed).withColumn("own", own_text(F.col("lines"))), "messages")
-    originals = rows.select("ord", F.explode(_pieces(F.col("own"))).alias("hash"))
-    links = _latest_before(originals, _quoted(rows))
-    parent = links.groupBy("ord").agg(F.max(F.struct("chars", "parent")).alias("best")).select("ord", F.col("best.parent").alias("parent"))
-    nodes = rows.select("ord", "own").join(parent, "ord", "left")
-    tree = ordinal_in_group(_rooted(nodes), ["root"], ["path"], "position").drop("path")
-    names = lambda c: placed.select(F.col("ord").alias(c), F.struct(*order).alias(f"{c}_key"))
-    full = nodes.join(tree, "ord").join(names("parent"), "parent", "left").join(names("root"), "root")
-    return full.join(placed.select("ord", *order), "ord").select(
-        *order, F.col("parent_key").alias("parent"), F.col("root_key").alias("root"), "depth", "position", F.col("own").alias("text")
+    originals = rows.select("ord", F.explode(_own_hashes(F.col("own"))).alias("hash"))
+    parent = _parents(_latest_before(originals, _quoted(rows)))
+    nodes = stored(rows.select("ord", "own").join(parent, "ord", "left"), "nodes")
+    tree = ranked(nodes.select("ord", "parent"))
+    names = lambda c: placed.select(F.col("ord").alias(c), F.struct(*[F.col(k).alias(n) for k, n in zip(keys, order)]).alias(f"{c}_key"))
+    full = stored(nodes.join(tree, "ord"), "tree")
+    for c in ("parent", "root"):  # a message may have any number of replies
+        full = join_skewed(full, names(c), [c], "left", row_id=["ord"])
+    back = [F.col(k).alias(f"{n}_key" if n in RESULTS else n) for k, n in zip(keys, order)]
+    return full.join(placed.select("ord", *keys), "ord").select(
+        *back, F.col("parent_key").alias("parent"), F.col("root_key").alias("root"), "depth", "position", F.col("own").alias("text")
     )
 
 
 def as_mail(turns: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, text) as mails that quote the two messages before them, nested."""
+    """Rows (conv_id, turn, text) as mails that quote the turns before them, in five ways.
+
+    By ``(conv_id + 3 * turn) % 5``: the turn before whole with the one before it nested, its
+    first line that is not blank, its last sentence, the turn two before nested and nothing else,
+    or that turn at the first level, which makes a branch. Where there is no turn two before,
+    the first way takes the place of the last two.
+    """
     before = Window.partitionBy("conv_id").orderBy("turn")
     quoted = lambda c, mark: F.regexp_replace(c, r"(?m)^", mark)
-    last, earlier = F.lag("text", 1).over(before), F.lag("text", 2).over(before)
-    mail = F.concat_ws(
-        "\n\n", "text",
-        F.when(last.isNotNull(), F.concat_ws("\n", F.lit("On that day, someone wrote:"), quoted(last, "> "), F.when(earlier.isNotNull(), quoted(earlier, "> > ")))),
+    df = turns.select("conv_id", "turn", "text", F.lag("text", 1).over(before).alias("last"), F.lag("text", 2).over(before).alias("earlier"))
+    way = F.pmod(F.col("conv_id") + 3 * F.col("turn"), F.lit(5))
+    line = F.regexp_extract("last", r"[^\n]*[^\s][^\n]*", 0)
+    sentence = F.element_at(F.split(F.regexp_replace("last", r"^\s+|\s+$", ""), SENTENCE_END), -1)
+    whole = F.concat_ws("\n", quoted(F.col("last"), "> "), F.when(F.col("earlier").isNotNull(), quoted(F.col("earlier"), "> > ")))
+    quotation = (
+        F.when(way == 1, quoted(line, "> ")).when(way == 2, quoted(sentence, "> "))
+        .when((way == 3) & F.col("earlier").isNotNull(), quoted(F.col("earlier"), "> > "))
+        .when((way == 4) & F.col("earlier").isNotNull(), quoted(F.col("earlier"), "> ")).otherwise(whole)
     )
-    return turns.select("conv_id", "turn", mail.alias("text"))
+    mail = F.concat_ws("\n\n", "text", F.when(F.col("last").isNotNull(), F.concat_ws("\n", F.lit("On that day, someone wrote:"), quotation)))
+    return df.select("conv_id", "turn", mail.alias("text"))
