@@ -1,15 +1,20 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney n-gram model over spelled tokens.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of words and their spelling.
 
-A text is the spelling of its tokens: words with A-Z as a-z, a blank between them, and an
-end. The model predicts each byte of this from the ``order - 1`` before it, so every token
-sequence has a probability, unknown words included, and the number of different n-grams
-levels off while the corpus grows. N-grams are counted in Spark; log probabilities and
-back-off weights become sorted arrays of n-gram codes, which workers memory-map.
+A token is a word, with A-Z as a-z, or the end of a text. The model predicts it from the token
+before it. Its lower order tells how likely a token is after any other, from the number of
+different tokens that it follows, and below that stands a Kneser-Ney model over the bytes of
+single words, which gives every word a probability, unknown ones too.
+
+Pairs are counted in Spark and written by tasks to the shared folder, as sorted arrays of
+64-bit hashes with their counts; so are the tables of words and of the spelling. Tasks that score
+texts map these files. What reaches the driver is a few totals, a sketch of a bounded size and the
+names of files.
 """
 
 from __future__ import annotations
 
 import math
+import shutil
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,23 +23,32 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import stored
+from ..session import scratch_path, stored
+from ..sources.files import place, qualified, write_whole
 from .documents import one_per_id
 from .quality import discounts
-from .wordhash import SPACES, WordHasher, slices, text_buffers
+from .wordhash import SPACES, WordHasher, mix, slices, text_buffers
 
+#: Bytes of a spelled n-gram.
 ORDER = 6
 #: Symbols that are no bytes of a text; the three lowest bytes of a text count as 0x1A.
 PAD, END, OTHER = 1, 2, 0x1A
-#: Entries of sorted arrays that one pass over the texts maps; more take more passes.
-PASS_ENTRIES = 8_000_000
-#: Entries that are handed over in one piece.
-BLOB_ENTRIES = 1 << 18
-#: Words that a task gathers before it hands them on.
-CHUNK_WORDS = 2_000_000
+#: Numbers of the tokens that are no words.
+START_TOKEN, END_TOKEN = (np.uint64(int.from_bytes(x, "little")) for x in (b"<start>\x01", b"<ended>\x02"))
+#: Pairs that a task gathers before it hands on their counts.
+GATHERED = 1 << 20
+#: Bytes of training text, about, whose pairs one task merges.
+SHARD_BYTES = 32 << 20
+#: Counts from this one on stand in a table of their own, all others in one byte.
+MANY = 255
+#: Cells of the sketch that finds tokens with very many pairs.
+CELLS = 1 << 16
+#: Bytes of text that a task works on at once.
+SLICE = 2 << 20
 _FLUSH = 1 << 21
 
 
@@ -79,39 +93,77 @@ class Speller:
         return code[own], np.repeat(np.arange(docs), length)
 
 
-def _ngrams(order: int):
+class Tokens:
+    """The tokens of text columns, as numbers."""
+
+    def __init__(self, order: int):
+        self.hasher, self.speller = WordHasher(SPACES), Speller(order)
+
+    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(before, token, text, words): a row for each token and the text that it is in. ``words`` has
+        the spelling of each different number in ascending order, the end's being empty."""
+        data, offsets = text_buffers(column)
+        h, doc, first, stop = self.hasher.spans(data, offsets)
+        docs = len(column)
+        n = np.bincount(doc, minlength=docs)
+        at = np.cumsum(n + 2) - (n + 2)
+        line = np.empty(len(h) + 2 * docs, np.uint64)
+        line[at], line[at + n + 1] = START_TOKEN, END_TOKEN
+        line[np.arange(len(h)) + 2 * doc + 1] = h
+        goes_on = np.ones(len(line), bool)
+        goes_on[at + n + 1] = False
+        begin = np.flatnonzero(goes_on)
+        number, where = np.unique(h, return_index=True)
+        place_ = np.searchsorted(number, END_TOKEN)
+        spelled = [data[a:b].tobytes() for a, b in zip(first[where].tolist(), stop[where].tolist())]
+        if docs and (place_ == len(number) or number[place_] != END_TOKEN):
+            spelled.insert(int(place_), b"")
+        return line[begin], line[begin + 1], np.repeat(np.arange(docs), n + 1), pa.array(spelled, pa.binary()).view(pa.string())
+
+
+def _cells(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens) & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _spelled_words(order: int):
+    """Rows (kind, key, c): 0 for the n-grams of spelled words, each as often as its word; 1 for the
+    cells of the tokens before others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(order)
+        tokens = Tokens(order)
+        cells = np.zeros(CELLS, np.int64)
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(keys), 1 << 16):
+        def rows(kind: int, key: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(key), 1 << 16):
+                part = slice(i, i + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(counts[i : i + (1 << 16)])], ["key", "c"]
+                    [pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part].astype(np.int64)), pa.array(c[part])], ["kind", "key", "c"]
                 )
 
         for whole in batches:
-            for batch in slices(whole, 0, most_bytes=2 << 20):
-                code, _ = speller.codes(batch.column(0))
-                more, n = np.unique(code, return_counts=True)
-                keys, where = np.unique(np.r_[keys, more], return_inverse=True)
-                counts = np.bincount(where, np.r_[counts, n]).astype(np.int64)
+            for batch in slices(whole, 0, most_bytes=SLICE):
+                before, token, _, words = tokens.read(batch.column(0))
+                cells += np.bincount(_cells(before), minlength=CELLS)
+                _, times = np.unique(token, return_counts=True)
+                code, word = tokens.speller.codes(words)
+                keys, where = np.unique(np.r_[keys, code], return_inverse=True)
+                counts = np.bincount(where, np.r_[counts, times[word]]).astype(np.int64)
                 if len(keys) > _FLUSH:
-                    yield from rows()
+                    yield from rows(0, keys, counts)
                     keys, counts = keys[:0], counts[:0]
-        yield from rows()
+        yield from rows(0, keys, counts)
+        used = np.flatnonzero(cells)
+        yield from rows(1, used, cells[used])
 
     return run
 
 
-def fit(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """The model of the texts (column ``text``): rows (level, kind, key, value) with the log10
-    probability (``p``) of the n-grams of each length and the log10 back-off weight (``g``)
-    of the contexts that they have."""
-    if not 2 <= order <= 7:
-        raise ValueError("an n-gram code holds 2 to 7 bytes")
-    counted = texts.mapInArrow(_ngrams(order), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    tables = {order: stored(counted, "ngrams")}
+def fit_spelling(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """The model of spelled words, from n-gram codes of ``order`` bytes (key, c): rows (level, kind,
+    key, value) with the log10 probability (``p``) of the n-grams of each length and the log10
+    back-off weight (``g``) of the contexts that they have."""
+    tables = {order: stored(counted.groupBy("key").agg(F.sum("c").alias("c")), "ngrams")}
     suffix = lambda k: F.col("key").bitwiseAND(F.lit((1 << (8 * k)) - 1))
     for k in range(order - 1, 0, -1):  # lower orders count what stood before, not occurrences
         tables[k] = stored(tables[k + 1].groupBy(suffix(k).alias("key")).agg(F.count(F.lit(1)).alias("c")), "ngrams")
@@ -135,253 +187,322 @@ def fit(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return stored(reduce(DataFrame.unionByName, parts), "model")
 
 
+# Sorted arrays in files
+
+
+def _content(keys: np.ndarray, columns: list[np.ndarray]) -> bytes:
+    return b"".join([keys.astype("<u8").tobytes(), *(c.tobytes() for c in columns)])
+
+
+class MappedTable:
+    """Sorted keys with their columns, in files that cover the range of keys one after the other.
+
+    Files on a local or mounted file system are mapped as they are; others are copied to a file
+    without a name first, which goes with the task.
+    """
+
+    def __init__(self, folder: str, files: list[tuple[int, int, str]], kinds: list[str]):
+        self.kinds, self.files = kinds, []
+        files = sorted((first % (1 << 64), n, name) for first, n, name in files)
+        self.first = np.array([first for first, _, _ in files], np.uint64)
+        for _, n, name in files:
+            system, path = place(f"{folder}/{name}")
+            if isinstance(system, pyarrow.fs.LocalFileSystem):
+                file = path
+            else:
+                file = tempfile.TemporaryFile()
+                with system.open_input_stream(path, compression=None) as source:
+                    shutil.copyfileobj(source, file, 1 << 20)
+                file.flush()
+            arrays, at = [], 0
+            for kind in ["<u8", *kinds]:
+                arrays.append(np.memmap(file, kind, "r", at, (n,)))
+                at += n * np.dtype(kind).itemsize
+            self.files.append(arrays)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(found, columns) of sorted keys; columns are 0 where a key is missing."""
+        found, out = np.zeros(len(keys), bool), [np.zeros(len(keys), kind) for kind in self.kinds]
+        if not self.files:
+            return found, out
+        of = np.searchsorted(self.first, keys, "right") - 1
+        edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(keys) else []
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if of[lo] < 0:
+                continue
+            known, *columns = self.files[of[lo]]
+            at = np.minimum(np.searchsorted(known, keys[lo:hi]), len(known) - 1)
+            hit = known[at] == keys[lo:hi]
+            found[lo:hi] = hit
+            for own, column in zip(out, columns):
+                own[lo:hi][hit] = column[at[hit]]
+        return found, out
+
+
+FILE = "first long, n long, file string"
+
+
+def _written(folder: str, name: str, kinds: list[str]):
+    """Writes the sorted rows (key, columns ...) of a partition to a file of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            keys = np.concatenate([b.column(0).to_numpy() for b in parts]).view(np.uint64)
+            columns = [np.concatenate([b.column(i).to_numpy() for b in parts]).astype(kind) for i, kind in enumerate(kinds, 1)]
+            file = f"{name}-{TaskContext.get().partitionId():06d}"
+            system, base = place(folder)
+            write_whole(system, f"{base}/{file}", _content(keys, columns))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:1].view(np.int64)), pa.array([len(keys)]), pa.array([file])], ["first", "n", "file"])
+
+    return run
+
+
+def _listed(files: DataFrame) -> list[tuple[int, int, str]]:
+    return [(r["first"], r["n"], r["file"]) for r in files.collect()]
+
+
 @dataclass
-class MappedModel:
-    """Sorted code arrays with their values, level by level, in one mapped file."""
+class Spelling:
+    """The mapped model of spelled words."""
 
     order: int
-    probability: dict[int, tuple[np.ndarray, np.ndarray]]
-    backoff: dict[int, tuple[np.ndarray, np.ndarray]]
-
-    @staticmethod
-    def load(order: int, blobs: list[tuple]) -> "MappedModel":
-        """``blobs``: (kind, level, entries, broadcast of codes and values), sorted within each
-        table. They go to a file without a name one by one, so that only mapped pages stay
-        in memory."""
-        total: dict[tuple[str, int], int] = {}
-        for kind, level, n, _ in blobs:
-            total[kind, level] = total.get((kind, level), 0) + n
-        file, at, free = tempfile.TemporaryFile(), {}, 0
-        for table, n in total.items():
-            at[table], free = (free, free + 8 * n), free + 16 * n
-        done = dict.fromkeys(total, 0)
-        for kind, level, n, shared in blobs:
-            codes, values = shared.value
-            for area, content in zip(at[kind, level], (codes, values)):
-                file.seek(area + 8 * done[kind, level])
-                file.write(content)
-            done[kind, level] += n
-            del codes, values, content, shared._value  # a worker's next task reads it again
-        file.flush()
-        out = MappedModel(order, {}, {})
-        for (kind, level), n in total.items():
-            tables = (np.memmap(file, t, "r", area, (n,)) for t, area in zip((np.int64, np.float64), at[kind, level]))
-            codes, values = tables
-            (out.probability if kind == "p" else out.backoff)[level] = (codes.view(np.uint64), values)
-        return out
-
-    @staticmethod
-    def _found(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, values = table
-        if not len(known):
-            return np.zeros(len(codes), bool), np.zeros(len(codes))
-        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        hit = known[at] == codes
-        return hit, np.where(hit, values[at], 0.0)
+    probability: dict[int, MappedTable]
+    backoff: dict[int, MappedTable]
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
-        """Log probability of each n-gram's last byte; all codes have ``order`` bytes."""
+        """Log probability of each n-gram's last byte; codes are sorted and have ``order`` bytes."""
         out, open_ = np.zeros(len(codes)), np.arange(len(codes))
-        none = (np.zeros(0, np.uint64), np.zeros(0))
+
+        def found(table: MappedTable | None, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if table is None:
+                return np.zeros(len(part), bool), np.zeros(len(part))
+            key, where = np.unique(part, return_inverse=True)
+            hit, (value,) = table.find(key)
+            return hit[where], value[where]
+
         for k in range(self.order, 0, -1):
             part = codes[open_] & _masks(k)
-            hit, value = self._found(self.probability.get(k, none), part)
+            hit, value = found(self.probability.get(k), part)
             out[open_[hit]] += value[hit]
             open_, part = open_[~hit], part[~hit]
-            _, weight = self._found(self.backoff.get(k, none), part >> np.uint64(8))
-            out[open_] += weight
+            out[open_] += found(self.backoff.get(k), part >> np.uint64(8))[1]
         out[open_] += math.log10(1 / 256)
         return out
 
+    def words(self, speller: Speller, words: pa.Array) -> np.ndarray:
+        """The probability of each word, bytes and end."""
+        code, of = speller.codes(words)
+        distinct, where = np.unique(code, return_inverse=True)
+        return 10.0 ** np.bincount(of, self.log10(distinct)[where], len(words))
 
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (key, value) as rows (first, n, codes, values) of many entries each."""
 
-    def blob(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        codes, values = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(2))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(codes[:1]), pa.array([len(codes)]), pa.array([codes.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())],
-            ["first", "n", "codes", "key_values"],
-        )
+# Pairs of tokens
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(p.num_rows for p in held) >= BLOB_ENTRIES:
-            yield blob(held)
-            held = []
-    if held:
-        yield blob(held)
 
+class PairKeys:
+    """Numbers of pairs, dealt to shards by their first bits.
 
-def _joined(rows: list) -> Iterator[tuple[int, bytes, bytes]]:
-    """Neighbouring small blobs as one."""
-    while rows:
-        n, k = 0, 0
-        while k < len(rows) and n < BLOB_ENTRIES:
-            n, k = n + rows[k]["n"], k + 1
-        yield n, b"".join(r["codes"] for r in rows[:k]), b"".join(r["key_values"] for r in rows[:k])
-        rows = rows[k:]
+    All pairs of a token have the same shard, so that a task sees what follows it; those of
+    tokens in a cell of the sketch with very many pairs are spread.
+    """
+
+    def __init__(self, bits: int, hot: np.ndarray):
+        self.bits, self.hot = bits, hot
+
+    def shard(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        spread = self.hot[_cells(before)]
+        return np.where(spread, mix(token ^ (before * np.uint64(3))), mix(before)) >> np.uint64(64 - self.bits)
+
+    def key(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        both = mix(mix(before) + token * np.uint64(0x9E3779B97F4A7C15))
+        return (self.shard(before, token) << np.uint64(64 - self.bits)) | (both >> np.uint64(self.bits))
 
 
-def _pass_of(codes: np.ndarray, passes: int) -> np.ndarray:
-    """By the two bytes before the predicted one, which all longer n-grams hold."""
-    return ((codes >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(65536) % np.uint64(passes)
+BLOBS = "shard int, v binary, run binary, w binary, c binary"
 
 
-def _scores(order: int, blobs: list, number: int, passes: int):
+def _pair_blobs(order: int, keys: PairKeys):
+    """The pairs of some million tokens, counted: a row for each shard with the tokens before, how
+    many different ones follow each, these and their counts."""
+
+    def counted(v: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        shard = keys.shard(v, w)
+        order_ = np.lexsort((w, v, shard))
+        shard, v, w = shard[order_], v[order_], w[order_]
+        new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (shard[1:] != shard[:-1])])
+        c = np.diff(np.r_[new, len(v)]).astype(np.uint32)
+        shard, v, w = shard[new], v[new], w[new]
+        cuts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
+        rows = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            head = np.flatnonzero(np.r_[True, v[lo + 1 : hi] != v[lo : hi - 1]])
+            run = np.diff(np.r_[head, hi - lo]).astype(np.uint32)
+            rows.append((int(shard[lo]), v[lo:hi][head].tobytes(), run.tobytes(), w[lo:hi].tobytes(), c[lo:hi].tobytes()))
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "v", "run", "w", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller, model = Speller(order), MappedModel.load(order, blobs)
+        tokens, parts, size = Tokens(order), [], 0
         for whole in batches:
-            for batch in slices(whole, 1, most_bytes=2 << 20):
-                code, doc = speller.codes(batch.column(1))
-                if passes > 1:
-                    mine = _pass_of(code, passes) == number
-                    code, doc = code[mine], doc[mine]
-                distinct, where = np.unique(code, return_inverse=True)
-                total = np.bincount(doc, model.log10(distinct)[where], batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total)], ["id", "score"])
+            for batch in slices(whole, 0, most_bytes=SLICE):
+                parts.append(tokens.read(batch.column(0))[:2])
+                size += len(parts[-1][0])
+                if size >= GATHERED:
+                    yield counted(*(np.concatenate(x) for x in zip(*parts)))
+                    parts, size = [], 0
+        if size:
+            yield counted(*(np.concatenate(x) for x in zip(*parts)))
 
     return run
 
 
-def scored(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """(id, score): log10 probability of each text of (id, text) with unique ids.
+MERGED = f"kind int, g long, a long, b long, c long, d long, {FILE}"
+
+
+def _merged(folder: str, keys: PairKeys):
+    """The pairs of a shard as a file, and rows by kind: 0 a token before others (how often, and how
+    many follow it once, twice and more), 1 a token after others (after how many, and how
+    often), 2 the numbers of pairs with counts 1 to 4, 3 the file, 4 that of the high counts."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in group[name]])
+        v, w, c = np.repeat(read("v", np.uint64), read("run", np.uint32)), read("w", np.uint64), read("c", np.uint32)
+        order = np.lexsort((w, v))
+        v, w, c = v[order], w[order], c[order].astype(np.int64)
+        new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
+        c = np.add.reduceat(c, new)
+        v, w = v[new], w[new]
+        key = keys.key(v, w)
+        sort = np.argsort(key)
+        shard, files = int(group["shard"].iloc[0]), []
+        system, base = place(folder)
+        high = sort[c[sort] >= MANY]
+        for kind, name, rows, count in ((3, "pairs", sort, np.minimum(c, MANY).astype("u1")), (4, "many", high, np.minimum(c, 2**32 - 1).astype("<u4"))):
+            if len(rows):
+                write_whole(system, f"{base}/{name}-{shard:08d}", _content(key[rows], [count[rows]]))
+                files.append({"kind": kind, "first": int(key[rows[0]].view(np.int64)), "n": len(rows), "file": f"{name}-{shard:08d}"})
+        head = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+        total = [np.add.reduceat(x, head) for x in (c, c == 1, c == 2, c > 2)]
+        tokens, of = np.unique(w, return_inverse=True)
+        few = np.bincount(np.minimum(c, 5), minlength=6)
+        none = lambda n: np.zeros(n, np.int64)
+        frames = [
+            pd.DataFrame({"kind": 0, "g": v[head].view(np.int64), **dict(zip("abcd", (x.astype(np.int64) for x in total)))}),
+            pd.DataFrame({"kind": 1, "g": tokens.view(np.int64), "a": np.bincount(of), "b": np.bincount(of, c).astype(np.int64), "c": none(len(tokens)), "d": none(len(tokens))}),
+            pd.DataFrame({"kind": [2], "g": [0], **{x: [int(few[i])] for i, x in enumerate("abcd", 1)}}),
+        ]
+        for frame in frames:
+            frame["first"], frame["n"], frame["file"] = 0, 0, None
+        listed = pd.DataFrame(files).assign(**{x: 0 for x in "gabcd"})
+        return pd.concat([*frames, listed[frames[0].columns]], ignore_index=True)
 
-    The entries are counted first. Up to ``PASS_ENTRIES`` of them are one broadcast; a larger
-    model is dealt to several passes over the texts by the two bytes before the predicted
-    one, each with its share (short n-grams go to all), and the parts of a score are added.
-    """
-    spark = docs.sparkSession
-    kind = docs.schema["id"].dataType.simpleString()
-    passes = max(1, math.ceil(model.count() / PASS_ENTRIES))
-    parts = []
-    for i in range(passes):
-        own = model
-        if passes > 1:
-            pair = F.when(F.col("kind") == "p", F.shiftrightunsigned("key", 8)).otherwise(F.col("key")).bitwiseAND(F.lit(0xFFFF))
-            own = model.where((F.col("level") < 3) | (pair * 40503 % 65536 % passes == i))
-        blobs = []
-        for name in ("p", "g"):
-            for k in range(1, order + 1):
-                part = own.where((F.col("kind") == name) & (F.col("level") == k)).select("key", "value")
-                packed = part.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_blobs, "first long, n long, codes binary, key_values binary")
-                for n, codes, values in _joined(sorted(packed.collect(), key=lambda r: r["first"])):  # PASS_ENTRIES at most
-                    blobs.append((name, k, n, spark.sparkContext.broadcast((codes, values))))
-        parts.append(docs.select("id", "text").mapInArrow(_scores(order, blobs, i, passes), f"id {kind}, score double"))
-    total = reduce(DataFrame.unionByName, parts)
-    return total if passes == 1 else total.groupBy("id").agg(F.sum("score").alias("score"))
-
-
-WORDS = "chunk long, shard int, id {kind}, ordinal int, n_words long, h binary, c binary, k binary, d binary, m binary"
-
-
-def _word_chunks(shards: int, kind: pa.DataType):
-    """Per chunk of documents a row for each document, and a row for each shard with its
-    words' hashes, training counts, and the documents with the number of times."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, part, number = WordHasher(SPACES), TaskContext.get().partitionId(), 0
-        held: list = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, number
-            chunk = (part << 32) + number
-            number += 1
-            docs = sum(b.num_rows for b, _, _ in held)
-            words = np.concatenate([w for _, w, _ in held])
-            first = np.cumsum([0, *(b.num_rows for b, _, _ in held)])
-            doc = np.concatenate([d + f for (_, _, d), f in zip(held, first)])
-            ids = pa.concat_arrays([b.column(0) for b, _, _ in held])
-            train = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b, _, _ in held]).astype(bool)
-            held, size = [], 0
-            nulls = [pa.nulls(docs, pa.binary())] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(docs, chunk)), pa.array(np.full(docs, -1, np.int32)), ids, pa.array(np.arange(docs, dtype=np.int32)),
-                 pa.array(np.bincount(doc, minlength=docs)), *nulls],
-                names=[f.split()[0] for f in WORDS.split(", ")],
-            )
-            h, where = np.unique(words, return_inverse=True)
-            pair, m = np.unique(where * docs + doc, return_counts=True)
-            w, d = np.divmod(pair, max(docs, 1))
-            c = np.bincount(w, m * train[d], len(h)).astype(np.uint32)
-            k = np.bincount(w, minlength=len(h)).astype(np.uint32)
-            shard = (h % np.uint64(shards)).astype(np.int32)
-            rows = []
-            for s in np.unique(shard):
-                own = shard == s
-                mine = own[w]
-                rows.append((int(s), h[own], c[own], k[own], d[mine].astype(np.uint32), m[mine].astype(np.uint32)))
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, chunk)), pa.array([r[0] for r in rows], pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.int32()),
-                 pa.array([docs] * n, pa.int64()), *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in range(1, 6))],
-                names=[f.split()[0] for f in WORDS.split(", ")],
-            )
 
-        for whole in batches:
-            for batch in slices(whole, 1):
-                words, doc = hasher.words(*text_buffers(batch.column(1)))
-                held.append((batch, words, doc))
-                size += len(words) + batch.num_rows
-                if size > CHUNK_WORDS:
-                    yield from flush()
-        if held:
-            yield from flush()
+@dataclass
+class WordModel:
+    """What a scoring task needs to map the model, and its constants."""
 
-    return run
+    folder: str
+    order: int
+    keys: PairKeys
+    files: dict[str, list[tuple[int, int, str]]]
+    discount: tuple[float, float, float]
+    unseen: float  # the weight of the spelling in the lower order
+    tokens: int
+    types: int
 
 
-def _shard_sums(group: pd.DataFrame) -> pd.DataFrame:
-    """Per chunk the documents' sums of log10(count + 1) and known words over this shard."""
-    read = lambda name, kind: [np.frombuffer(x, kind) for x in group[name]]
-    h, c = read("h", np.uint64), read("c", np.uint32)
-    words, where = np.unique(np.concatenate(h), return_inverse=True)
-    count = np.bincount(where, np.concatenate(c), len(words))
-    ends = np.cumsum([len(x) for x in h])
-    sums, known = [], []
-    for of, k, d, m, docs in zip(np.split(count[where], ends[:-1]), read("k", np.uint32), read("d", np.uint32), read("m", np.uint32), group["n_words"]):
-        each = np.repeat(of, k)
-        sums.append(np.bincount(d, np.log10(each + 1) * m, docs).tolist())
-        known.append(np.bincount(d, (each > 0) * m, docs).astype(np.int64).tolist())
-    n = len(group)
-    return pd.DataFrame({
-        "chunk": group["chunk"], "sums": sums, "known": known,
-        "types": [int((count > 0).sum())] + [0] * (n - 1), "tokens": [int(count.sum())] + [0] * (n - 1),
-    })
-
-
-def word_base(docs: DataFrame) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score) of rows (id, text, train): add-one
-    unigram scores. Tokens are the words and one end.
-
-    A word reaches its shard once from each chunk of documents, with the documents that hold
-    it; back come sums per document. So a word that is everywhere makes no large group.
-    """
-    spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = docs.schema["id"].dataType
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
-    chunks = stored(docs.select("id", "text", "train").mapInArrow(_word_chunks(shards, arrow), WORDS.format(kind=kind.simpleString())), "chunks")
-    sums = stored(
-        chunks.where("shard >= 0").drop("id", "ordinal").groupBy("shard")
-        .applyInPandas(_shard_sums, "chunk long, sums array<double>, known array<bigint>, types long, tokens long"),
-        "sums",
+WORD_COLUMNS = ["<f8", "<f8", "<f8", "<f8"]  # count, how often before others, weight of the lower order, its share
+
+
+def fit(texts: DataFrame, order: int = ORDER) -> WordModel:
+    """The model of the texts (column ``text``), its tables in files of the scratch folder."""
+    if not 2 <= order <= 7:
+        raise ValueError("an n-gram code holds 2 to 7 bytes")
+    spark = texts.sparkSession
+    folder = qualified(spark, scratch_path(spark, "language-model"))
+    texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
+    seen = stored(texts.mapInArrow(_spelled_words(order), "kind int, key long, c long"), "spelled")
+    sketch = seen.where("kind = 1").groupBy("key").agg(F.sum("c").alias("c")).toArrow()  # CELLS rows at most
+    cells = np.zeros(CELLS, np.int64)
+    cells[sketch["key"].to_numpy()] = sketch["c"].to_numpy()
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(2, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
+    keys = PairKeys(bits, cells > max(1, cells.sum() / (1 << bits)))
+
+    files: dict[str, list] = {}
+    spelling = fit_spelling(seen.where("kind = 0").select("key", "c"), order)
+    for k in range(1, order + 1):
+        for kind in ("p", "g"):
+            part = spelling.where((F.col("level") == k) & (F.col("kind") == kind)).select("key", "value")
+            part = part.repartitionByRange("key").sortWithinPartitions("key")
+            files[f"{kind}{k}"] = _listed(part.mapInArrow(_written(folder, f"spelling-{kind}{k}", ["<f8"]), FILE))
+
+    blobs = texts.mapInArrow(_pair_blobs(order, keys), BLOBS)
+    merged = stored(blobs.groupBy("shard").applyInPandas(_merged(folder, keys), MERGED), "pairs")
+    for kind, name in ((3, "pairs"), (4, "many")):
+        files[name] = _listed(merged.where(F.col("kind") == kind).select("first", "n", "file"))
+    few = merged.where("kind = 2").agg(*[F.sum(x).alias(x) for x in "abcd"]).first()
+    d2 = discounts({i: few[x] or 0 for i, x in enumerate("abcd", 1)})
+    before = lambda x: F.sum(F.when(F.col("kind") == 0, F.col(x)).otherwise(0)).alias(x)
+    after = lambda x, name: F.sum(F.when(F.col("kind") == 1, F.col(x)).otherwise(0)).alias(name)
+    words = stored(
+        merged.where("kind < 2").groupBy("g").agg(*[before(x) for x in "abcd"], after("a", "follows"), after("b", "times")), "words"
     )
-    whole = sums.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
-    ends = docs.where("train").count()
-    tokens, types = (whole["tokens"] or 0) + ends, (whole["types"] or 0) + (ends > 0)
-    each = sums.select("chunk", F.posexplode(F.arrays_zip("sums", "known")).alias("ordinal", "of"))
-    each = each.groupBy("chunk", "ordinal").agg(F.sum("of.sums").alias("s"), F.sum("of.known").alias("known"))
-    rows = chunks.where("shard < 0").select("chunk", "ordinal", "id", "n_words").join(each, ["chunk", "ordinal"], "left")
-    n = F.col("n_words") + 1
-    return rows.select(
-        "id", n.alias("n_tokens"), (F.coalesce("known", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.coalesce("s", F.lit(0.0)) + math.log10(ends + 1) - n * math.log10(tokens + types + 1)).alias("base_score"),
+    d1 = discounts({r["follows"]: r["count"] for r in words.where("follows BETWEEN 1 AND 4").groupBy("follows").count().collect()})
+    cut = F.when(F.col("follows") == 0, 0.0).when(F.col("follows") == 1, d1[0]).when(F.col("follows") == 2, d1[1]).otherwise(d1[2])
+    whole = words.agg(
+        F.sum("follows").alias("pairs"), F.sum(cut).alias("held"), F.sum("times").alias("tokens"), F.count(F.when(F.col("times") > 0, 1)).alias("types")
+    ).first()
+    pairs = whole["pairs"] or 1
+    gamma = (F.col("b") * d2[0] + F.col("c") * d2[1] + F.col("d") * d2[2]) / F.nullif("a", F.lit(0))
+    table = words.select(
+        F.col("g").alias("key"), F.col("times").cast("double").alias("times"), F.col("a").cast("double").alias("before"),
+        F.coalesce(gamma, F.lit(0.0)).alias("gamma"), (F.greatest(F.col("follows") - cut, F.lit(0.0)) / pairs).alias("low"),
     )
+    # by unsigned order: the sign bit flipped
+    unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))
+    table = table.repartitionByRange(unsigned).sortWithinPartitions(unsigned)
+    files["words"] = _listed(table.mapInArrow(_written(folder, "words", WORD_COLUMNS), FILE))
+    unseen = (whole["held"] or 0.0) / pairs if whole["pairs"] else 1.0
+    return WordModel(folder, order, keys, files, d2, unseen, whole["tokens"] or 0, whole["types"] or 0)
+
+
+def _scores(model: WordModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(model.order)
+        mapped = lambda name, kinds: MappedTable(model.folder, model.files[name], kinds)
+        levels = range(1, model.order + 1)
+        spelling = Spelling(model.order, {k: mapped(f"p{k}", ["<f8"]) for k in levels}, {k: mapped(f"g{k}", ["<f8"]) for k in levels})
+        words, pairs, many = mapped("words", WORD_COLUMNS), mapped("pairs", ["u1"]), mapped("many", ["<u4"])
+        d = np.array([0.0, *model.discount])
+        for whole in batches:
+            for batch in slices(whole, 1, most_bytes=SLICE):
+                v, w, doc, spelled = tokens.read(batch.column(1))
+                number, which = np.unique(w, return_inverse=True)
+                _, (times, _, _, low) = words.find(number)
+                low = low + model.unseen * spelling.words(tokens.speller, spelled)
+                base = np.log10((times + 1) / (model.tokens + model.types + 1))
+                first, of = np.unique(v, return_inverse=True)
+                _, (_, before, gamma, _) = words.find(first)
+                key, pair = np.unique(model.keys.key(v, w), return_inverse=True)
+                c = pairs.find(key)[1][0].astype(np.float64)
+                high = np.flatnonzero(c == MANY)
+                c[high] = many.find(key[high])[1][0]
+                c = c[pair]
+                seen = before[of]
+                higher = np.maximum(c - d[np.minimum(c, 3).astype(np.int64)], 0.0) / np.maximum(seen, 1.0)
+                p = np.where(seen > 0, higher + gamma[of] * low[which], low[which])
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(2), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, (times > 0)[which], n).astype(np.int64)),
+                     pa.array(np.bincount(doc, base[which], n)), pa.array(np.bincount(doc, np.log10(p), n))],
+                    ["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                )
+
+    return run
 
 
 def language_model_scores(
@@ -391,17 +512,20 @@ def language_model_scores(
     per document.
 
     ``held_out`` is a condition on the id; the model and the base learn from all other
-    documents. A null text is an empty one, whose only token is the end. Without any
-    training document all bytes are equally likely. For null and repeated ids see
-    ``one_per_id``; repeated texts count as often as they occur.
+    documents. Tokens are the words between ASCII white space, with A-Z as a-z, and an end. ``score``
+    is the text's log10 probability; ``base_score`` that of single words with one added to every
+    count. A null text is an empty one, whose only token is the end. Without any training
+    document all bytes are equally likely. In the spelling the bytes 0 to 2 count as 0x1A. A
+    task's memory grows with its longest text. For null and repeated ids see ``one_per_id``;
+    repeated texts count as often as they occur.
     """
     kept = one_per_id(docs.select(id_col, F.col(text_col).alias("text")), id_col)
     kept = kept.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
-    train = kept.withColumn("train", ~F.col("held_out"))
-    model = fit(train.where("train").select("text"), order)
-    scores = scored(kept, model, order)
-    base = word_base(train)
-    return base.join(scores, "id").join(kept.select("id", "held_out"), "id").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    model = fit(kept.where(~F.col("held_out")).select("text"), order)
+    kind = kept.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scores = kept.select("id", "text", "held_out").mapInArrow(_scores(model), schema)
+    return scores.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
