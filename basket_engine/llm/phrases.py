@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.indexing import ordinal_in_group
 from ..session import stored
 from .wordhash import WordHasher, mix, slices, text_buffers
 
@@ -353,9 +354,10 @@ def _survivors(pairs: DataFrame, three: DataFrame, four: DataFrame, percent: int
 
 
 def _ranked(found: DataFrame, words: DataFrame, sizes: DataFrame, top: int) -> DataFrame:
+    """Numbered in their order over all tasks, as a language may have most of the phrases."""
     for i in range(1, 5):
         found = found.join(words.select(F.col("g").alias(f"g{i}"), F.col("word").alias(f"w{i}")), f"g{i}", "inner" if i < 3 else "left")
     found = found.select("lang", F.concat_ws(" ", *[f"w{i}" for i in range(1, 5)]).alias("phrase"), F.col("n").alias("a"), "l", "r", "score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return best.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("n_words").alias("n"), "score")
+    falling = found.withColumns({"_score": -F.col("score"), "_a": -F.col("a")})
+    best = ordinal_in_group(falling, ["lang"], ["_score", "_a", "phrase"], "place").where(F.col("place") < top)
+    return best.join(sizes, "lang").select("lang", (F.col("place") + 1).alias("rank"), "phrase", "a", "l", "r", F.col("n_words").alias("n"), "score")
