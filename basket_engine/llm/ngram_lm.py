@@ -42,7 +42,7 @@ START_TOKEN, END_TOKEN = (np.uint64(int.from_bytes(x, "little")) for x in (b"<st
 #: Pairs that a task gathers before it hands on their counts.
 GATHERED = 1 << 20
 #: Bytes of training text, about, whose pairs one task merges.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 #: Counts from this one on stand in a table of their own, all others in one byte.
 MANY = 255
 #: Cells of the sketch that finds tokens with very many pairs.
