@@ -20,11 +20,6 @@ SENTENCE_END = r"(?<=[.!?])\s+"
 RESULTS = ("parent", "root", "depth", "position", "text")
 
 
-def _hash(text: Column) -> Column:
-    """128 bits of the text in lower case, white space as single blanks."""
-    return F.md5(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")))
-
-
 def parsed(messages: DataFrame) -> DataFrame:
     """(ord, lines array<struct<pos, level, line>>) of rows (ord, text).
 
@@ -57,15 +52,17 @@ def _plain(text: Column) -> Column:
 
 def _pieces(text: Column) -> Column:
     """Arrays of pieces of a text: itself, its paragraphs, their sentences and its lines, in order,
-    white space as single blanks. A sentence may go over several lines, not paragraphs."""
+    in lower case with white space as single blanks. A sentence may go over several lines, not
+    over paragraphs."""
+    text = F.lower(text)
     some = lambda parts: F.filter(F.transform(parts, _plain), lambda p: p != "")
-    paragraphs = F.split(text, r"\n\s*\n")
-    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(_plain(p), SENTENCE_END)))
-    return F.array(*[some(parts) for parts in (F.array(text), paragraphs, sentences, F.split(text, r"\n"))])
+    paragraphs = some(F.split(text, r"\n\s*\n"))
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE_END)))
+    return F.array(some(F.array(text)), paragraphs, sentences, some(F.split(text, r"\n")))
 
 
 def _own_hashes(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.flatten(_pieces(text)), _hash))
+    return F.transform(F.array_distinct(F.flatten(_pieces(text))), F.md5)
 
 
 def _quoted(rows: DataFrame) -> DataFrame:
@@ -84,7 +81,7 @@ def _quoted(rows: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.substring_index("p", "\u0001", -1), r"^\s+|\s+$", "")
     passage = passage.select("ord", "passage", F.substring_index("p", "\u0001", 1).cast("int").alias("level"), F.posexplode(_pieces(text)).alias("kind", "pieces"))
     each = passage.select("ord", "level", "passage", "kind", F.posexplode("pieces").alias("i", "piece"))
-    return each.select("ord", "level", "passage", "kind", "i", F.length("piece").alias("chars"), _hash(F.col("piece")).alias("hash"))
+    return each.select("ord", "level", "passage", "kind", "i", F.length("piece").alias("chars"), F.md5("piece").alias("hash"))
 
 
 QUOTE = ("level", "passage", "kind", "i", "chars")
@@ -98,7 +95,7 @@ def _latest_before(originals: DataFrame, quotes: DataFrame) -> DataFrame:
     neither multiplies rows nor meets in one task.
     """
     mixed = originals.select("hash", "ord", F.col("ord").alias("source"), *[F.lit(None).cast("int").alias(c) for c in QUOTE])
-    mixed = mixed.unionByName(quotes.select("hash", "ord", F.lit(None).cast("long").alias("source"), *QUOTE))
+    mixed = stored(mixed.unionByName(quotes.select("hash", "ord", F.lit(None).cast("long").alias("source"), *QUOTE)), "hashes")  # read twice to be dealt out
     # a message does not quote itself: its quotes come before its own pieces
     order = ["hash", "ord", F.col("source").isNotNull()]
     placed = stored(mixed.repartitionByRange("hash", "ord").withColumn("part", F.spark_partition_id()), "pieces")
