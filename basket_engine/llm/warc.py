@@ -22,7 +22,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.skew import join_skewed
-from ..session import scratch_path, stored
+from ..session import delete_path, scratch_path, stored
 from .documents import one_per_id
 
 DATE = "1970-01-01T00:00:00Z"
@@ -31,6 +31,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SOURCE_CHUNK, CHUNK, HEADER = 1 << 18, 1 << 16, 1 << 20
 #: Bytes of an archive, about, that one task reads back, and of records that it hands on at once.
 READ_BYTES, BATCH_BYTES = 32 << 20, 8 << 20
+#: Revisits that are broadcast to the pages at most; more are joined by a shuffle of the pages.
+BROADCAST_ROWS = 1_000_000
 _LINE, _END = "\r\n", b"\r\n\r\n"
 INDEX = "archive string, ordinal long, offset long, length long, record_id string, type string, target_uri string, refers_to string, digest string, block_bytes long"
 RECORD = INDEX + ", http string, payload binary"
@@ -88,7 +90,8 @@ def write_streams(
     """
     kept = one_per_id(pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"), F.col(url_col).alias("url")), "id", ["html", "url"])
     kept = kept.select("id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    page = kept.join(revisits(kept, least), "id", "left")
+    found = stored(revisits(kept, least), "revisits")
+    page = kept.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "id", "left")
     again = F.col("refers_to").isNotNull()
     url = F.regexp_replace("url", r"[\x00-\x20\x7f]", "")
     http = F.concat(
@@ -313,6 +316,7 @@ def archived(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
     streams, folder = scratch_path(spark, "streams"), scratch_path(spark, "warc")
     write_streams(pages, streams, least, id_col=id_col, url_col=url_col, html_col=html_col)
     normalise(spark, streams, folder)
+    delete_path(spark, streams)
     key = lambda c: F.url_decode(F.regexp_extract(c, "^<urn:page:(.*)>$", 1)).cast(kind)
     found = read_records(spark, folder).select(
         key("record_id").alias("id"), "target_uri", F.octet_length("payload").cast("long").alias("payload_bytes"),

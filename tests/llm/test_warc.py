@@ -59,7 +59,9 @@ def test_round_trip(spark, least):
     assert urls[1] == "http://a/1" and urls[2] is None and urls[3] is None and urls[4] is None and urls[5] == "http://a/X:y5" and urls[6] == "http://é/ü"
 
 
-def test_hot_payload(skewed):
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_hot_payload(skewed, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
     rows = [(i, f"http://a/{i}", "same" if i % 3 else f"page {i % 50}") for i in range(400)]
     assert found(warc.archived(pages(skewed, rows))) == expected(rows)
 
