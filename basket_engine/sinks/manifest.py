@@ -61,7 +61,8 @@ def export_once(df: DataFrame, folder: str, by: str = "split", key: Sequence[str
     of equal rows is there already.
 
     Once a new export is whole, those of other rows are deleted, unless ``keep_others``. ``df`` is
-    read twice, so it should be stored. ``key`` sorts the rows of a file.
+    read twice, so it should be stored. ``key`` sorts the rows of a file. What the manifest calls
+    the split of a file is its part by the column ``by``.
     """
     spark, folder = df.sparkSession, folder.rstrip("/")
     digest = content_digest(df)

@@ -87,14 +87,24 @@ def read_entity(spark: SparkSession, path: str, value: object, buckets: int = 64
     return found if split is None else found.where(F.col("split") == split)
 
 
-def export_minibatches(placed: DataFrame, path: str, run_id: str) -> DataFrame:
-    """Placed examples written once per run id and read back split by split.
+#: Examples of a folder of an export: neighbouring splits share one up to so many.
+FOLDER_ROWS = 1 << 18
 
-    An export of equal examples of the same run is reused; one of other examples is replaced,
-    as is one that was not finished.
+
+def export_minibatches(placed: DataFrame, path: str, run_id: str, splits: int | None = None) -> DataFrame:
+    """Placed examples written once per run id and read back folder by folder.
+
+    A folder holds ``splits`` neighbouring splits, or else as many as have FOLDER_ROWS examples:
+    the number of splits grows with the examples, and a folder for each would cost more than
+    they do. An export of equal examples of the same run is reused; one of other examples is
+    replaced, as is one that was not finished.
     """
-    export = export_once(placed, f"{path.rstrip('/')}/{run_id}", key=["worker", "turn"])
-    return read_export(placed.schema, export, placed.sparkSession)
+    if splits is None:
+        n, last = placed.agg(F.count(F.lit(1)), F.max("split")).first()
+        splits = max(1, FOLDER_ROWS * (last + 1) // n) if n else 1
+    laid_out = placed.withColumn("folder", F.floor(F.col("split") / splits).cast("int"))
+    export = export_once(laid_out, f"{path.rstrip('/')}/{run_id}", by="folder", key=["split", "worker", "turn"])
+    return read_export(laid_out.schema, export, placed.sparkSession)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

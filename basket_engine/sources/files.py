@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -120,16 +121,25 @@ def read_minibatch_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(_decoded, MINIBATCH_ROWS)
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path in batch.column(0).to_pylist():
-            system, name = place(path)
-            with system.open_input_stream(name, compression=None) as file:
-                content = file.read()
-            yield from _decoded(iter([pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], ["path", "content"])]))
+def _opened(keep: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, path in enumerate(batch.column(0).to_pylist()):
+                system, name = place(path)
+                with system.open_input_stream(name, compression=None) as file:
+                    content = file.read()
+                own = [batch.column(c + 1)[i] for c in range(len(keep))]
+                for rows in _decoded(iter([pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], ["path", "content"])])):
+                    repeated = [pa.repeat(v, rows.num_rows) for v in own]
+                    yield pa.RecordBatch.from_arrays([*repeated, *rows.columns], [*keep.names, *rows.schema.names])
+
+    return run
 
 
-def read_listed(paths: DataFrame) -> DataFrame:
-    """(path, record, x, y) of the minibatch files that a column ``path`` lists, each read by the
-    task that holds its row: partitioning and order of the list are those of the result."""
-    return paths.select("path").mapInArrow(_opened, MINIBATCH_ROWS)
+def read_listed(paths: DataFrame, keep: Sequence[Column] = ()) -> DataFrame:
+    """(keep ..., path, record, x, y) of the minibatch files that a column ``path`` lists, each read by
+    the task that holds its row: partitioning and order of the list are those of the result."""
+    listed = paths.select("path", *keep)
+    kept = listed.drop("path").schema
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), MINIBATCH_ROWS])
+    return listed.mapInArrow(_opened(to_arrow_schema(kept)), ddl)
