@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import zeros
 from ..settings import CLASS_NAMES, TOKEN_PUNCTUATION, TOKEN_SEPARATORS
 from .indexing import ordinal_in_group
-from .skew import join_skewed
+from .skew import fits_broadcast, join_skewed
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def token_array(text: Column) -> Column:
@@ -33,6 +41,38 @@ def truncate_tokens(tokens: DataFrame, max_len: int, doc: str = "doc_id") -> Dat
     return kept.withColumn("pos", F.col("_rn") - 1).drop("_rn")
 
 
+#: A vocabulary of so many tokens at most becomes a set in the expression itself.
+IN_PLACE_TOKENS = 20_000
+
+
+def _as_set(vocabulary: DataFrame) -> list[str] | None:
+    """The tokens, if they are few enough for a set that each task holds."""
+    if not fits_broadcast(vocabulary.select("token")):
+        return None
+    few = vocabulary.where(F.col("token").isNotNull()).select("token").distinct().limit(IN_PLACE_TOKENS + 1).collect()
+    return [r["token"] for r in few] if len(few) <= IN_PLACE_TOKENS else None
+
+
+def _embedded(known: pa.Table):
+    """Replaces the tokens of (doc, tokens) by the vectors of a table sorted by token."""
+    found: dict[str, list[int]] = {}
+    for i, token in enumerate(known["token"].to_pylist()):
+        found.setdefault(token, []).append(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = known["vector"].combine_chunks()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                places = [[i for t in tokens or () for i in found.get(t, ())] for tokens in batch.column(1).to_pylist()]
+                kept = [k for k, own in enumerate(places) if own]
+                offsets = np.cumsum([0, *(len(places[k]) for k in kept)], dtype=np.int32)
+                x = pa.ListArray.from_arrays(offsets, vectors.take(pa.array([i for k in kept for i in places[k]], pa.int64())))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), x], [batch.schema.names[0], "x"])
+
+    return run
+
+
 def text_sequences(
     docs: DataFrame, vocabulary: DataFrame, max_len: int, doc: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -41,8 +81,19 @@ def text_sequences(
     The label sits on the last real token. Documents without a known token have
     no row; ``empty_documents`` counts them.
     """
-    kept = truncate_tokens(keep_vocabulary(tokenize(docs, doc, text), vocabulary, doc), max_len, doc)
-    nested = kept.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
+    words = _as_set(vocabulary)
+    if words is not None:
+        # Each text is cut where it lies; no more than its first known tokens are shuffled.
+        places = F.transform(token_array(F.col(text)), lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
+        known = F.slice(F.filter(places, lambda p: p["token"].isin(words)), 1, max_len)
+        found = docs.select(doc, known.alias("_k"))
+        # Rows of one document together have the first known tokens of all.
+        first = F.slice(F.array_sort(F.flatten(F.collect_list("_k"))), 1, max_len)
+        # Filtered only here: before, the planner would cut each text twice.
+        nested = found.groupBy(doc).agg(first.alias("_t")).where(F.size("_t") > 0)
+    else:
+        kept = truncate_tokens(keep_vocabulary(tokenize(docs, doc, text), vocabulary, doc), max_len, doc)
+        nested = kept.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
     return nested.select(
         doc,
         F.col("_t.token").alias("tokens"),
@@ -92,7 +143,17 @@ def text_masks(batched: DataFrame, max_len: int, batch: str = "batch_id") -> Dat
 
 
 def embed_tokens(sequences: DataFrame, vectors: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """The word vector of every token, in token order: (doc, x array<array<float>>)."""
+    """The word vector of every token, in token order: (doc, x array<array<float>>).
+
+    ``sequences`` has one row per document. Vectors that fit a broadcast are looked up in place;
+    others are joined and nested again.
+    """
+    table = vectors.where(F.col("token").isNotNull()).select("token", "vector")
+    if fits_broadcast(table):
+        known = table.orderBy("token", "vector").toArrow()
+        kinds = {f.name: f.dataType.simpleString() for f in [*sequences.select(doc).schema, *table.schema]}
+        ddl = f"`{doc}` {kinds[doc]}, x array<{kinds['vector']}>"
+        return sequences.select(doc, "tokens").mapInArrow(_embedded(known), ddl)
     long = sequences.select(doc, F.posexplode("tokens").alias("pos", "token"))
     looked_up = join_skewed(long, vectors.select("token", "vector"), ["token"], "inner", row_id=[doc, "pos"])
     nested = looked_up.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "vector"))).alias("_v"))

@@ -35,6 +35,21 @@ def test_sequences(either, docs, vectors):
     assert X.empty_documents(docs, got).first()["n_empty"] == 1
 
 
+def test_small_vocabularies_and_vectors_are_looked_up_in_place(spark, docs, vectors, tmp_path):
+    more = vectors.unionAll(spark.createDataFrame([("bad", [5.0, 5.0]), (None, [1.0, 1.0]), ("gone", None)], vectors.schema))
+    twice = docs.unionAll(spark.createDataFrame([(4, 0, "bad gone"), (9, 0, None)], docs.schema))
+    more.write.parquet(str(tmp_path / "v"))
+    small = spark.read.parquet(str(tmp_path / "v"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    sequences, joined = X.text_sequences(twice, small, 4), X.text_sequences(twice, more, 4)
+    assert "Join" not in plan(sequences) and plan(sequences).count("Exchange") == 1 and "Join" in plan(joined)
+    # the repeated document has ties in its positions, which both order by token only here
+    assert rows(sequences.where("doc_id <> 4")) == rows(joined.where("doc_id <> 4"))
+    vectors_of = X.embed_tokens(sequences, small)
+    assert "Join" not in plan(vectors_of) and plan(vectors_of).count("Exchange") == 1  # no vector is shuffled
+    assert rows(vectors_of) == rows(X.embed_tokens(sequences, more))
+
+
 def test_truncation_counts_known_tokens_only(either, docs, vectors):
     got = X.text_sequences(docs.where("doc_id in (1, 2)"), vectors, 1)
     assert rows(got, "doc_id", "tokens", "label_pos") == [(1, ["great"], 0), (2, ["bad"], 0)]
