@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import scratch_path, stored
 from ..sources.files import place, qualified, write_whole
 from .documents import one_per_id
-from .quality import discounts
+from .kneser_ney import discounts
 from .wordhash import SPACES, WordHasher, mix, slices, text_buffers
 
 #: Bytes of a spelled n-gram.
@@ -93,18 +93,18 @@ class Speller:
         return code[own], np.repeat(np.arange(docs), length)
 
 
-class Tokens:
-    """The tokens of text columns, as numbers."""
+class Numbers:
+    """The tokens of text columns, as numbers; A-Z count as a-z, or as they stand."""
 
-    def __init__(self, order: int):
-        self.hasher, self.speller = WordHasher(SPACES), Speller(order)
+    def __init__(self, fold: bool = True):
+        self.hasher = WordHasher(SPACES, fold)
 
-    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """(before, token, text, words): a row for each token and the text that it is in. ``words`` has
-        the spelling of each different number in ascending order, the end's being empty."""
-        data, offsets = text_buffers(column)
-        h, doc, first, stop = self.hasher.spans(data, offsets)
-        docs = len(column)
+    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(before, token, text): a row for each token and the text that it is in."""
+        return self._pairs(len(column), *self.hasher.words(*text_buffers(column)))
+
+    @staticmethod
+    def _pairs(docs: int, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = np.bincount(doc, minlength=docs)
         at = np.cumsum(n + 2) - (n + 2)
         line = np.empty(len(h) + 2 * docs, np.uint64)
@@ -113,12 +113,28 @@ class Tokens:
         goes_on = np.ones(len(line), bool)
         goes_on[at + n + 1] = False
         begin = np.flatnonzero(goes_on)
+        return line[begin], line[begin + 1], np.repeat(np.arange(docs), n + 1)
+
+
+class Tokens(Numbers):
+    """The tokens of text columns, as numbers and spelled."""
+
+    def __init__(self, order: int):
+        super().__init__()
+        self.speller = Speller(order)
+
+    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(before, token, text, words): a row for each token and the text that it is in. ``words`` has
+        the spelling of each different number in ascending order, the end's being empty."""
+        data, offsets = text_buffers(column)
+        h, doc, first, stop = self.hasher.spans(data, offsets)
+        docs = len(column)
         number, where = np.unique(h, return_index=True)
         place_ = np.searchsorted(number, END_TOKEN)
         spelled = [data[a:b].tobytes() for a, b in zip(first[where].tolist(), stop[where].tolist())]
         if docs and (place_ == len(number) or number[place_] != END_TOKEN):
             spelled.insert(int(place_), b"")
-        return line[begin], line[begin + 1], np.repeat(np.arange(docs), n + 1), pa.array(spelled, pa.binary()).view(pa.string())
+        return *self._pairs(docs, h, doc), pa.array(spelled, pa.binary()).view(pa.string())
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
@@ -262,6 +278,13 @@ def _listed(files: DataFrame) -> list[tuple[int, int, str]]:
     return [(r["first"], r["n"], r["file"]) for r in files.collect()]
 
 
+def written_table(table: DataFrame, folder: str, name: str, kinds: list[str], parts: int | None = None) -> list[tuple[int, int, str]]:
+    """The rows (key, columns ...) in files by unsigned order of the keys, one for each part at most."""
+    unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))  # the sign bit flipped
+    placed = table.repartitionByRange(*([parts] if parts else []), unsigned).sortWithinPartitions(unsigned)
+    return _listed(placed.mapInArrow(_written(folder, name, kinds), FILE))
+
+
 @dataclass
 class Spelling:
     """The mapped model of spelled words."""
@@ -322,7 +345,7 @@ class PairKeys:
 BLOBS = "shard int, v binary, run binary, w binary, c binary"
 
 
-def _pair_blobs(order: int, keys: PairKeys):
+def _pair_blobs(keys: PairKeys, fold: bool):
     """The pairs of some million tokens, counted: a row for each shard with the tokens before, how
     many different ones follow each, these and their counts."""
 
@@ -343,7 +366,7 @@ def _pair_blobs(order: int, keys: PairKeys):
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "v", "run", "w", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, parts, size = Tokens(order), [], 0
+        tokens, parts, size = Numbers(fold), [], 0
         for whole in batches:
             for batch in slices(whole, 0, most_bytes=SLICE):
                 parts.append(tokens.read(batch.column(0))[:2])
@@ -400,6 +423,95 @@ def _merged(folder: str, keys: PairKeys):
     return run
 
 
+@dataclass
+class Counted:
+    """The counted pairs of some texts: a row for each token, and the constants of their model."""
+
+    files: dict[str, list[tuple[int, int, str]]]  # pairs and their high counts
+    #: ``g``; how often before others (``a``) and how many follow it once, twice and more
+    #: (``b``, ``c``, ``d``); after how many different ones (``follows``) and how often (``times``)
+    words: DataFrame
+    discount: tuple[float, float, float]
+    gamma: Column  # the weight of the lower order after a token, 0 if it is never before others
+    cut: Column  # what is taken off ``follows``
+    pairs: int
+    held: float
+    tokens: int
+    types: int
+
+
+def count_pairs(texts: DataFrame, folder: str, keys: PairKeys, fold: bool = True) -> Counted:
+    """The pairs of the column ``text``, in files of the folder."""
+    blobs = texts.select("text").mapInArrow(_pair_blobs(keys, fold), BLOBS)
+    merged = stored(blobs.groupBy("shard").applyInPandas(_merged(folder, keys), MERGED), "pairs")
+    files = {name: _listed(merged.where(F.col("kind") == kind).select("first", "n", "file")) for kind, name in ((3, "pairs"), (4, "many"))}
+    few = merged.where("kind = 2").agg(*[F.sum(x).alias(x) for x in "abcd"]).first()
+    d2 = discounts({i: few[x] or 0 for i, x in enumerate("abcd", 1)})
+    before = lambda x: F.sum(F.when(F.col("kind") == 0, F.col(x)).otherwise(0)).alias(x)
+    after = lambda x, name: F.sum(F.when(F.col("kind") == 1, F.col(x)).otherwise(0)).alias(name)
+    words = stored(
+        merged.where("kind < 2").groupBy("g").agg(*[before(x) for x in "abcd"], after("a", "follows"), after("b", "times")), "words"
+    )
+    d1 = discounts({r["follows"]: r["count"] for r in words.where("follows BETWEEN 1 AND 4").groupBy("follows").count().collect()})
+    cut = F.when(F.col("follows") == 0, 0.0).when(F.col("follows") == 1, d1[0]).when(F.col("follows") == 2, d1[1]).otherwise(d1[2])
+    whole = words.agg(
+        F.sum("follows").alias("pairs"), F.sum(cut).alias("held"), F.sum("times").alias("tokens"), F.count(F.when(F.col("times") > 0, 1)).alias("types")
+    ).first()
+    gamma = (F.col("b") * d2[0] + F.col("c") * d2[1] + F.col("d") * d2[2]) / F.nullif("a", F.lit(0))
+    return Counted(
+        files, words, d2, F.coalesce(gamma, F.lit(0.0)), cut, whole["pairs"] or 0, whole["held"] or 0.0, whole["tokens"] or 0, whole["types"] or 0
+    )
+
+
+def _counted_cells(fold: bool):
+    """Rows (key, c): the cells of the tokens before others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, cells = Numbers(fold), np.zeros(CELLS, np.int64)
+        for whole in batches:
+            for batch in slices(whole, 0, most_bytes=SLICE):
+                cells += np.bincount(_cells(tokens.read(batch.column(0))[0]), minlength=CELLS)
+        used = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], ["key", "c"])
+
+    return run
+
+
+def pair_keys(texts: DataFrame, cells: DataFrame | None = None, fold: bool = True) -> PairKeys:
+    """Shards for the pairs of the column ``text``, given the cells (key, c) where they are counted."""
+    if cells is None:
+        cells = texts.select("text").mapInArrow(_counted_cells(fold), "key long, c long")
+    sketch = cells.groupBy("key").agg(F.sum("c").alias("c")).toArrow()  # CELLS rows at most
+    sizes = np.zeros(CELLS, np.int64)
+    sizes[sketch["key"].to_numpy()] = sketch["c"].to_numpy()
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(2, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
+    return PairKeys(bits, sizes > max(1, sizes.sum() / (1 << bits)))
+
+
+class PairCounts:
+    """The mapped counts of pairs; ``many`` stands for those in a table of their own."""
+
+    def __init__(self, folder: str, files: dict[str, list[tuple[int, int, str]]], many: int):
+        self.few, self.high, self.many = MappedTable(folder, files["pairs"], ["u1"]), MappedTable(folder, files["many"], ["<u4"]), many
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The counts of keys in any order, 0 for a missing one."""
+        key, where = np.unique(keys, return_inverse=True)
+        c = self.few.find(key)[1][0].astype(np.float64)
+        high = np.flatnonzero(c == self.many)
+        c[high] = self.high.find(key[high])[1][0]
+        return c[where]
+
+
+def interpolated(c: np.ndarray, discount: tuple[float, float, float], seen: np.ndarray, gamma: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The probability of tokens after others, from their pairs' counts, how often these stand before
+    any token, the weight that they leave to the lower order, and that order's probability."""
+    d = np.array([0.0, *discount])
+    higher = np.maximum(c - d[np.minimum(c, 3).astype(np.int64)], 0.0) / np.maximum(seen, 1.0)
+    return np.where(seen > 0, higher + gamma * low, low)
+
+
 @dataclass
 class WordModel:
     """What a scoring task needs to map the model, and its constants."""
@@ -425,12 +537,7 @@ def fit(texts: DataFrame, order: int = ORDER) -> WordModel:
     folder = qualified(spark, scratch_path(spark, "language-model"))
     texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
     seen = stored(texts.mapInArrow(_spelled_words(order), "kind int, key long, c long"), "spelled")
-    sketch = seen.where("kind = 1").groupBy("key").agg(F.sum("c").alias("c")).toArrow()  # CELLS rows at most
-    cells = np.zeros(CELLS, np.int64)
-    cells[sketch["key"].to_numpy()] = sketch["c"].to_numpy()
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = max(2, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
-    keys = PairKeys(bits, cells > max(1, cells.sum() / (1 << bits)))
+    keys = pair_keys(texts, seen.where("kind = 1").select("key", "c"))
 
     files: dict[str, list] = {}
     spelling = fit_spelling(seen.where("kind = 0").select("key", "c"), order)
@@ -440,34 +547,16 @@ def fit(texts: DataFrame, order: int = ORDER) -> WordModel:
             part = part.repartitionByRange("key").sortWithinPartitions("key")
             files[f"{kind}{k}"] = _listed(part.mapInArrow(_written(folder, f"spelling-{kind}{k}", ["<f8"]), FILE))
 
-    blobs = texts.mapInArrow(_pair_blobs(order, keys), BLOBS)
-    merged = stored(blobs.groupBy("shard").applyInPandas(_merged(folder, keys), MERGED), "pairs")
-    for kind, name in ((3, "pairs"), (4, "many")):
-        files[name] = _listed(merged.where(F.col("kind") == kind).select("first", "n", "file"))
-    few = merged.where("kind = 2").agg(*[F.sum(x).alias(x) for x in "abcd"]).first()
-    d2 = discounts({i: few[x] or 0 for i, x in enumerate("abcd", 1)})
-    before = lambda x: F.sum(F.when(F.col("kind") == 0, F.col(x)).otherwise(0)).alias(x)
-    after = lambda x, name: F.sum(F.when(F.col("kind") == 1, F.col(x)).otherwise(0)).alias(name)
-    words = stored(
-        merged.where("kind < 2").groupBy("g").agg(*[before(x) for x in "abcd"], after("a", "follows"), after("b", "times")), "words"
-    )
-    d1 = discounts({r["follows"]: r["count"] for r in words.where("follows BETWEEN 1 AND 4").groupBy("follows").count().collect()})
-    cut = F.when(F.col("follows") == 0, 0.0).when(F.col("follows") == 1, d1[0]).when(F.col("follows") == 2, d1[1]).otherwise(d1[2])
-    whole = words.agg(
-        F.sum("follows").alias("pairs"), F.sum(cut).alias("held"), F.sum("times").alias("tokens"), F.count(F.when(F.col("times") > 0, 1)).alias("types")
-    ).first()
-    pairs = whole["pairs"] or 1
-    gamma = (F.col("b") * d2[0] + F.col("c") * d2[1] + F.col("d") * d2[2]) / F.nullif("a", F.lit(0))
-    table = words.select(
+    counted = count_pairs(texts, folder, keys)
+    files |= counted.files
+    cut, pairs = counted.cut, counted.pairs or 1
+    table = counted.words.select(
         F.col("g").alias("key"), F.col("times").cast("double").alias("times"), F.col("a").cast("double").alias("before"),
-        F.coalesce(gamma, F.lit(0.0)).alias("gamma"), (F.greatest(F.col("follows") - cut, F.lit(0.0)) / pairs).alias("low"),
+        counted.gamma.alias("gamma"), (F.greatest(F.col("follows") - cut, F.lit(0.0)) / pairs).alias("low"),
     )
-    # by unsigned order: the sign bit flipped
-    unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))
-    table = table.repartitionByRange(unsigned).sortWithinPartitions(unsigned)
-    files["words"] = _listed(table.mapInArrow(_written(folder, "words", WORD_COLUMNS), FILE))
-    unseen = (whole["held"] or 0.0) / pairs if whole["pairs"] else 1.0
-    return WordModel(folder, order, keys, files, d2, unseen, whole["tokens"] or 0, whole["types"] or 0)
+    files["words"] = written_table(table, folder, "words", WORD_COLUMNS)
+    unseen = counted.held / pairs if counted.pairs else 1.0
+    return WordModel(folder, order, keys, files, counted.discount, unseen, counted.tokens, counted.types)
 
 
 def _scores(model: WordModel):
@@ -476,8 +565,7 @@ def _scores(model: WordModel):
         mapped = lambda name, kinds: MappedTable(model.folder, model.files[name], kinds)
         levels = range(1, model.order + 1)
         spelling = Spelling(model.order, {k: mapped(f"p{k}", ["<f8"]) for k in levels}, {k: mapped(f"g{k}", ["<f8"]) for k in levels})
-        words, pairs, many = mapped("words", WORD_COLUMNS), mapped("pairs", ["u1"]), mapped("many", ["<u4"])
-        d = np.array([0.0, *model.discount])
+        words, pairs = mapped("words", WORD_COLUMNS), PairCounts(model.folder, model.files, MANY)
         for whole in batches:
             for batch in slices(whole, 1, most_bytes=SLICE):
                 v, w, doc, spelled = tokens.read(batch.column(1))
@@ -487,14 +575,7 @@ def _scores(model: WordModel):
                 base = np.log10((times + 1) / (model.tokens + model.types + 1))
                 first, of = np.unique(v, return_inverse=True)
                 _, (_, before, gamma, _) = words.find(first)
-                key, pair = np.unique(model.keys.key(v, w), return_inverse=True)
-                c = pairs.find(key)[1][0].astype(np.float64)
-                high = np.flatnonzero(c == MANY)
-                c[high] = many.find(key[high])[1][0]
-                c = c[pair]
-                seen = before[of]
-                higher = np.maximum(c - d[np.minimum(c, 3).astype(np.int64)], 0.0) / np.maximum(seen, 1.0)
-                p = np.where(seen > 0, higher + gamma[of] * low[which], low[which])
+                p = interpolated(pairs.find(model.keys.key(v, w)), model.discount, before[of], gamma[of], low[which])
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(2), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, (times > 0)[which], n).astype(np.int64)),

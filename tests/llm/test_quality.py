@@ -186,3 +186,15 @@ def test_ratio_like_its_definition(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {r["id"]: r["ratio"] for r in quality.passages(docs, model).groupBy("id").sum("ratio").withColumnRenamed("sum(ratio)", "ratio").collect()}
     assert all(got[i] == pytest.approx(sum(ratio(w) for w in tokens(t)[1:])) for i, t in enumerate(texts))
+
+
+def test_fits_on_every_trusted_document(spark, monkeypatch):
+    """More than any bound of some thousand; only a quarter sets thresholds instead."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda docs, fit=quality.fit: seen.append(docs.count()) or fit(docs))
+    n = 6000
+    rows = [(i, f"some words of w{i % 50}", "en", "s", 1) for i in range(n)]
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert judge(table(spark, rows), labels).count() == n
+    back = spark.range(n).where(f"pmod(xxhash64(id, 'calibration'), {quality.CALIBRATION}) = 0").count()
+    assert seen == [n - back] and n - back > 4000
