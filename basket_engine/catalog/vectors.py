@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.arrays import array_total, vector_text
 from ..operators import features as X, vectors as P
 from ..operators.skew import key_counts
+from ..session import stored
+from ..settings import SHARE_SMOOTHING
 from . import views as V
 from .purchases import DIGITS, LINE_SQL
 from .registry import query
@@ -152,7 +154,8 @@ FROM entries, n GROUP BY user_id, year_month, item_id, n_items""",
 )
 def slot_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = V.item_dictionary(spark, sf_dir)
-    rows = V.indexed_transactions(spark, sf_dir, items).distinct()
+    # Read for the numbers of a user's rows and for the vectors.
+    rows = stored(V.indexed_transactions(spark, sf_dir, items).distinct(), "rows")
     out = P.slot_vectors(
         rows, V.item_factors(spark, sf_dir, items), V.user_factors(spark, sf_dir), items.count(), K,
         row_id=["user_id", "year_month", "item_id"],
@@ -174,11 +177,13 @@ GROUP BY user_id, item_id""",
 )
 def item_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values per user and item over all their parts."""
-    cols = ("quantity", "discount")
-    tx = V.transactions(spark, sf_dir, "user_id", "item_id", "year_month", *cols, line=True)
-    long = X.smoothed_share(tx, cols, row_id=V.LINE)
+    cols = ("discount", "quantity")  # by name, as the values of a line stand
+    # Read for the sums, for the rows and for their numbers.
+    tx = stored(V.transactions(spark, sf_dir, "user_id", "item_id", "year_month", *cols, line=True), "purchases")
+    wide = X.basket_share(tx, cols, eps=SHARE_SMOOTHING, row_id=V.LINE)
+    rows = wide.withColumn("shares", F.array(*["share_" + c for c in cols]))
     counts = key_counts(tx, ["user_id", "item_id"])
-    parts = P.item_values(long, order=("year_month", *V.LINE, "variable"), counts=counts)
+    parts = P.item_values(rows, order=("year_month", *V.LINE), value="shares", counts=counts)
     per_part = parts.select(
         "user_id", "item_id", F.size("values").cast("long").alias("n"), array_total(F.col("values")).alias("t")
     )

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.arrays import padded, slot_layout
 from ..functions.scalars import ratio
+from ..session import stored
 from ..settings import PACKED_BASKET
 from .features import BASKET
 from .indexing import ordinal_in_group
@@ -85,6 +87,8 @@ def packed_vectors(
     """
     _check_basket_limit(tx, max_basket, on_overflow)
     keys = [user, month]
+    # Read for the slots and for the baskets.
+    tx = stored(tx.select(*dict.fromkeys([*keys, item, value, "item_idx", *order])), "purchases")
     # One row beyond the limit is enough to notice an overflow.
     kept = basket_position(tx.select(*keys, item, value, *order), keys, order, upto=max_basket + 1)
     with_factors = join_skewed(
@@ -101,12 +105,12 @@ def packed_vectors(
             F.collect_list(F.struct("position", known.alias("f"), F.abs(F.col(value)).cast("double").alias("v")))
         ).alias("_slots")
     )
-    baskets = tx.groupBy(*keys).agg(
+    baskets = stored(tx.groupBy(*keys).agg(
         F.sum(value).alias("_sum"),
         F.sum(F.abs(F.col(value))).alias("_abs"),
         F.count(F.lit(1)).alias("basket_size"),
         F.sort_array(F.collect_set("item_idx")).alias("label_idx"),
-    )
+    ), "baskets")
     out = slots.join(baskets, keys)
     if on_overflow == "error":
         message = F.concat(F.lit(f"basket above {max_basket} rows: "), F.col(user).cast("string"))
@@ -122,7 +126,8 @@ def packed_vectors(
         out = out.withColumn("features", F.concat(packed, nets))
     else:
         net = ratio(ratio(F.col("_abs"), F.col("_sum")), F.col("basket_size"))
-        out = attach_factors(out, user_factors, user, "_u", row_id=keys)
+        # Every row of ``out`` is a basket; counting these makes no vector.
+        out = attach_factors(out, user_factors, user, "_u", row_id=keys, counts=baskets)
         out = out.withColumn("features", F.concat(F.col("_u"), packed, F.array(net)))
     return out.select(*keys, "basket_size", "features", "label_idx")
 
@@ -159,11 +164,15 @@ def item_values(
 ) -> DataFrame:
     """All values of an item within a user, in a fixed order: (user, item, part, values).
 
+    A row has one value, or an array of its values in their order.
     One part per pair, except for a pair too large for one task, which is
     delivered in several.
     """
     nested = group_rows(long_rows.select(user, item, *order, value), [user, item], row_id=order, counts=counts)
-    return nested.select(user, item, "part", F.col(f"rows.{value}").alias("values"))
+    values = F.col(f"rows.{value}")
+    if isinstance(long_rows.schema[value].dataType, ArrayType):
+        values = F.flatten(values)
+    return nested.select(user, item, "part", values.alias("values"))
 
 
 def append_values(

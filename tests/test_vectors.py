@@ -99,3 +99,29 @@ def test_training_rows_pipeline(either, tx, items):
     ]
     only, _ = training_rows(raw, pairs, items, K, "v", correlations=corr, max_basket=3)
     assert {r["user_id"] for r in only.collect()} == {"u1"}
+
+
+def test_user_factors_are_joined_without_counting_vectors(spark, either, tx, items, users, monkeypatch):
+    """Purchases are read once, and a user's rows are counted on the stored baskets."""
+    labels = []
+    monkeypatch.setattr(V, "stored", lambda df, label, keep=V.stored: labels.append(label) or keep(df, label))
+    counted = []
+    monkeypatch.setattr(V, "key_counts", lambda df, keys, count=V.key_counts: counted.append((df.columns, keys)) or count(df, keys))
+    out = V.packed_vectors(tx, items, K, "v", users, max_basket=3)
+    assert out.count() == 3 and labels == ["purchases", "baskets"]
+    assert counted[-1][1] == ["user_id"] and "_slots" not in counted[-1][0]
+
+
+def test_item_values_of_arrays(spark):
+    """A row with an array of values gives what a row for each value does."""
+    long = spark.createDataFrame(
+        [("u", "A", 1, line, name, line + x) for line in (2, 1, 3) for name, x in (("a", 0.25), ("b", 0.5))],
+        "user_id string, item_id string, year_month int, line_key int, variable string, share double",
+    )
+    wide = spark.createDataFrame(
+        [("u", "A", 1, line, [line + 0.25, line + 0.5]) for line in (2, 1, 3)],
+        "user_id string, item_id string, year_month int, line_key int, share array<double>",
+    )
+    a = V.item_values(long).collect()
+    b = V.item_values(wide, order=("year_month", "line_key")).collect()
+    assert a == b and b[0]["values"] == [1.25, 1.5, 2.25, 2.5, 3.25, 3.5]
