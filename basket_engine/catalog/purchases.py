@@ -33,7 +33,8 @@ _SHARE_SQL = ", ".join(
     "WINDOW b AS (PARTITION BY user_id, year_month)",
 )
 def basket_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = V.transactions(spark, sf_dir, "user_id", "year_month", *SHARE_COLS, line=True)
+    # Read for the sums and for the rows.
+    tx = stored(V.transactions(spark, sf_dir, "user_id", "year_month", *SHARE_COLS, line=True), "purchases")
     out = X.basket_share(tx, SHARE_COLS, row_id=V.LINE)
     shares = ["share_" + c for c in SHARE_COLS]
     return _rounded(out.select(*V.LINE, "user_id", "year_month", *shares), *shares)

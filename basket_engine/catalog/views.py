@@ -88,11 +88,12 @@ def transactions(spark: SparkSession, sf_dir: str, *cols: str, line: bool = Fals
     line_item = table(spark, sf_dir, "lineitem")
     out = line_item.withColumn("year_month", year_month(F.col("l_shipdate")))
     if tables & {"orders", "customer"}:
-        out = out.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        orders = table(spark, sf_dir, "orders")
+        if "customer" in tables:  # to the orders first: they are fewer than their lines
+            orders = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        out = out.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if "part" in tables:
         out = out.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    if "customer" in tables:
-        out = out.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     if "supplier" in tables:
         suppliers = table(spark, sf_dir, "supplier").join(
             table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")

@@ -48,3 +48,12 @@ def test_names():
     assert QUERIES.items() <= entry_point.queries().items() and ORACLES.items() <= entry_point.oracle_sql().items()
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
     assert set(QUERIES) - set(ORACLES) == {"fit_linear", "fit_softmax", "fit_sentiment", "early_stopping"}
+
+
+def test_customers_join_the_orders_before_the_lines(spark):
+    """Orders are fewer than lines, so the lines move once less."""
+    from basket_engine.catalog import views
+
+    tx = views.transactions(spark, "/root/testdata/sf0.001", "user_id", "balance", line=True)
+    joins = [x for x in tx._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert len(joins) == 2 and "l_orderkey" in joins[0] and "c_custkey" in joins[1]
