@@ -393,12 +393,16 @@ def near_duplicates(
     rows = stored(rows.join(several.select("e"), "e", "left_semi"), "shared-shingles")
     allowed = 1 - percent / 100 + _NEAR
     side = rows.groupBy("e", "z").agg(F.max("s").alias("s"))
-    centres = side.select("e", F.col("z").alias("a"), F.col("s").alias("s_a")).join(side.select("e", F.col("z").alias("b"), F.col("s").alias("s_b")), "e")
-    centres = stored(centres.where("a < b").groupBy("a", "b").agg(F.max(F.col("s_a") + F.col("s_b")).alias("slack")), "centre-pairs")
+    meetings = side.select("e", F.col("z").alias("a"), F.col("s").alias("s_a")).join(side.select("e", F.col("z").alias("b"), F.col("s").alias("s_b")), "e")
+    meetings = stored(meetings.where("a < b"), "meetings")
+    centres = stored(meetings.groupBy("a", "b").agg(F.max(F.col("s_a") + F.col("s_b")).alias("slack")), "centre-pairs")
     apart = with_texts(centres).mapInArrow(_distances(shingle), f"a {kind}, b {kind}, apart double")
     close = stored(centres.join(apart, ["a", "b"]).where(F.col("apart") <= allowed + F.col("slack")).select("a", "b", "apart"), "close-centres")
     both = lambda x, z: rows.select("e", F.col("z").alias(z), F.col("id").alias(f"id_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "s", "i")])
-    pairs = both("a", "a").join(close, "a").join(both("b", "b"), ["e", "b"])
+    # a document meets the centres at its own elements only, and those whose documents it can be linked to
+    meetings = meetings.join(close, ["a", "b"]).select("e", "a", "b", "apart", F.col("s_b").alias("most_b"))
+    left = both("a", "a").join(meetings, ["e", "a"]).where(F.col("apart") - F.col("s_a") - F.col("most_b") <= allowed)
+    pairs = left.join(both("b", "b"), ["e", "b"])
     within = F.col("apart") - F.col("s_a") - F.col("s_b") <= allowed
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     # for the first element that two sets share, this one and all behind it

@@ -119,6 +119,58 @@ def test_chains_between_centres(spark, monkeypatch, size):
     assert pairs["near"] == 0 and pairs["across"] > 0
 
 
+def join_rows(df):
+    """Rows that each join of a plan made; runs it."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.collectToPython()
+    made, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if "Join" in name:
+            made.append(node.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return made
+
+
+def test_documents_meet_only_the_centres_of_their_shingles(spark, monkeypatch):
+    """Documents of several centres share a passage, and each some phrase with two others only."""
+    rng = random.Random(8)
+    passage, n = sentence(rng, 100), 200
+    own = [[f"u{i}x{j}" for j in range(8)] for i in range(n)]
+    for k in range(n):
+        phrase = [f"p{k}x{j}" for j in range(14)]
+        for i in rng.sample(range(n), 2):
+            own[i] += phrase
+    texts = [passage + " " + " ".join(words) for words in own]
+    texts += near_copies(rng, texts[5], 10, 0.03)
+    counted, plain = {}, neardup.stored
+
+    def stored(df, label="stage"):
+        if label == "across":
+            counted["joins"] = join_rows(df)
+        out = plain(df, label)
+        if label in ("shared-shingles", "close-centres"):
+            counted[label] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "stored", stored)
+    emptied = "spark.sql.adaptive.optimizer.excludedRules"  # a plan without rows would not show its joins
+    spark.conf.set(emptied, "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation")
+    try:
+        got = found(near_duplicates(table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])))
+    finally:
+        spark.conf.unset(emptied)
+    assert got == components(dict(enumerate(texts)), 5)
+    assert counted["close-centres"] > 1 and len(counted["joins"]) >= 2
+    assert max(counted["joins"]) <= counted["shared-shingles"], counted
+
+
 def test_prefixes_hold_a_shared_element():
     rng = np.random.default_rng(6)
     counts = rng.integers(0, 3, neardup.CELLS)
