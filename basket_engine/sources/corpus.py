@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.arrays import vector_text
 from .files import write_files
 
+#: Scan partitions that a task reads one after the other. Of small files a partition holds some 32.
+PARTS_OF_TASK = 16
+
 
 def _literal(sep: str) -> str:
     return re.escape(sep)
@@ -19,14 +22,18 @@ def read_reviews(spark: SparkSession, root: str, split: str) -> DataFrame:
 
     Class 0 is positive and 1 negative; the file path identifies the review. Spark packs the
     small files of a folder into tasks of ``spark.sql.files.maxPartitionBytes``, a file counting
-    as ``spark.sql.files.openCostInBytes`` at least. An empty file has no row: Spark's scans leave
-    it out, and a review without words is dropped later anyway.
+    as ``spark.sql.files.openCostInBytes`` at least. For small files these tasks cost more than
+    their reading, so ``PARTS_OF_TASK`` of them make one, as long as four are left for each core.
+    An empty file has no row: Spark's scans leave it out, and a review without words is dropped
+    later anyway.
     """
     base = f"{root.rstrip('/')}/{split}"
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*").load([f"{base}/pos", f"{base}/neg"])
         .select(F.col("content").cast("string").alias("text"), F.col("path").alias("doc_id"))
     )
+    parts = files.rdd.getNumPartitions()
+    files = files.coalesce(max(-(-parts // PARTS_OF_TASK), min(parts, 4 * spark.sparkContext.defaultParallelism), 1))
     folder = F.regexp_extract("doc_id", r"/(pos|neg)/[^/]*$", 1)
     return files.select(
         "doc_id",

@@ -41,6 +41,17 @@ def test_review_corpus_round_trip(spark, tmp_path):
     assert got == {i: ("test" if i % 5 == 0 else "train", i % 2, ["positive", "negative"][i % 2], t) for i, t in texts.items() if t}
 
 
+def test_many_small_reviews_are_read_by_few_tasks(spark, tmp_path):
+    n = 2000
+    for label in ("pos", "neg"):
+        (tmp_path / "train" / label).mkdir(parents=True)
+    for i in range(n):
+        (tmp_path / "train" / ("neg" if i % 2 else "pos") / f"{i}.txt").write_text(f"text {i}")
+    read = corpus.read_reviews(spark, str(tmp_path), "train")
+    assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert rows(read, "text", "label") == sorted(((f"text {i}", i % 2) for i in range(n)), key=repr)
+
+
 def test_example_files_in_nested_folders(spark, tmp_path):
     df = spark.createDataFrame([(f"train/{i % 3}/x/u_{i}_20160{i % 9 + 1}", f"{i},1.5,{-i}") for i in range(12)], "name string, content string")
     files.write_files(df, str(tmp_path))
