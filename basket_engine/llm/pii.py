@@ -42,7 +42,21 @@ PATTERN = re.compile(
 )
 
 
-@lru_cache(1 << 14)
+class Remembered:
+    """A function beside its ``lru_cache``.
+
+    A cached function is pickled by its name, which only workers with an installed copy of this
+    package can look up. This one travels as the function and starts empty on each worker.
+    """
+
+    def __init__(self, function: Callable, size: int):
+        self.function, self.size = function, size
+        self.cached = lru_cache(size)(function)
+
+    def __reduce__(self):
+        return Remembered, (self.function, self.size)
+
+
 def _round(key: bytes, tweak: str, number: int, half: int, right: int) -> int:
     size = (half + 7) // 8
     word = hashlib.blake2b(right.to_bytes(size, "little"), digest_size=min(64, size + 8), key=key, person=f"{tweak}{number}".encode()[:16]).digest()
@@ -51,18 +65,21 @@ def _round(key: bytes, tweak: str, number: int, half: int, right: int) -> int:
     return int.from_bytes(word, "little") & ((1 << half) - 1)
 
 
+_rounds = Remembered(_round, 1 << 14)
+
+
 def permuted(x: int, count: int, key: bytes, tweak: str, back: bool = False) -> int:
     """A keyed permutation of the numbers below ``count``: a balanced Feistel network over
     the next even number of bits, walked until it comes out below ``count``."""
     half = max(1, ((count - 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
+    mask, rounds = (1 << half) - 1, _rounds.cached
     while True:
         left, right = x >> half, x & mask
         for i in range(ROUNDS):
             if back:
-                left, right = right ^ _round(key, tweak, ROUNDS - 1 - i, half, left), left
+                left, right = right ^ rounds(key, tweak, ROUNDS - 1 - i, half, left), left
             else:
-                left, right = right, left ^ _round(key, tweak, i, half, right)
+                left, right = right, left ^ rounds(key, tweak, i, half, right)
         x = (left << half) | right
         if x < count:
             return x

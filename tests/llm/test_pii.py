@@ -1,8 +1,13 @@
 import datetime
+import os
 import random
 import re
+import subprocess
+import sys
 
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from basket_engine.llm import pii
 from basket_engine.llm.pii import DEMO_KEY, moved, permuted, pseudonymised, pseudonyms, replaced
@@ -110,3 +115,20 @@ def test_edges(spark):
     got = {r["doc_id"]: r["text"] for r in pseudonyms(edge_table(spark)).collect()}
     assert got == kept_texts(edge_rows())
     assert pseudonyms(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("run", [pii._worker(DEMO_KEY), pii._in_place(DEMO_KEY, 1, 2)])
+def test_workers_need_no_installed_package(tmp_path, run):
+    """The functions of a job, loaded and run where this package cannot be imported."""
+    text = "mail jane@mail.example.com on 2021-02-28"
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([len(text)])], ["id", "text", "n_chars"])
+    (tmp_path / "job").write_bytes(cloudpickle.dumps((run, batch)))
+    code = """if True:
+        import importlib.util, pickle
+        assert importlib.util.find_spec("basket_engine") is None
+        run, batch = pickle.load(open("job", "rb"))
+        print(*(t for out in run(iter([batch])) for t in out.column(1).to_pylist()))"""
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    )
+    assert done.stdout.strip() == pseudonymised(text, DEMO_KEY)[0], done.stderr
