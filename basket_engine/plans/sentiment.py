@@ -28,9 +28,11 @@ def review_batches(
 
 
 def review_examples(batches: DataFrame, vectors: DataFrame, vector_size: int) -> DataFrame:
-    """(doc_id, x, y): mean word vector over the real tokens and the one-hot class."""
+    """(doc_id, x, batch_id, position, y): mean word vector over the steps that ``x_mask`` marks
+    as real tokens, and the one-hot class where ``y_mask`` marks an output."""
+    real = F.filter(F.arrays_zip("tokens", "x_mask"), lambda step: step["x_mask"] > 0)
     # Repeats of a word inside one review are summed up before the lookup.
-    words = batches.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(
+    words = batches.select("doc_id", F.explode(real["tokens"]).alias("token")).groupBy("doc_id", "token").agg(
         F.count(F.lit(1)).alias("times")
     )
     pairs = join_skewed(words, vectors.select("token", "vector"), ["token"], "inner", row_id=["doc_id", "token"])
@@ -46,12 +48,14 @@ def review_examples(batches: DataFrame, vectors: DataFrame, vector_size: int) ->
         "doc_id", F.transform("_x", lambda v: v / F.col("_n")).alias("x")
     )
     one_hot = F.array((F.col("label") == 0).cast("double"), (F.col("label") == 1).cast("double"))
-    labels = batches.select("doc_id", one_hot.alias("y"))
+    output = F.exists("y_mask", lambda v: v > 0)
+    labels = batches.select("doc_id", "batch_id", "position", F.when(output, one_hot).alias("y"))
     return means.join(labels, "doc_id")
 
 
 def fit_sentiment(examples: DataFrame, vector_size: int, test: DataFrame | None = None, **options) -> FitResult:
-    settings = {"key": "doc_id", "batch": 10, "averaging": 5, "learning_rate": 0.0018, "l2": 1e-5, "epochs": 1, **options}
+    """A fit whose mini-batches are the reviews' balanced ones; ``batch`` is their size."""
+    settings = {"key": "doc_id", "batches": "batch_id", "batch": 10, "averaging": 5, "learning_rate": 0.0018, "l2": 1e-5, "epochs": 1, **options}
     return T.fit(examples, vector_size, 2, head="softmax", test=test, **settings)
 
 

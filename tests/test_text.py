@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from basket_engine.operators import text as X
-from basket_engine.plans.sentiment import review_batches, review_examples
+from basket_engine.operators import text as X, training as T
+from basket_engine.plans.sentiment import fit_sentiment, review_batches, review_examples
 
 from .conftest import rows
 
@@ -86,3 +88,28 @@ def test_review_examples_average_the_words(either, docs, vectors):
     got = {r["doc_id"]: (r["x"], r["y"]) for r in review_examples(batches, vectors, 2).collect()}
     assert got[1] == ([0.5, 0.5], [1.0, 0.0]) and got[2] == ([-1.0, 0.0], [0.0, 1.0])
     assert got[4] == (pytest.approx([0.0, 0.6]), [1.0, 0.0])
+
+
+def test_masks_tell_which_words_and_outputs_count(spark, docs, vectors):
+    batches = review_batches(docs, vectors, batch_size=2)
+    first = F.transform("x_mask", lambda v, i: F.when(i < 1, v).otherwise(0.0))
+    none = F.transform("y_mask", lambda v: v * 0)
+    got = {r["doc_id"]: (r["x"], r["y"]) for r in review_examples(batches.withColumn("x_mask", first).withColumn("y_mask", none), vectors, 2).collect()}
+    assert got == {1: ([1.0, 0.0], None), 2: ([-1.0, 0.0], None), 4: ([0.0, 1.0], None), 5: ([1.0, 0.0], None)}
+
+
+def test_the_fit_takes_the_balanced_batches(spark, vectors):
+    """One worker descends over the batches one after the other, as they were put together."""
+    words = [("great", 0), ("bad", 1), ("film", 0), ("great bad", 1), ("bad film", 0)]
+    data = [(i, k, f"{w} film") for i in range(9) for w, k in [words[i % 5]]]
+    docs = spark.createDataFrame(data, "doc_id long, label int, text string")
+    batches = review_batches(docs, vectors, batch_size=2)
+    examples = review_examples(batches, vectors, 2)
+    inorder = sorted(examples.collect(), key=lambda r: r["position"])
+    assert [r["batch_id"] for r in inorder] == [0, 0, 1, 1, 2, 2, 3, 3, 4] and [r["y"][0] for r in inorder[:6]] == [1.0, 0.0] * 3
+    parts = [tuple(np.array([r[c] for r in inorder[i : i + 2]]) for c in "xy") for i in range(0, 9, 2)]
+    expected = T._descend("softmax", np.zeros((2, 3)), np.zeros((2, 3)), iter(parts), 0.05, 1e-5, 0.95)[0]
+    result = fit_sentiment(examples, 2, batch=2, workers=1, learning_rate=0.05)
+    assert result.last.params == pytest.approx(expected.ravel(), abs=1e-12)
+    with pytest.raises(ValueError, match="batch_id"):
+        fit_sentiment(examples, 2, batch=3, workers=1)
